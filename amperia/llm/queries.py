@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .common import documents
+from .line_dedup import op5_line_dedup
+from .mixing import op4_mixing
 from .quality_rules import op8_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_mixing": lambda s, d: op4_mixing(documents(s, d)),
+        "op5_line_dedup": lambda s, d: op5_line_dedup(documents(s, d)),
         "op8_quality_rules": lambda s, d: op8_quality_rules(documents(s, d)),
     }
 
