@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .bpe import op3_bpe
 from .common import documents
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_bpe": lambda s, d: op3_bpe(documents(s, d)),
         "op4_mixing": lambda s, d: op4_mixing(documents(s, d)),
         "op5_line_dedup": lambda s, d: op5_line_dedup(documents(s, d)),
         "op8_quality_rules": lambda s, d: op8_quality_rules(documents(s, d)),
