@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .bpe import op3_bpe
-from .common import documents
+from .common import documents, labels
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op4_mixing": lambda s, d: op4_mixing(documents(s, d)),
         "op5_line_dedup": lambda s, d: op5_line_dedup(documents(s, d)),
         "op8_quality_rules": lambda s, d: op8_quality_rules(documents(s, d)),
+        "op9_quality_classifier": lambda s, d: op9_quality_classifier(documents(s, d), labels(s, d)),
     }
 
 
