@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -55,3 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, where it is not installed on them: once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_amperia_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    at = Path(tempfile.mkdtemp()) / "amperia.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._amperia_shipped = True
