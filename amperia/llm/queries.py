@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .bpe import op3_bpe
 from .common import documents, labels
+from .imatch import op7_fingerprints
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
 from .quality_classifier import op9_quality_classifier
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe": lambda s, d: op3_bpe(documents(s, d)),
         "op4_mixing": lambda s, d: op4_mixing(documents(s, d)),
         "op5_line_dedup": lambda s, d: op5_line_dedup(documents(s, d)),
+        "op7_fingerprints": lambda s, d: op7_fingerprints(documents(s, d)),
         "op8_quality_rules": lambda s, d: op8_quality_rules(documents(s, d)),
         "op9_quality_classifier": lambda s, d: op9_quality_classifier(documents(s, d), labels(s, d)),
     }
