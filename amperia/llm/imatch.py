@@ -2,7 +2,7 @@
 
 Main path: DataFrame functions only. Document frequencies cover all documents. A term in the band stands in more than LEAST_SHARE of the documents, so the lexicon holds at most (mean number of distinct terms) / LEAST_SHARE terms however many documents there are; it is a constant of the plan. Subsets come in GROUPS of falling share; those in which a text has one to MOST_TERMS terms are hashed: the large ones for short texts, the small ones for long texts, so that an edit changes few of them.
 
-A text without lexicon terms, such as a null or empty one, has its own hash as fingerprint: likeness 1 to equal texts, 0 to others. Rows are in order of doc_id, null first, rows with the same doc_id in order of the text's hash. Other columns are not read. Without documents the result is empty.
+A text for which no subset is hashed, such as a null or empty one, has its own hash as fingerprint: likeness 1 to equal texts, 0 to others. Rows are in order of doc_id, null first, rows with the same doc_id in order of the text's hash. Other columns are not read. Without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def constant(value: object, kind: str) -> Column:
 
 
 def fingerprint(text: Column, lex: Column) -> Column:
-    """One 32-bit hash for each subset, null where the text has no or too many terms in it; a text without lexicon terms has its own hash alone."""
+    """One 32-bit hash for each subset, null where the text has no or too many terms in it; a text without any has its own hash alone."""
     known = F.sort_array(F.filter(terms(text), lambda t: F.array_contains(F.get(lex, F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
 
     def group(k: int, share: int) -> Callable[[Column], Column]:
@@ -64,7 +64,8 @@ def fingerprint(text: Column, lex: Column) -> Column:
 
         return lambda known: let(F.filter(F.transform(known, lot), drawn_by_any), subsets)
 
-    return let(known, lambda x: F.when(F.size(x) == 0, F.array(F.hash(text))).otherwise(F.concat(*(group(k, share)(x) for k, share in enumerate(GROUPS)))))
+    hashed = let(known, lambda x: F.concat(*(group(k, share)(x) for k, share in enumerate(GROUPS))))
+    return let(hashed, lambda fp: F.when(F.exists(fp, lambda x: x.isNotNull()), fp).otherwise(F.array(F.hash(text))))
 
 
 def likeness(a: Column, b: Column) -> Column:

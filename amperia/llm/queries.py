@@ -12,6 +12,7 @@ from .common import documents, labels
 from .imatch import op7_fingerprints
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
+from .ngram_join import op2_ngram_join
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .toxicity import op1_toxicity
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda s, d: op1_toxicity(documents(s, d), labels(s, d)),
+        "op2_ngram_join": lambda s, d: op2_ngram_join(documents(s, d)),
         "op3_bpe": lambda s, d: op3_bpe(documents(s, d)),
         "op4_mixing": lambda s, d: op4_mixing(documents(s, d)),
         "op5_line_dedup": lambda s, d: op5_line_dedup(documents(s, d)),
