@@ -9,10 +9,12 @@ Null and empty texts have zero for all comparisons and get that score. Letters A
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,13 @@ class Models:
         two = (np.maximum(pairs - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(total, 1)
         self.shared = np.where(total > 0, two, single).astype(np.float32).ravel()
 
+    def __getstate__(self) -> dict:
+        """Compressed for the broadcast: most buckets are empty."""
+        return {k: [zlib.compress(t.tobytes(), 1) for t in v] if isinstance(v, list) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= {k: [np.frombuffer(zlib.decompress(t), np.float32).reshape(TABLE, 2) for t in v] if isinstance(v, list) else v for k, v in state.items()}
+
     @staticmethod
     def _table(rows: DataFrame, columns: tuple[str, str]) -> np.ndarray:
         got = rows.select("b", *columns).toArrow()  # TABLE rows at most
@@ -157,13 +166,12 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip((x - self.shift) / self.scale @ self.w[:-1] + self.w[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> tuple[Models, Calibration]:
-    """Models and calibration learnt from labels outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> tuple[Broadcast, Calibration]:
+    """Models, as a broadcast value, and calibration, learnt from labels outside the held-out fold."""
     sc = docs.sparkSession.sparkContext
     learn = labels.filter(fold(F.col("doc_id"), folds) != held_out)
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(CALIBRATION)) == 0
-    models = Models(count_grams(with_label(docs, learn.filter(~part), "toxic")))
-    shared = sc.broadcast(models)
+    shared = sc.broadcast(Models(count_grams(with_label(docs, learn.filter(~part), "toxic"))))
     hold = learn.filter(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -
 
     rows = with_label(docs, bounded(hold, MOST_LABELLED, hold.count(), 6), "toxic").select("text", "label")
     got = rows.mapInArrow(run, "label int, a double, b double, c double, d double").orderBy("a", "b", "c", "d", "label").toPandas().to_numpy(float)
-    return models, Calibration(got[:, 1:], got[:, 0])
+    return shared, Calibration(got[:, 1:], got[:, 0])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, and the length-normalised log-likelihood ratio of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))
+    shared, calibration = fit(docs, labels, folds, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, calibration = shared.value
         for b in batches:
-            x = comparisons(b.column(1), models)
+            x = comparisons(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(calibration.score(x)), pa.array(x[:, 0])], ["doc_id", "score", "ratio"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, ratio double")
