@@ -13,6 +13,7 @@ from .imatch import op7_fingerprints
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
 from .ngram_join import op2_ngram_join
+from .pii import op6_pii
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .toxicity import op1_toxicity
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe": lambda s, d: op3_bpe(documents(s, d)),
         "op4_mixing": lambda s, d: op4_mixing(documents(s, d)),
         "op5_line_dedup": lambda s, d: op5_line_dedup(documents(s, d)),
+        "op6_pii": lambda s, d: op6_pii(documents(s, d)),
         "op7_fingerprints": lambda s, d: op7_fingerprints(documents(s, d)),
         "op8_quality_rules": lambda s, d: op8_quality_rules(documents(s, d)),
         "op9_quality_classifier": lambda s, d: op9_quality_classifier(documents(s, d), labels(s, d)),
