@@ -221,5 +221,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those of documents that have a similar one with a smaller doc_id in their component. Rows without doc_id stay."""
+    gone = ngram_join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(_small(written(gone, "near-duplicates")), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op2_ngram_join(docs: DataFrame) -> DataFrame:
     return ngram_join(docs)

@@ -202,5 +202,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score")
 
 
+def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, held_out: int = 0) -> DataFrame:
+    """The rows of docs, with all their columns, that score threshold or more: texts are scored where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, network = shared.value
+        for b in batches:
+            yield b.filter(pa.array(network.score(pooled(b.column(at), table).astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_scores(docs, labels).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

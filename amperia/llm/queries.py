@@ -10,6 +10,7 @@ from . import oracle
 from .bpe import op3_bpe
 from .common import documents, labels
 from .imatch import op7_fingerprints
+from .licenses import op10_licenses
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
 from .ngram_join import op2_ngram_join
@@ -32,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op7_fingerprints": lambda s, d: op7_fingerprints(documents(s, d)),
         "op8_quality_rules": lambda s, d: op8_quality_rules(documents(s, d)),
         "op9_quality_classifier": lambda s, d: op9_quality_classifier(documents(s, d), labels(s, d)),
+        "op10_licenses": lambda s, d: op10_licenses(documents(s, d)),
     }
 
 
