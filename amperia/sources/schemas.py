@@ -22,7 +22,16 @@ _DDL = {
     "err_telemetria": "id_error long not null, id_evento_origen long, id_medidor long, timestamp_evento timestamp, tipo_evento string, tipo_error string not null, motivo_error string not null, detalle_tecnico string, id_lote_procesamiento int, fecha_deteccion timestamp not null, resuelto boolean not null, fecha_resolucion timestamp",
     "ctrl_lotes_procesamiento": "id_lote int not null, fecha_inicio timestamp, fecha_fin timestamp, total_eventos int not null, total_hechos int not null, total_huerfanos int not null, total_transitorios int not null, estado string not null, fecha_ejecucion timestamp not null, duracion_segundos decimal(10,2)",
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _column(text: str) -> T.StructField:
+    name, kind, *rest = text.split(" ")
+    size = kind.removeprefix("decimal(").removesuffix(")").split(",")
+    return T.StructField(name, T.DecimalType(*map(int, size)) if kind.startswith("decimal") else _TYPES[kind], not rest)
+
+
+SCHEMAS: dict[str, T.StructType] = {table: T.StructType([_column(x) for x in columns.split(", ")]) for table, columns in _DDL.items()}
 
 # Codes that the tables may hold.
 EVENT_TYPES = ("POWER_OUTAGE", "POWER_RESTORATION", "VOLTAGE_SPIKE", "VOLTAGE_SAG", "HEARTBEAT", "UNKNOWN")
