@@ -49,13 +49,13 @@ def kept_lines(text: Column, keep: Column) -> Column:
     return F.array_join(let(dense, staying), "\n")
 
 
-def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the bitmaps applied to text; n_lines and n_dropped are added."""
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """docs with the bitmaps applied to text; n_lines and n_dropped are added if counts."""
     b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
     joined = docs.join(b, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     kept = F.when(F.col("_keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept_lines(F.col("text"), F.col("_keep")))
-    added = joined.withColumns({"n_lines": F.size(_lines(F.col("text"))).cast("long"), "n_dropped": F.coalesce("_n", F.lit(0).cast("long")), "text": kept})
-    return added.drop("_id", "_th", "_n", "_keep")
+    added = {"n_lines": F.size(_lines(F.col("text"))).cast("long"), "n_dropped": F.coalesce("_n", F.lit(0).cast("long"))} if counts else {}
+    return joined.withColumns(added | {"text": kept}).drop("_id", "_th", "_n", "_keep")
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:

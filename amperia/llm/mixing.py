@@ -102,11 +102,12 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed(docs: DataFrame, seed: int = 17, **how: object) -> DataFrame:
     """The mix itself, with the columns of docs: a document's row as often as it is taken whole, and its first words where a block ends inside it."""
-    names = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    rows = mix(docs.select("doc_id", "source", *names), seed, names, **how).filter(F.col("taken") > 0)
-    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    texts = F.concat(F.array_repeat("text", whole), F.when(part > 0, F.array(first_words(F.col("text"), part))).otherwise(F.array().cast("array<string>")))
-    return rows.withColumn("_texts", texts).withColumn("text", F.explode("_texts")).select(*docs.columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))  # columns of any name
+    rows = mix(packed, seed, ("_row",), **how).filter(F.col("taken") > 0)
+    text, whole, part = F.col("_row.text"), F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    texts = F.concat(F.array_repeat(text, whole), F.when(part > 0, F.array(first_words(text, part))).otherwise(F.array().cast("array<string>")))
+    taken = rows.select("_row", F.explode(texts).alias("_text"))
+    return taken.select(*(F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:

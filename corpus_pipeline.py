@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another one keeps."""
-    return _measured(drop_lines(docs, keep_bitmaps(docs)), docs.columns)
+    return _measured(drop_lines(docs, keep_bitmaps(docs), counts=False), docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
