@@ -2,7 +2,7 @@
 
 1. Equal sets are collapsed by a 128-bit signature; one document of each class goes on.
 2. A set's shingles fall into the parts of a sketch; each part keeps the parity of its bits (as the XOR of the shingles' codes). A shingle that only one of two sets has changes one part of one of them, so the number of parts in which two sketches differ is a lower bound of the symmetric difference. At similarity 0.8 that is at most (a + b) / 9 for sets of a and b shingles. Pigeonhole: of each sketch the (a + b) / 9 + 1 fullest occupied parts are joined with those of the sketches of its size band and the next. A sketch with too few occupied parts for this is sketched again with other hashes, as any partner that it could miss is too.
-3. Sketches that share a part are candidates. Each is first paired with the smallest document of a part that it shares most parts with; then, wherever documents in one part are still in different components, all of those pairs. A pair is dropped if the Hamming distance of the whole bit sketches exceeds (a + b) / 9, else the sets are compared.
+3. Sketches that share a part are candidates. Each is first paired with the smallest document of a part that it shares most parts with; then, wherever documents in one part are still in different components, with all of those. A pair is dropped if the Hamming distance of the whole bit sketches exceeds (a + b) / 9, else the sets are compared. Documents that share a part with many others, yet are similar to few, are compared by bit sketches in blocks: this step's work grows with the square of such a group, its results do not.
 
 Words are runs without white space, A-Z in lower case; with fewer than five words the whole sequence is one shingle. Null or empty texts have no shingles and no links. A row without doc_id is linked with nothing and has no component. Rows that repeat are equal sets. Other columns are not read.
 """
@@ -25,6 +25,8 @@ N = 5
 BAND_GROWTH, PART_LOAD, LEAST_PARTS, TRIES = 1.6, 2.7, 16, 6
 #: Rows of one id that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Documents of one token that are compared with one another in one place, about.
+BLOCK = 512
 U = np.uint64
 
 
@@ -193,6 +195,62 @@ def links(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(full.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"), "links")
 
 
+def close_pairs(unit: list[tuple]) -> list[tuple[int, int]]:
+    """Of a unit's documents (doc_id, comp, block, n_shingles, sketch) those pairs of different components and, if there are two blocks, of different blocks, that sizes and bit sketches do not rule out."""
+    out = []
+    by_length: dict[int, list[tuple]] = {}
+    for r in unit:
+        by_length.setdefault(len(r[4]), []).append(r)
+    groups = []
+    for rows in by_length.values():
+        ids, comp, block, n = (np.array([r[k] for r in rows]) for k in range(4))
+        groups.append((ids, comp, block, n, np.frombuffer(b"".join(r[4] for r in rows), U).reshape(len(rows), -1)))
+    crossed = len({r[2] for r in unit}) > 1
+    for g, (ids, comp, block, n, sketch) in enumerate(groups):
+        for ids2, comp2, block2, n2, sketch2 in groups[g:]:
+            w = min(sketch.shape[1], sketch2.shape[1])
+            x, y = (np.bitwise_xor.reduce(v.reshape(len(v), -1, w), axis=1) for v in (sketch, sketch2))
+            for k in range(len(ids)):
+                fit = (comp2 != comp[k]) & (5 * n2 >= 4 * n[k]) & (4 * n2 <= 5 * n[k])
+                if crossed:
+                    fit &= block2 != block[k]
+                if ids2 is ids:
+                    fit[: k + 1] = False
+                at = np.flatnonzero(fit)
+                if len(at):
+                    at = at[np.bitwise_count(y[at] ^ x[k]).sum(1) <= (n2[at] + n[k]) // 9]
+                    out += [(int(ids[k]), int(ids2[i])) for i in at]
+    return out
+
+
+def still_apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: the pairs of documents that share a token, are in different components and that bit sketches do not rule out. members: token, doc_id, comp.
+
+    A token's documents are dealt to blocks of about BLOCK; each pair of blocks is a unit, compared in one place, of which only what is left comes out: no task meets more than two blocks of a token.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, unit, found = None, [], []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    found += close_pairs(unit) if len(unit) > 1 else []
+                    key, unit = row[:3], []
+                unit.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            found = []
+        found = close_pairs(unit) if len(unit) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    apart = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    rows = members.join(apart.select("token", "n"), "token")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    unit = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "comp", "block", "n_shingles", "sketch")
+    return unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = docs.select("doc_id", "text")
@@ -211,10 +269,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     members = met.select("token", "doc_id").union(met.select("token", "leader").distinct()).toDF("token", "doc_id")
     labelled = members.join(comps, members.doc_id == comps.node, "left").select("token", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     labelled = written(labelled, "members")
-    apart = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    open_ = labelled.join(apart, "token")
-    other = open_.toDF("token", "b", "comp_b")
-    rest = open_.withColumnRenamed("doc_id", "a").join(other, "token").filter("comp < comp_b").select("a", "b").distinct()
+    rest = still_apart(labelled, signed)
     more = links(docs, signed, rest)
     final = components(found.union(more))
     out = named.join(final, named.rep == final.node, "left")
