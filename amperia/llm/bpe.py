@@ -2,7 +2,7 @@
 
 Encoding is a streaming transducer. The merge list gives a sufficient lookahead: how far to the right of a boundary a symbol can still change it. A piece is read into a buffer of bounded length; a token leaves as soon as the buffer reaches further than the lookahead behind it, so memory does not grow with a piece. Tokens of short pieces are remembered in a table of bounded size. Decoding is a state machine fed with one token at a time.
 
-What the file asks for is done as the tokenizers library does it: added tokens split the raw text, then NFC, white space, lower case, splitting, byte symbols, merges with an end-of-word suffix; without a decoder, tokens are joined by a space. Ids and text are equal to the library's (tests compare them).
+What the file asks for is done as the tokenizers library does it: added tokens split the raw text, then NFC, white space, lower case, splitting, byte symbols, merges with an end-of-word suffix; without a decoder, tokens are joined by a space. Ids and text are equal to the library's (tests compare them) for all characters that Python's Unicode tables hold; sequences of combining marks that the library's older tables do not know may be ordered differently.
 
 A null text is empty: no tokens, empty text. Rows that repeat are encoded each; a null doc_id stays. Other columns are not read.
 """
