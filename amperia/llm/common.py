@@ -1,9 +1,8 @@
-"""What several corpus operators share: word splitting, lambdas with a bound value, written intermediate tables."""
+"""What several corpus operators share: tables, word splitting, lambdas with a bound value, what Python workers need."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -11,12 +10,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.interim import stored as written  # noqa: F401
+
 #: White space that separates words, as a character class of Java, Python and DuckDB regular expressions.
 WS = r"[\x20\x09-\x0D]"
 #: The same six characters, for trim().
 WS_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows and bytes of a batch that a Python worker gets.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -42,28 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, read back from there, so a lost executor costs one task. Removed when the application ends."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package, where it is not installed on them: once for each application."""
+    """Lets Python workers import this package, where it is not installed on them: once for each application. Bounds the batches that they get, unless the session does, so that long texts do not add up in a worker."""
     sc = spark.sparkContext
+    for name, most in BATCHES.items():
+        if not spark.conf.get(name, ""):
+            spark.conf.set(name, most)
     if getattr(sc, "_amperia_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
