@@ -1,7 +1,8 @@
-"""Reconciliation of outage events: from pending events to facts, errors and the rest of a batch's changes. Lazy: nothing here runs a job."""
+"""Reconciliation of outage events: from pending events to facts, errors and the rest of a batch's changes. Lazy: nothing here runs a job, unless a store is given."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from ..operators.pairing import DOUBLE, OUTAGE, TRANSIENT_MINUTES, orphans, pair
 from ..operators.versions import asof_global, asof_latest
 
 Tables = dict[str, DataFrame]
+#: Makes a table of an intermediate result and its name; the default leaves it a plan that is computed wherever it is read.
+Store = Callable[[DataFrame, str], DataFrame]
 
 # Names of the members that stand for what is unknown.
 UNKNOWN_SECTOR, UNKNOWN_DISTRICT = "SECTOR_DESCONOCIDO", "DISTRITO_DESCONOCIDO"
@@ -31,6 +34,10 @@ def valid_pairs(p: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return long.join(known, ["id_medidor", "ts_outage"], "left_anti")
 
 
+def as_plan(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 def network_fallback(t: Tables, starts: DataFrame) -> DataFrame:
     """The network versions to be added for meters of starts (id_medidor, ts_outage) that no version covers: one each, valid from a day before the first such outage.
 
@@ -60,10 +67,10 @@ def unknown_sector(t: Tables) -> DataFrame:
     return geo.agg(F.coalesce(own, F.coalesce(F.max("sk_geografia_urbana"), F.lit(0)) + 1).alias("sk_desconocido"), own.isNotNull().alias("existe"))
 
 
-def resolved(t: Tables, long: DataFrame) -> DataFrame:
-    """Pairs with all dimension keys: facts without identity. A start outside the calendar is an error, as it is where the key may not be null."""
+def resolved(t: Tables, long: DataFrame, added: DataFrame) -> DataFrame:
+    """Pairs with all dimension keys: facts without identity. added: the network versions of network_fallback. A start outside the calendar is an error, as it is where the key may not be null."""
     red = asof_latest(long, t["dim_red_electrica"], ("id_medidor", "id_medidor_origen"), "ts_outage", ["sk_red_electrica", "sk_geografia_urbana"])
-    spare = network_fallback(t, long.select("id_medidor", "ts_outage")).select("id_medidor", F.col("sk_red_electrica").alias("sk_otra"))
+    spare = added.select("id_medidor", F.col("sk_red_electrica").alias("sk_otra"))
     placed = red.join(spare, "id_medidor", "left").crossJoin(F.broadcast(unknown_sector(t)))
     inventory = asof_global(placed, t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"])
     top = t["dim_clientes_inventario"].agg((F.coalesce(F.max("sk_clientes"), F.lit(0)) + 1).alias("sk_inventario"))
@@ -86,13 +93,14 @@ def resolved(t: Tables, long: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_outages(t: Tables, start: datetime | None = None, end: datetime | None = None) -> Tables:
+def reconcile_outages(t: Tables, start: datetime | None = None, end: datetime | None = None, store: Store = as_plan) -> Tables:
     """What a batch over the pending events changes: hechos, errores, procesados (id_evento), red_nueva, geografia_nueva, clientes_nuevo, contadores."""
     events = pending(t["staging_eventos"], "timestamp_evento", start, end)
-    lone, p = orphans(events), pairs(events)
+    lone, p = orphans(events), store(pairs(events), "pares")
     facts = t.get("fact_interrupciones")
     long = valid_pairs(p, facts)
-    hechos = resolved(t, long)
+    added = store(network_fallback(t, long.select("id_medidor", "ts_outage")), "red_nueva")
+    hechos = store(resolved(t, long, added), "hechos")
     error = lambda rows, kind, reason, detail, at: rows.select(F.col(at[0]).alias("id_evento_origen"), "id_medidor", F.col(at[1]).alias("timestamp_evento"), F.lit(at[2]).alias("tipo_evento"), F.lit(kind).alias("tipo_error"), reason.alias("motivo_error"), F.lit(detail).cast("string").alias("detalle_tecnico"))
     logged = lone if "err_telemetria" not in t else lone.join(t["err_telemetria"].select(F.col("id_evento_origen").alias("id_evento")), "id_evento", "left_anti")
     orphan_rows = error(logged, "INTERRUPCION", F.col("huerfana"), None, ("id_evento", "timestamp_evento", "POWER_RESTORATION"))
@@ -107,7 +115,7 @@ def reconcile_outages(t: Tables, start: datetime | None = None, end: datetime |
         "hechos": hechos,
         "errores": orphan_rows.unionByName(double_rows).unionByName(unknown),
         "procesados": done,
-        "red_nueva": network_fallback(t, long.select("id_medidor", "ts_outage")),
+        "red_nueva": added,
         "geografia_nueva": lacking.select("sk_geografia_urbana", F.lit(UNKNOWN_SECTOR).alias("sector_urbano"), F.lit(UNKNOWN_DISTRICT).alias("distrito"), F.lit("NORMAL").alias("nivel_criticidad")),
         "clientes_nuevo": customers.select("sk_clientes", F.lit(DEFAULT_INVENTORY[0]).alias("total_clientes_servidos"), F.lit(DEFAULT_INVENTORY[1]).cast("timestamp").alias("fecha_inicio"), F.lit(None).cast("timestamp").alias("fecha_fin"), F.lit(True).alias("activo_bool"), F.lit(1).alias("version")),
         "contadores": counters(p, logged, hechos),

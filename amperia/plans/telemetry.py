@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.changes import insert_ignore
 from ..operators.pairing import pending
 from ..operators.versions import interval_join
-from .outages import Tables
+from .outages import Store, Tables, as_plan
 
 HARD_VOLTS, NORMAL_VOLTS = (0, 1000), (180, 260)
 
@@ -64,7 +64,7 @@ def telemetry_facts(t: Tables, readings: DataFrame) -> DataFrame:
     return insert_ignore(t.get("fact_telemetria"), rows, ["sk_red_electrica", "sk_fecha", "sk_tiempo"], [F.col("_at"), F.col("id_staging")]).drop("_at", "id_staging")
 
 
-def reconcile_telemetry(t: Tables, start: datetime | None = None, end: datetime | None = None) -> Tables:
+def reconcile_telemetry(t: Tables, start: datetime | None = None, end: datetime | None = None, store: Store = as_plan) -> Tables:
     """What a batch over the pending readings changes: hechos, errores, procesados (id_staging), contadores.
 
     Readings of inactive meters and negative ones are done with; readings with a voltage warning become facts but stay pending until a batch logs nothing new about them.
@@ -84,11 +84,12 @@ def reconcile_telemetry(t: Tables, start: datetime | None = None, end: datetime
     of_off = error(off, "MEDIDOR_INACTIVO", {"consumo_wh": c("consumo_wh"), "voltaje": c("voltaje"), "tipo_lectura": c("tipo_lectura"), "bloque": F.lit("validacion")})
     of_volts = error(warned, "VOLTAGE_OUT_OF_RANGE", {"voltaje": c("voltaje"), "rango_aceptable": F.format_string("[%.2f, %.2f]", F.lit(float(HARD_VOLTS[0])), F.lit(float(HARD_VOLTS[1]))), "rango_normal": F.format_string("[%.2f, %.2f]", F.lit(float(NORMAL_VOLTS[0])), F.lit(float(NORMAL_VOLTS[1])))})
     of_below = error(below, "CONSUMO_NEGATIVO", {"consumo_wh": c("consumo_wh"), "voltaje": c("voltaje")})
-    errors = of_off.unionByName(of_volts).unionByName(of_below)
+    errors = store(of_off.unionByName(of_volts).unionByName(of_below), "errores")
     gone = off.select("id_staging").unionByName(below.select("id_staging"))
     left = readings.join(gone, "id_staging", "left_anti")
-    facts = telemetry_facts(t, left)
+    facts = store(telemetry_facts(t, left), "hechos")
     quiet = left.join(errors.select(c("id_evento_origen").alias("id_staging")), "id_staging", "left_anti").select("id_staging")
     n = lambda rows, name: rows.agg(F.count("*").alias(name))
-    totals = n(readings, "total_eventos").crossJoin(n(facts, "total_hechos")).crossJoin(n(errors, "total_huerfanos")).crossJoin(n(of_off.unionByName(of_below), "total_transitorios"))
+    wrong = errors.agg(F.count("*").alias("total_huerfanos"), F.count_if(c("tipo_error") != "VOLTAGE_OUT_OF_RANGE").alias("total_transitorios"))
+    totals = n(readings, "total_eventos").crossJoin(n(facts, "total_hechos")).crossJoin(wrong)
     return {"hechos": facts, "errores": errors, "procesados": gone.unionByName(quiet).distinct(), "contadores": totals}

@@ -118,11 +118,12 @@ def ranking(t: Tables, beta: float = 2.5, **how: bool) -> DataFrame:
     year = _latest(t).select(F.year("_last").alias("_year"))
     rows = saidi_mensual(t, beta, **how).filter("subestacion is not null").crossJoin(F.broadcast(year)).filter("anio = _year")
     mean = lambda name, scale, places: ratio(F.sum(name).cast("decimal(28,4)"), F.count(name), 4, places)
-    city = rows.agg(mean("saidi", 2, 2).alias("saidi_promedio_ciudad"))
     g = rows.groupBy("subestacion").agg(
         F.sum("saidi").alias("_sum"), F.count("*").alias("_n"), F.countDistinct("periodo").alias("meses_con_datos"), mean("saidi", 2, 2).alias("saidi_promedio"), mean("saifi", 4, 4).alias("saifi_promedio"), mean("caidi", 2, 2).alias("caidi_promedio"),
         F.sum("total_interrupciones").alias("total_interrupciones_acum"),
-    ).crossJoin(F.broadcast(city))
+    )
+    city = W.partitionBy()  # one row a substation
+    g = g.withColumn("saidi_promedio_ciudad", ratio(F.sum("_sum").over(city).cast("decimal(28,4)"), F.sum("_n").over(city), 4, 2))
     over = lambda times: c("_sum").cast("decimal(28,2)") > c("saidi_promedio_ciudad") * c("_n") * F.lit(times).cast("decimal(2,1)")
     return g.select(
         F.row_number().over(W.orderBy(c("_sum").desc(), "subestacion")).alias("ranking"), "subestacion", "meses_con_datos", "saidi_promedio", "saifi_promedio", "caidi_promedio", "total_interrupciones_acum", "saidi_promedio_ciudad",

@@ -12,6 +12,7 @@ from .operators import pairing
 from .operators.changes import update
 from .operators.versions import asof_global, asof_latest, interval_join
 from .plans import outages, telemetry, views
+from .sources.interim import stored
 from .sources.testbind import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,8 @@ def events(t: outages.Tables) -> DataFrame:
 
 
 def with_outages(t: outages.Tables) -> outages.Tables:
-    """The tables after a batch of outages: facts, and the network members that it added."""
-    batch = outages.reconcile_outages(t)
+    """The tables after a batch of outages, as written: facts, and the network members that it added."""
+    batch = outages.reconcile_outages(t, store=stored)
     return t | {
         "fact_interrupciones": batch["hechos"].withColumn("excluido_med", F.lit(False)),
         "dim_red_electrica": t["dim_red_electrica"].unionByName(batch["red_nueva"], allowMissingColumns=True),
@@ -38,24 +39,24 @@ def with_outages(t: outages.Tables) -> outages.Tables:
 
 
 def with_readings(t: outages.Tables) -> outages.Tables:
-    batch = telemetry.reconcile_telemetry(t)
+    batch = telemetry.reconcile_telemetry(t, store=stored)
     return t | {"fact_telemetria": batch["hechos"], "err_telemetria": batch["errores"].withColumns({"fecha_deteccion": F.lit("2024-02-01").cast("timestamp"), "resuelto": F.lit(False)})}
 
 
 def second_run(t: outages.Tables) -> DataFrame:
     """What the same batch would add when run again over the tables as the first left them: the counts, all 0."""
-    first = outages.reconcile_outages(t)
+    first = outages.reconcile_outages(t, store=stored)
     after = with_outages(t)
-    after["staging_eventos"] = update(t["staging_eventos"], first["procesados"], "id_evento", {"procesado": F.lit(True)})
+    after["staging_eventos"] = stored(update(t["staging_eventos"], first["procesados"], "id_evento", {"procesado": F.lit(True)}), "staging_eventos")
     again = outages.reconcile_outages(after)
     return again["hechos"].agg(F.count("*").alias("hechos_nuevos")).crossJoin(again["errores"].agg(F.count("*").alias("errores_nuevos")))
 
 
 def second_telemetry_run(t: outages.Tables) -> DataFrame:
     """Readings still pending after one and after two batches, and what the second adds."""
-    first = telemetry.reconcile_telemetry(t)
+    first = telemetry.reconcile_telemetry(t, store=stored)
     after = with_readings(t)
-    after["staging_telemetria"] = update(t["staging_telemetria"], first["procesados"], "id_staging", {"procesado": F.lit(True)})
+    after["staging_telemetria"] = stored(update(t["staging_telemetria"], first["procesados"], "id_staging", {"procesado": F.lit(True)}), "staging_telemetria")
     again = telemetry.reconcile_telemetry(after)
     pending = pairing.pending(after["staging_telemetria"], "timestamp_lectura")
     rest = pending.join(again["procesados"], "id_staging", "left_anti")
@@ -65,7 +66,7 @@ def second_telemetry_run(t: outages.Tables) -> DataFrame:
 
 def ledger(t: outages.Tables) -> DataFrame:
     """The ledger after one outage and one telemetry batch, without what the clock says."""
-    batches = [(1, outages.reconcile_outages(t)["contadores"]), (2, telemetry.reconcile_telemetry(t)["contadores"])]
+    batches = [(1, outages.reconcile_outages(t, store=stored)["contadores"]), (2, telemetry.reconcile_telemetry(t, store=stored)["contadores"])]
     rows = [b.select(F.lit(k).alias("id_lote"), "total_eventos", "total_hechos", "total_huerfanos", "total_transitorios", F.lit("COMPLETADO").alias("estado")) for k, b in batches]
     return views.monitoreo_elt({"ctrl_lotes_procesamiento": rows[0].unionByName(rows[1])})
 
@@ -110,13 +111,13 @@ def queries() -> dict[str, Query]:
         "fact_interrupciones": _over(lambda t: outages.reconcile_outages(t)["hechos"]),
         "outage_errors": _over(lambda t: outages.reconcile_outages(t)["errores"].select("id_evento_origen", "id_medidor", "tipo_evento", "tipo_error", "motivo_error")),
         "outage_processed": _over(lambda t: outages.reconcile_outages(t)["procesados"]),
-        "outage_counters": _over(lambda t: outages.reconcile_outages(t)["contadores"]),
+        "outage_counters": _over(lambda t: outages.reconcile_outages(t, store=stored)["contadores"]),
         "second_run_facts": _over(second_run),
         "telemetry_inactive": _over(lambda t: telemetry.inactive_readings(t, readings(t)).select("id_staging", "id_medidor", "timestamp_lectura")),
         "telemetry_voltage": _over(lambda t: telemetry.voltage_warnings(active(t)).select("id_staging", "voltaje", "motivo_error")),
         "telemetry_negative": _over(lambda t: telemetry.negative_consumption(active(t)).select("id_staging", "consumo_wh")),
         "fact_telemetria": _over(lambda t: telemetry.reconcile_telemetry(t)["hechos"]),
-        "telemetry_counters": _over(lambda t: telemetry.reconcile_telemetry(t)["contadores"]),
+        "telemetry_counters": _over(lambda t: telemetry.reconcile_telemetry(t, store=stored)["contadores"]),
         "second_run_readings": _over(second_telemetry_run),
         "saidi_diario": _over(lambda t: views.saidi_diario(with_outages(t))),
         "saidi_diario_all_versions": _over(lambda t: views.saidi_diario(with_outages(t), **V)),

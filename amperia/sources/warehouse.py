@@ -116,12 +116,14 @@ class Warehouse:
         began, lote = time.time(), self._next_batch()
         try:
             t = self.tables()
-            batch = (reconcile_outages if plan == "outages" else reconcile_telemetry)(t, start, end)
-            # Facts, errors and ids are computed once: counters, tables and marks read what is written here.
             work = f"{self.root}/_work/{uuid.uuid4().hex}"
-            for k in ("hechos", "errores", "procesados", "contadores"):
-                batch[k].write.parquet(f"{work}/{k}")
-                batch[k] = self.spark.read.parquet(f"{work}/{k}")
+
+            def store(df: DataFrame, name: str) -> DataFrame:
+                df.write.parquet(f"{work}/{name}")
+                return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+            # Pairs, facts and errors are computed once: counters, tables and marks read what is written here.
+            batch = (reconcile_outages if plan == "outages" else reconcile_telemetry)(t, start, end, store)
             counts = batch["contadores"].first().asDict()
             now, stamp = F.current_timestamp(), F.lit(lote)
             errors = self._append("err_telemetria", "id_error", batch["errores"], F.to_date("timestamp_evento"), ["timestamp_evento", "id_evento_origen", "tipo_error"], {"fecha_deteccion": now, "resuelto": F.lit(False), "id_lote_procesamiento": stamp})
