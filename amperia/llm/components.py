@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 40)), F.lit(0))).first()
-    return r[0], r[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges lead from a node to the root of its tree: nothing has two edges down, or one down and one up."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1 and down > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node of its component) of every node of edges (a, b). A node with very many edges meets them as a minimum, summed up before the shuffle, and in joins whose large partitions Spark splits."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _settled(now):
         both = now.select("a", "b").union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", "m")).distinct()
-        now, before = written(small, "edges"), state
-        state = _state(now)
-        if state == before:
-            break
+        now = written(small, "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select("b", "b").distinct())
+
+
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """comp and whole: what components (node, comp) become when more edges (a, b) are added, for those that edges touch. Only the graph of components is searched."""
+    own = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+    named = edges.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return components(named.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).toDF("comp", "whole")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, merged
 from .flat import LOWER, mix, slices, word_bounds, word_hashes
 
 N = 5
@@ -271,9 +271,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     labelled = written(labelled, "members")
     rest = still_apart(labelled, signed)
     more = links(docs, signed, rest)
-    final = components(found.union(more))
-    out = named.join(final, named.rep == final.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    out = named.join(comps, named.rep == comps.node, "left").withColumn("comp", F.coalesce("comp", "rep", "doc_id"))
+    return out.join(merged(comps, more), "comp", "left").select("doc_id", "n_shingles", F.coalesce("whole", "comp").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
