@@ -1,3 +1,39 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .common import LOWER, UPPER
+
+_SPACES = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+
+#: All pairs that share a shingle are counted: right for small tables, quadratic in a group of copies.
+_NGRAM_JOIN = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split
+), held AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM held x JOIN held y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+_LINE_DEDUP = f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, {_SPACES}), '{UPPER}', '{LOWER}') AS k FROM lines
+), often AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT y.doc_id, y.pos, y.line, o.k IS NULL OR y.doc_id = o.keeper AS stays FROM keyed y LEFT JOIN often o ON y.k = o.k
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""
+
+SQL: dict[str, str] = {"op2_ngram_join": _NGRAM_JOIN, "op5_line_dedup": _LINE_DEDUP}
