@@ -50,7 +50,7 @@ def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package, where it is not installed on them: once for each application. Bounds the batches that they get, unless the session does, so that long texts do not add up in a worker."""
     sc = spark.sparkContext
     for name, most in BATCHES.items():
-        if not spark.conf.get(name, ""):
+        if name not in spark.conf.getAll:
             spark.conf.set(name, most)
     if getattr(sc, "_amperia_shipped", False):
         return
