@@ -28,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
-    """comp and whole: what components (node, comp) become when more edges (a, b) are added, for those that edges touch. Only the graph of components is searched."""
+    """components (node, comp) with more edges (a, b) added. Only the graph of components is searched."""
     own = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
     named = edges.join(own("a"), "a", "left").join(own("b"), "b", "left")
-    return components(named.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).toDF("comp", "whole")
+    whole = components(named.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))).toDF("comp", "whole")
+    fresh = whole.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti")
+    return comps.join(whole, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")).union(fresh)

@@ -2,7 +2,7 @@
 
 1. Equal sets are collapsed by a 128-bit signature; one document of each class goes on.
 2. A set's shingles fall into the parts of a sketch; each part keeps the parity of its bits (as the XOR of the shingles' codes). A shingle that only one of two sets has changes one part of one of them, so the number of parts in which two sketches differ is a lower bound of the symmetric difference. At similarity 0.8 that is at most (a + b) / 9 for sets of a and b shingles. Pigeonhole: of each sketch the (a + b) / 9 + 1 fullest occupied parts are joined with those of the sketches of its size band and the next. A sketch with too few occupied parts for this is sketched again with other hashes, as any partner that it could miss is too.
-3. Sketches that share a part are candidates. Each is first paired with the smallest document of a part that it shares most parts with; then, wherever documents in one part are still in different components, with all of those. A pair is dropped if the Hamming distance of the whole bit sketches exceeds (a + b) / 9, else the sets are compared. Documents that share a part with many others, yet are similar to few, are compared by bit sketches in blocks: this step's work grows with the square of such a group, its results do not.
+3. Sketches that share a part are candidates. Each is first paired with the smallest document of a part that it shares most parts with; then, wherever documents in one part are still in different components, with the nearest of those by bit sketch, and then with all that are still in different components. A pair is dropped if the Hamming distance of the whole bit sketches exceeds (a + b) / 9, else the sets are compared. Documents that share a part with many others, yet are similar to few, are compared by bit sketches in blocks: this step's work grows with the square of such a group, its results do not.
 
 Words are runs without white space, A-Z in lower case; with fewer than five words the whole sequence is one shingle. Null or empty texts have no shingles and no links. A row without doc_id is linked with nothing and has no component. Rows that repeat are equal sets. Other columns are not read.
 """
@@ -27,6 +27,8 @@ BAND_GROWTH, PART_LOAD, LEAST_PARTS, TRIES = 1.6, 2.7, 16, 6
 BROADCAST_ROWS = 1_000_000
 #: Documents of one token that are compared with one another in one place, about.
 BLOCK = 512
+#: Pairs of a document that are compared first, in each such place.
+NEAREST = 8
 U = np.uint64
 
 
@@ -195,8 +197,8 @@ def links(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(full.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"), "links")
 
 
-def close_pairs(unit: list[tuple]) -> list[tuple[int, int]]:
-    """Of a unit's documents (doc_id, comp, block, n_shingles, sketch) those pairs of different components and, if there are two blocks, of different blocks, that sizes and bit sketches do not rule out."""
+def close_pairs(unit: list[tuple], nearest: int | None = None) -> list[tuple[int, int]]:
+    """Of a unit's documents (doc_id, comp, block, n_shingles, sketch) those pairs of different components and, if there are two blocks, of different blocks, that sizes and bit sketches do not rule out; of each document's only the nearest, if so many are given."""
     out = []
     by_length: dict[int, list[tuple]] = {}
     for r in unit:
@@ -218,12 +220,16 @@ def close_pairs(unit: list[tuple]) -> list[tuple[int, int]]:
                     fit[: k + 1] = False
                 at = np.flatnonzero(fit)
                 if len(at):
-                    at = at[np.bitwise_count(y[at] ^ x[k]).sum(1) <= (n2[at] + n[k]) // 9]
+                    apart = np.bitwise_count(y[at] ^ x[k]).sum(1)
+                    close = apart <= (n2[at] + n[k]) // 9
+                    at, apart = at[close], apart[close]
+                    if nearest is not None and len(at) > nearest:
+                        at = at[np.argpartition(apart, nearest - 1)[:nearest]]
                     out += [(int(ids[k]), int(ids2[i])) for i in at]
     return out
 
 
-def still_apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
+def still_apart(members: DataFrame, sketches: DataFrame, nearest: int | None = None) -> DataFrame:
     """a, b: the pairs of documents that share a token, are in different components and that bit sketches do not rule out. members: token, doc_id, comp.
 
     A token's documents are dealt to blocks of about BLOCK; each pair of blocks is a unit, compared in one place, of which only what is left comes out: no task meets more than two blocks of a token.
@@ -234,12 +240,12 @@ def still_apart(members: DataFrame, sketches: DataFrame) -> DataFrame:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:3] != key:
-                    found += close_pairs(unit) if len(unit) > 1 else []
+                    found += close_pairs(unit, nearest) if len(unit) > 1 else []
                     key, unit = row[:3], []
                 unit.append(row[3:])
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
             found = []
-        found = close_pairs(unit) if len(unit) > 1 else []
+        found = close_pairs(unit, nearest) if len(unit) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     apart = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
@@ -267,12 +273,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     found = links(docs, signed, first.select("a", F.col("doc_id").alias("b")))
     comps = written(components(found), "components")
     members = met.select("token", "doc_id").union(met.select("token", "leader").distinct()).toDF("token", "doc_id")
-    labelled = members.join(comps, members.doc_id == comps.node, "left").select("token", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    labelled = written(labelled, "members")
-    rest = still_apart(labelled, signed)
-    more = links(docs, signed, rest)
-    out = named.join(comps, named.rep == comps.node, "left").withColumn("comp", F.coalesce("comp", "rep", "doc_id"))
-    return out.join(merged(comps, more), "comp", "left").select("doc_id", "n_shingles", F.coalesce("whole", "comp").alias("component_id"))
+    # The nearest pairs unite a large group with a number of comparisons in proportion to it; all that are left then follow.
+    for nearest in (NEAREST, None):
+        labelled = members.join(comps, members.doc_id == comps.node, "left").select("token", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+        more = links(docs, signed, still_apart(written(labelled, "members"), signed, nearest))
+        comps = written(merged(comps, more), "components")
+    out = named.join(comps, named.rep == comps.node, "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
