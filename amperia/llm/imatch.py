@@ -1,8 +1,8 @@
 """I-Match fingerprints: the terms whose inverse document frequency lies in a band form a lexicon; a text's distinct lexicon terms, sorted, are hashed once for each of several randomised subsets of the lexicon.
 
-Main path: DataFrame functions only. Document frequencies cover all documents. A term in the band stands in more than LEAST_SHARE of the documents, so the lexicon holds at most (mean number of distinct terms) / LEAST_SHARE terms however many documents there are; it is a constant of the plan. Subsets come in GROUPS of falling share; those in which a text has one to MOST_TERMS terms are hashed: the large ones for short texts, the small ones for long texts, so that an edit changes few of them.
+Main path: DataFrame functions only. Document frequencies cover all documents. A term in the band stands in more than LEAST_SHARE of the documents, so the lexicon holds at most (mean number of distinct terms) / LEAST_SHARE terms however many documents there are; it is a constant of the plan. Subsets come in GROUPS of falling share, and go on in groups of half the share until one holds about one term of the lexicon; those in which a text has one to MOST_TERMS terms are hashed: the large ones for short texts, the small ones for long texts, so that an edit changes few of them. A text can't have more terms than the lexicon, so no text is too long for all subsets.
 
-A text for which no subset is hashed, such as a null or empty one, has its own hash as fingerprint: likeness 1 to equal texts, 0 to others. Rows are in order of doc_id, null first, rows with the same doc_id in order of the text's hash. Other columns are not read. Without documents the result is empty.
+A text for which no subset is hashed has the hash of all its lexicon terms as fingerprint or, without any, such as a null or empty one, its own hash: likeness 1 to equal texts, 0 to others. Rows are in order of doc_id, null first, rows with the same doc_id in order of the text's hash. Other columns are not read. Without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import WS, ascii_lower, let
 LEAST_SHARE, MOST_SHARE = 0.002, 0.2
 #: Groups of subsets that hold 1 in so many terms of the lexicon; subsets in each group; terms of a text in a subset that is hashed, at most.
 GROUPS, SUBSETS, MOST_TERMS = (4, 16, 16, 64, 64, 256, 256), 8, 3
+#: The sparser groups all draw from the same 1 in so many terms of the lexicon.
+DRAWN = 64
 #: Hash buckets by which a term is looked up in the lexicon.
 SLOTS = 1 << 13
 #: Documents in a run of neighbours, about; runs at most.
@@ -49,8 +51,16 @@ def constant(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def fingerprint(text: Column, lex: Column) -> Column:
-    """One 32-bit hash for each subset, null where the text has no or too many terms in it; a text without any has its own hash alone."""
+def sparser(n: int) -> list[int]:
+    """Shares of the groups after GROUPS for a lexicon of n terms: 1 in so many, until one is left."""
+    shares = [2 * GROUPS[-1]]
+    while shares[-1] < n:
+        shares.append(2 * shares[-1])
+    return shares
+
+
+def fingerprint(text: Column, lex: Column, sparse: list[int]) -> Column:
+    """One 32-bit hash for each subset of GROUPS and of the shares in sparse, null where the text has no or too many terms in it; a text without any has one hash alone."""
     known = F.sort_array(F.filter(terms(text), lambda t: F.array_contains(F.get(lex, F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
 
     def group(k: int, share: int) -> Callable[[Column], Column]:
@@ -64,8 +74,23 @@ def fingerprint(text: Column, lex: Column) -> Column:
 
         return lambda known: let(F.filter(F.transform(known, lot), drawn_by_any), subsets)
 
-    hashed = let(known, lambda x: F.concat(*(group(k, share)(x) for k, share in enumerate(GROUPS))))
-    return let(hashed, lambda fp: F.when(F.exists(fp, lambda x: x.isNotNull()), fp).otherwise(F.array(F.hash(text))))
+    def sparse_group(k: int, share: int) -> Callable[[Column], Column]:
+        # Of the drawn terms a subset gets DRAWN in share, and none is in two of a group.
+        def subsets(lots: Column) -> Column:
+            held = lambda j: let(F.filter(lots, lambda r: r.bitwiseAND(F.lit(share // DRAWN - 1)) == j), lambda x: F.when(F.size(x).between(1, MOST_TERMS), F.hash(x)))
+            return F.array(*map(held, range(SUBSETS)))
+
+        return lambda drawn: let(F.transform(drawn, lambda t: F.xxhash64(F.lit(k), t)), subsets)
+
+    def hashed(x: Column) -> Column:
+        drawn = F.filter(x, lambda t: F.xxhash64(F.lit(-1), t).bitwiseAND(F.lit(DRAWN - 1)) == 0)
+        after = let(drawn, lambda d: F.concat(*(sparse_group(len(GROUPS) + k, share)(d) for k, share in enumerate(sparse))))
+        return F.concat(*(group(k, share)(x) for k, share in enumerate(GROUPS)), after)
+
+    def alone(x: Column) -> Column:
+        return F.array(F.when(F.size(x) > 0, F.hash(x)).otherwise(F.hash(text)))
+
+    return let(known, lambda x: let(hashed(x), lambda fp: F.when(F.exists(fp, lambda h: h.isNotNull()), fp).otherwise(alone(x))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -103,13 +128,14 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, the fingerprints of each text and of its edited text, the hash of the edited text, and the likenesses."""
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lex = constant(lexicon(slim), "array<array<bigint>>")
+    slots = lexicon(slim)
+    lex, sparse = constant(slots, "array<array<bigint>>"), sparser(sum(map(len, slots)))
     c = F.col
-    own = slim.select("doc_id", "text", F.xxhash64("text").alias("th"), fingerprint(c("text"), lex).alias("fp"))
+    own = slim.select("doc_id", "text", F.xxhash64("text").alias("th"), fingerprint(c("text"), lex, sparse).alias("fp"))
     rows = with_next(own, ["text", "fp"]).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(c("n_chars") / 2).cast("int")
     edited = rows.withColumn("edited", F.concat(F.left("text", c("n_chars").cast("int") - half), F.left("next_text", half)))
-    printed = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(c("edited"), lex).alias("edited_fp"))
+    printed = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(c("edited"), lex, sparse).alias("edited_fp"))
     return printed.select("doc_id", "n_chars", "edited_sha256", shown(c("fp")).alias("fingerprint"), shown(c("edited_fp")).alias("edited_fingerprint"), likeness(c("fp"), c("edited_fp")).alias("near_edited"), likeness(c("fp"), c("next_fp")).alias("near_next"))
 
 

@@ -48,6 +48,25 @@ def test_equal_and_near_texts(table):
     assert got[5002].near_next == 0
 
 
+def test_near_copies_of_long_texts(table):
+    """Texts with 2,000 to 20,000 terms of the band, each followed by a copy with one word changed, then by a text of other terms."""
+    r = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(40_000)]
+    rows = [(d, " ".join(r.sample(vocabulary, 2000))) for d in range(100)]
+    sizes = (2000, 3000, 5000, 10_000, 20_000)
+    for k, n in enumerate(sizes):
+        for j in range(4):
+            base = r.sample(vocabulary, n)
+            near = list(base)
+            near[n // 3] = "changed"
+            rows += [(1000 * (k + 1) + 10 * j, " ".join(base)), (1000 * (k + 1) + 10 * j + 1, " ".join(near))]
+    got = {x.doc_id: x for x in op7_fingerprints(table(rows)).collect()}
+    for d, x in got.items():
+        assert d < 1000 or sum(h != "-" for h in x.fingerprint.split()) > 4, d
+        if d >= 1000:
+            assert x.near_next > 0.7 if d % 10 == 0 else x.near_next < 0.5, (d, x.near_next)
+
+
 def test_lexicon_is_the_band(table):
     r = random.Random(3)
     rows = [(d, " ".join({"all", f"own{d}", *(f"t{k}" for k in range(200) if r.random() < k / 200)})) for d in range(500)]
