@@ -2,27 +2,30 @@
 
 Two models of order 5, one for toxic and one for ordinary documents, each with its own counts for orders 5, 4 and 3 (continuation counts below the highest), back off to the same continuation counts of order 2 and 1, learnt from both classes: expressions that are rare in one class are smoothed by what both share. A document's log-likelihoods under both, normalised by length, are compared for the whole text and for its words; a logistic calibration, fit on labelled documents that the counts do not hold, makes a score of them.
 
-The counts are gathered by Spark from every labelled document outside the held-out fold and grow with it; what the models keep is folded into tables of TABLE buckets each, so a broadcast has the same size for any corpus. The calibration is fit on the driver on at most MOST_LABELLED rows of numbers.
+The counts are gathered by Spark from every labelled document outside the held-out fold but one in CALIBRATION, are kept under their full gram and grow with the corpus. Up to MOST_GRAMS grams of five bytes they are broadcast as sorted tables; more stay in Spark, and each text's distinct grams are joined to them. The calibration is fit on the driver on at most MOST_LABELLED rows of numbers.
 
 Null and empty texts have zero for all comparisons and get that score. Letters A-Z count as a-z. Rows that repeat are scored each; a null doc_id is scored but never learnt from. Without labels of both classes, every score is the share of label 1 (0 without labels).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .flat import LOWER, slices, word_bounds
 from .labelled import bounded, fold, with_label
 
-ORDER, DISCOUNT, TABLE = 5, 0.75, 1_048_573  # buckets: a prime
+ORDER, DISCOUNT = 5, 0.75
+#: Grams of five bytes that may be broadcast (16 bytes each, about as much again for contexts and lower orders).
+MOST_GRAMS = 4_000_000
 THRESHOLD, MOST_LABELLED = 0.7, 20_000
+CLASSES = ("toxic", "ordinary")
 #: One labelled document in so many is for the calibration instead of the counts.
 CALIBRATION = 4
 SPACE = 32
@@ -62,61 +65,111 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def levels(counts: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """For orders 5, 4 and 3: gram with its (continuation) counts, and context with totals and kinds of continuations, by class; then gram, both of order 2."""
+    tables, level = [], counts
+    for k in range(ORDER, 2, -1):
+        context = level.groupBy(F.shiftright("gram", 8).alias("context")).agg(*(F.sum(c).alias(c) for c in CLASSES), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in CLASSES))
+        tables.append((level.select("gram", *CLASSES), context))
+        # Continuation counts: in how many kinds of left context the shorter gram stands.
+        level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)).alias("gram")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES), F.count("*").alias("both"))
+    return tables, level.select("gram", "both")
+
+
+def shared_orders(level: DataFrame) -> np.ndarray:
+    """P(byte | one before) of both classes by pair of bytes."""
+    pairs = np.zeros(65536)
+    for g, n in level.collect():  # pairs of bytes, 65536 at most
+        pairs[g] = n
+    pairs = pairs.reshape(256, 256)
+    single = (pairs > 0).sum(0) + 0.5
+    single = single / single.sum()
+    total, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
+    two = (np.maximum(pairs - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(total, 1)
+    return np.where(total > 0, two, single).astype(np.float32).ravel()
+
+
+def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The rows of values whose sorted keys are wanted; zero where there is none."""
+    if not len(keys):
+        return np.zeros((len(wanted), *values.shape[1:]), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit[:, None], values[at], 0)
+
+
 class Models:
-    """What scoring needs, in tables of fixed size. seen[k]: discounted counts by bucket of the gram; over[k], kinds[k]: totals and numbers of continuations by bucket of the context; columns toxic, ordinary."""
+    """What scoring needs, by order from 5 to 3 in tables sorted by their keys. seen[k]: counts of grams[k]; over[k], kinds[k]: totals and numbers of continuations of contexts[k]; columns toxic, ordinary."""
 
     def __init__(self, counts: DataFrame) -> None:
         counts = counts.persist()
-        byte = F.col("gram")
-        self.seen, self.over, self.kinds = [], [], []
-        level = counts
-        for k in range(ORDER, 2, -1):
-            own = level.groupBy((byte % TABLE).alias("b")).agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")))
-            context = level.groupBy((F.shiftright("gram", 8) % TABLE).alias("b")).agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary")))
-            self.seen.append(self._table(own, ("toxic", "ordinary")))
-            self.over.append(self._table(context, ("toxic", "ordinary")))
-            self.kinds.append(self._table(context, ("toxic_kinds", "ordinary_kinds")))
-            # Continuation counts: in how many kinds of left context the shorter gram stands.
-            level = level.groupBy(byte.bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)).alias("gram")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary")), F.count("*").alias("both"))
-        pairs = np.zeros(65536)
-        for g, n in level.select("gram", "both").collect():  # pairs of bytes, 65536 at most
-            pairs[g] = n
+        self.grams, self.seen, self.contexts, self.over, self.kinds = [], [], [], [], []
+        tables, pairs = levels(counts)
+        for own, context in tables:
+            keys, values = self._table(own)
+            self.grams.append(keys)
+            self.seen.append(values)
+            keys, values = self._table(context)
+            self.contexts.append(keys)
+            self.over.append(values[:, :2])
+            self.kinds.append(values[:, 2:])
+        self.shared = shared_orders(pairs)
         counts.unpersist()
-        pairs = pairs.reshape(256, 256)
-        single = (pairs > 0).sum(0) + 0.5
-        single = single / single.sum()
-        total, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
-        two = (np.maximum(pairs - DISCOUNT, 0) + DISCOUNT * kinds * single) / np.maximum(total, 1)
-        self.shared = np.where(total > 0, two, single).astype(np.float32).ravel()
-
-    def __getstate__(self) -> dict:
-        """Compressed for the broadcast: most buckets are empty."""
-        return {k: [zlib.compress(t.tobytes(), 1) for t in v] if isinstance(v, list) else v for k, v in self.__dict__.items()}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= {k: [np.frombuffer(zlib.decompress(t), np.float32).reshape(TABLE, 2) for t in v] if isinstance(v, list) else v for k, v in state.items()}
 
     @staticmethod
-    def _table(rows: DataFrame, columns: tuple[str, str]) -> np.ndarray:
-        got = rows.select("b", *columns).toArrow()  # TABLE rows at most
-        t = np.zeros((TABLE, 2), np.float32)
-        t[got.column(0).to_numpy()] = np.stack([got.column(k).to_numpy() for k in (1, 2)], 1)
-        return t
+    def _table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = rows.toArrow()  # MOST_GRAMS rows at most
+        keys = got.column(0).to_numpy()
+        order = np.argsort(keys)
+        return keys[order], np.stack([c.to_numpy().astype(np.float32)[order] for c in got.columns[1:]], 1)
 
     def gain(self, g: np.ndarray) -> np.ndarray:
         """log P(byte | four before, toxic) - log P(the same, ordinary) at each byte."""
+        g, at = np.unique(g, return_inverse=True)
         p = np.repeat(self.shared[g & 0xFFFF][:, None], 2, 1)
         for k in range(3, ORDER + 1):  # from order 3 up
             j = ORDER - k
             own = g & ((1 << (8 * k)) - 1)
-            context = (own >> 8) % TABLE
-            over = self.over[j][context]
-            p = np.where(over > 0, (np.maximum(self.seen[j][own % TABLE] - DISCOUNT, 0) + DISCOUNT * self.kinds[j][context] * p) / np.maximum(over, 1), p)
+            over, kinds = found(self.contexts[j], self.over[j], own >> 8), found(self.contexts[j], self.kinds[j], own >> 8)
+            p = np.where(over > 0, (np.maximum(found(self.grams[j], self.seen[j], own) - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(over, 1), p)
         p = np.log(np.maximum(p, 1e-9))
-        return p[:, 0] - p[:, 1]
+        return (p[:, 0] - p[:, 1])[at]
+
+
+class Gains:
+    """What scoring one text needs: its own grams, sorted, and their gains."""
+
+    def __init__(self, grams: np.ndarray, gains: np.ndarray) -> None:
+        order = np.argsort(grams)
+        self.grams, self.gains = grams[order], gains[order]
+
+    def gain(self, g: np.ndarray) -> np.ndarray:
+        return found(self.grams, self.gains[:, None], g)[:, 0]
+
+
+def joined_gains(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, gain of the wanted grams (gram) as Models.gain has it, by joins."""
+    tables, pairs = levels(counts)
+    shared = shared_orders(pairs)
+    two = counts.sparkSession.createDataFrame([(k, float(p)) for k, p in enumerate(shared)], "pair long, p double")
+    rows = wanted.withColumn("pair", F.col("gram").bitwiseAND(F.lit(0xFFFF))).join(F.broadcast(two), "pair")
+    rows = rows.select("gram", *(F.col("p").alias(f"p_{c}") for c in CLASSES))
+    for k, (own, context) in zip((3, 4, 5), reversed(tables)):
+        own = own.select(F.col("gram").alias("own"), *(F.col(c).alias(f"seen_{c}") for c in CLASSES))
+        context = context.select("context", *(F.col(c).alias(f"over_{c}") for c in CLASSES), *(F.col(f"{c}_kinds").alias(f"kinds_{c}") for c in CLASSES))
+        rows = rows.withColumn("own", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).withColumn("context", F.shiftright("own", 8))
+        rows = rows.join(own, "own", "left").join(context, "context", "left")
+
+        def p(c: str) -> Column:
+            seen = F.greatest(F.coalesce(F.col(f"seen_{c}"), F.lit(0)) - DISCOUNT, F.lit(0.0))
+            return F.when(F.col(f"over_{c}") > 0, (seen + DISCOUNT * F.col(f"kinds_{c}") * F.col(f"p_{c}")) / F.col(f"over_{c}")).otherwise(F.col(f"p_{c}")).alias(f"p_{c}")
 
+        rows = rows.select("gram", *map(p, CLASSES))
+    least = lambda c: F.log(F.greatest(F.col(f"p_{c}"), F.lit(1e-9)))
+    return rows.select("gram", (least("toxic") - least("ordinary")).alias("gain"))
 
-def comparisons(texts: pa.Array, models: Models) -> np.ndarray:
+
+def comparisons(texts: pa.Array, models: Models | Gains) -> np.ndarray:
     """For each text: the log-likelihood ratio by byte; its highest by word; of its five highest words; the share of words above 4."""
     out = np.zeros((len(texts), 4))
     for i, j, data, at in slices(texts, 1 << 19):
@@ -166,34 +219,73 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip((x - self.shift) / self.scale @ self.w[:-1] + self.w[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> tuple[Broadcast, Calibration]:
-    """Models, as a broadcast value, and calibration, learnt from labels outside the held-out fold."""
+COMPARED = "a double, b double, c double, d double"
+
+
+def compared(rows: DataFrame, counts: DataFrame, shared: Broadcast | None) -> DataFrame:
+    """The first column of rows (any, text), and the four comparisons of each text: by broadcast models or, without, by joins to the counts."""
+    name = rows.columns[0]
+    schema = f"{name} {rows.schema[0].dataType.simpleString()}, {COMPARED}"
+
+    def out(first: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([first, *(pa.array(x[:, k]) for k in range(4))], [name, *"abcd"])
+
+    def by_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield out(b.column(0), comparisons(b.column(1), shared.value))
+
+    def own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(len(b)):
+                for _, _, data, at in slices(b.column(2).slice(r, 1)):
+                    kinds = np.unique(grams(plain(data, at), at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), b.column(k)[r].as_py())) for k in (0, 1)] + [pa.array(kinds)], ["h1", "h2", "gram"])
+
+    def by_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.zeros((len(b), 4))
+            for r in range(len(b)):
+                known = b.column(2)[r].values
+                if known is not None:
+                    x[r] = comparisons(b.column(1).slice(r, 1), Gains(known.field(0).to_numpy(), known.field(1).to_numpy()))[0]
+            yield out(b.column(0), x)
+
+    if shared is not None:
+        return rows.mapInArrow(by_models, schema)
+    keyed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    held = written(keyed.select("h1", "h2", "text").mapInArrow(own_grams, "h1 long, h2 long, gram long").distinct(), "text-grams")
+    looked = held.join(joined_gains(held.select("gram").distinct(), counts), "gram").groupBy("h1", "h2").agg(F.collect_list(F.struct("gram", "gain")).alias("known"))
+    return keyed.join(looked, ["h1", "h2"], "left").select(*rows.columns, "known").mapInArrow(by_gains, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> tuple[DataFrame, Broadcast | None, Calibration]:
+    """Counts, models as a broadcast value unless there are too many grams, and calibration, learnt from labels outside the held-out fold."""
     sc = docs.sparkSession.sparkContext
     learn = labels.filter(fold(F.col("doc_id"), folds) != held_out)
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(CALIBRATION)) == 0
-    shared = sc.broadcast(Models(count_grams(with_label(docs, learn.filter(~part), "toxic"))))
+    counts = count_grams(with_label(docs, learn.filter(~part), "toxic")).persist()
+    if counts.count() <= MOST_GRAMS:
+        shared = sc.broadcast(Models(counts))
+    else:
+        stored, shared = written(counts, "gram-counts"), None
+        counts.unpersist()
+        counts = stored
     hold = learn.filter(part)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = comparisons(b.column(0), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, k]) for k in range(4))], ["label", "a", "b", "c", "d"])
-
-    rows = with_label(docs, bounded(hold, MOST_LABELLED, hold.count(), 6), "toxic").select("text", "label")
-    got = rows.mapInArrow(run, "label int, a double, b double, c double, d double").orderBy("a", "b", "c", "d", "label").toPandas().to_numpy(float)
-    return shared, Calibration(got[:, 1:], got[:, 0])
+    rows = with_label(docs, bounded(hold, MOST_LABELLED, hold.count(), 6), "toxic").select("label", "text")
+    got = compared(rows, counts, shared).orderBy("a", "b", "c", "d", "label").toPandas().to_numpy(float)
+    return counts, shared, Calibration(got[:, 1:], got[:, 0])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, score, and the length-normalised log-likelihood ratio of every document."""
-    shared, calibration = fit(docs, labels, folds, held_out)
+    counts, shared, calibration = fit(docs, labels, folds, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = comparisons(b.column(1), shared.value)
+            x = np.stack([b.column(k).to_numpy() for k in range(1, 5)], 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(calibration.score(x)), pa.array(x[:, 0])], ["doc_id", "score", "ratio"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, ratio double")
+    scored = compared(docs.select("doc_id", "text"), counts, shared).mapInArrow(run, "doc_id long, score double, ratio double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", "ratio")
 
 

@@ -101,3 +101,29 @@ def test_calibration_is_monotone_and_calibrated():
     assert Calibration(np.zeros((0, 4)), np.zeros(0)).score(np.zeros((2, 4))).tolist() == [0, 0]
 
 
+def test_grams_that_fold_alike_are_kept_apart(spark):
+    """Two grams with the same remainder by 1,048,573, one common in one class, the other never seen."""
+    r, seen = random.Random(4), {}
+    while True:
+        w = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+        other = seen.setdefault(int.from_bytes(w.encode(), "big") % 1_048_573, w)
+        if other != w:
+            break
+    train = [(" ".join([other] * 50), 0), (f"{w[:4]} {w[1:4]}", 1), (f"{w[:4]}x", 0)]
+    models = Models(count_grams(spark.createDataFrame(train, "text string, label int")))
+    for text in (w, other, f"{w} {other}"):
+        (_, _, data, at), = slices(pa.array([text]))
+        assert models.gain(grams(plain(data, at), at)) == pytest.approx(brute_gains(train, text), abs=2e-3)
+
+
+def test_scores_are_the_same_without_broadcast(table, label_table, monkeypatch):
+    r = random.Random(5)
+    rows = [(d, " ".join(prose(r, r.randint(0, 30)) + ["vile"] * (d % 2))) for d in range(150)]
+    rows += [(1, rows[1][1]), (700, rows[3][1]), (None, rows[5][1]), (701, None), (702, ""), (703, "\U0001f600 new é")]
+    docs, known = table(rows), label_table([(d, 0, d % 2) for d in range(150)])
+    scores = []
+    for most in (4_000_000, 0):
+        monkeypatch.setattr("amperia.llm.toxicity.MOST_GRAMS", most)
+        scores.append(sorted((-1 if x.doc_id is None else x.doc_id, x.score, x.ratio) for x in op1_toxicity(docs, known).collect()))
+    assert len(scores[0]) == len(rows)
+    assert np.allclose(scores[0], scores[1], atol=1e-4)
