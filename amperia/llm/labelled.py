@@ -22,7 +22,11 @@ def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.select("doc_id", "text").join(own, "doc_id")
 
 
+def chosen(most: float, n: int, seed: int) -> Column:
+    """Whether a row is one of about most of n, the same ones in every run: by a hash of doc_id."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
+
+
 def bounded(rows: DataFrame, most: int, n: int, seed: int) -> DataFrame:
-    """About most of the n rows at most, the same ones in every run: chosen by a hash of doc_id."""
-    share = min(1.0, most / max(1, n))
-    return rows if share == 1 else rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """About most of the n rows at most, the same ones in every run."""
+    return rows if most >= n else rows.filter(chosen(most, n, seed))

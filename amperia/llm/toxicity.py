@@ -2,7 +2,7 @@
 
 Two models of order 5, one for toxic and one for ordinary documents, each with its own counts for orders 5, 4 and 3 (continuation counts below the highest), back off to the same continuation counts of order 2 and 1, learnt from both classes: expressions that are rare in one class are smoothed by what both share. A document's log-likelihoods under both, normalised by length, are compared for the whole text and for its words; a logistic calibration, fit on labelled documents that the counts do not hold, makes a score of them.
 
-The counts are gathered by Spark from every labelled document outside the held-out fold but one in CALIBRATION, are kept under their full gram and grow with the corpus. Up to MOST_GRAMS grams of five bytes they are broadcast as sorted tables; more stay in Spark, and each text's distinct grams are joined to them. The calibration is fit on the driver on at most MOST_LABELLED rows of numbers.
+The counts are gathered by Spark from every labelled document outside the held-out fold but those of the calibration, are kept under their full gram and grow with the corpus. Up to MOST_GRAMS grams of five bytes they are broadcast as sorted tables; more stay in Spark, and each text's distinct grams are joined to them. The calibration is fit on the driver on one labelled document in CALIBRATION, MOST_LABELLED rows of numbers at most.
 
 Null and empty texts have zero for all comparisons and get that score. Letters A-Z count as a-z. Rows that repeat are scored each; a null doc_id is scored but never learnt from. Without labels of both classes, every score is the share of label 1 (0 without labels).
 """
@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .flat import LOWER, slices, word_bounds
-from .labelled import bounded, fold, with_label
+from .labelled import chosen, fold, with_label
 
 ORDER, DISCOUNT = 5, 0.75
 #: Grams of five bytes that may be broadcast (16 bytes each, about as much again for contexts and lower orders).
 MOST_GRAMS = 4_000_000
 THRESHOLD, MOST_LABELLED = 0.7, 20_000
 CLASSES = ("toxic", "ordinary")
-#: One labelled document in so many is for the calibration instead of the counts.
+#: One labelled document in so many, up to MOST_LABELLED, is for the calibration instead of the counts.
 CALIBRATION = 4
 SPACE = 32
 
@@ -261,8 +261,9 @@ def compared(rows: DataFrame, counts: DataFrame, shared: Broadcast | None) -> Da
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> tuple[DataFrame, Broadcast | None, Calibration]:
     """Counts, models as a broadcast value unless there are too many grams, and calibration, learnt from labels outside the held-out fold."""
     sc = docs.sparkSession.sparkContext
-    learn = labels.filter(fold(F.col("doc_id"), folds) != held_out)
-    part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(CALIBRATION)) == 0
+    learn = labels.filter((fold(F.col("doc_id"), folds) != held_out) & F.col("toxic").isNotNull())
+    n = learn.count()
+    part = chosen(min(MOST_LABELLED, n / CALIBRATION), n, 5)
     counts = count_grams(with_label(docs, learn.filter(~part), "toxic")).persist()
     if counts.count() <= MOST_GRAMS:
         shared = sc.broadcast(Models(counts))
@@ -270,8 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -
         stored, shared = written(counts, "gram-counts"), None
         counts.unpersist()
         counts = stored
-    hold = learn.filter(part)
-    rows = with_label(docs, bounded(hold, MOST_LABELLED, hold.count(), 6), "toxic").select("label", "text")
+    rows = with_label(docs, learn.filter(part), "toxic").select("label", "text")
     got = compared(rows, counts, shared).orderBy("a", "b", "c", "d", "label").toPandas().to_numpy(float)
     return counts, shared, Calibration(got[:, 1:], got[:, 0])
 

@@ -127,3 +127,14 @@ def test_scores_are_the_same_without_broadcast(table, label_table, monkeypatch):
         scores.append(sorted((-1 if x.doc_id is None else x.doc_id, x.score, x.ratio) for x in op1_toxicity(docs, known).collect()))
     assert len(scores[0]) == len(rows)
     assert np.allclose(scores[0], scores[1], atol=1e-4)
+
+
+def test_only_the_calibration_sample_is_held_back(table, label_table, monkeypatch):
+    from amperia.llm import toxicity
+
+    learnt = []
+    monkeypatch.setattr(toxicity, "MOST_LABELLED", 20)
+    monkeypatch.setattr(toxicity, "count_grams", lambda rows: learnt.append(rows.count()) or count_grams(rows))
+    toxicity.fit(table([(d, "some words") for d in range(600)]), label_table([(d, 0, d % 2) for d in range(600)]))
+    learnable = sum(zlib.crc32(str(d).encode()) % 3 != 1 for d in range(600))
+    assert learnable - 60 < learnt[0] < learnable
