@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with a calibrated temperature.
 
-Every word (and its shape) has a fixed sparse random index vector. A word's context vector is the sum of the index vectors of its neighbours over the whole corpus, held for TABLE hash buckets: a table of fixed size however large the corpus, summed from one table for each task. A document is the pooled vectors of its words. The network is trained in numpy on the driver, on at most MOST_LABELLED pooled rows of labelled documents (never on held-out rows, never texts); a part of them sets the temperature. Scoring is one pass over all documents.
+Every word (and its shape) has a fixed sparse random index vector, drawn by the word's own 64-bit hash. A word's context vector is the sum of the index vectors of its neighbours over the whole corpus, summed by Spark under the word's hash, so that the vocabulary grows with the corpus. A word that stands once has its vector from where it stands; those of all others are broadcast in parts of MOST_WORDS: the first part is looked up where documents are pooled, each further part in a pass over the documents whose sums are joined to them. A document is the pooled vectors of its words. (context_table, in TABLE buckets, is the same in small; scoring doesn't use it.) The network is trained in numpy on the driver, on at most MOST_LABELLED pooled rows of labelled documents (never on held-out rows, never texts); a part of them sets the temperature. Scoring is one pass over all documents.
 
 Null and empty texts have no words and get the score of zero vectors. Rows that repeat are scored each; a null doc_id is scored but never learnt from. Without labels of both classes, every score is the share of label 1 (0.5 without labels). Other columns are not read.
 """
@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .flat import slices, word_bounds, word_hashes
 from .labelled import bounded, fold, with_label
 
@@ -23,6 +26,10 @@ TABLE, SHAPES, DIMS, WINDOW = 6144, 256, 32, 2
 MOST_LABELLED, HIDDEN, EPOCHS = 20_000, 32, 60
 THRESHOLD = 0.3
 FEATURES = 3 * DIMS + 6
+#: Words of a broadcast (76 bytes each); words whose sums a task holds before it sends them.
+MOST_WORDS, HELD_WORDS = 1_500_000, 200_000
+#: The key of the sums of all words.
+TOTAL = np.int64(-1)
 
 
 def index_vectors() -> np.ndarray:
@@ -49,6 +56,193 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (h % np.uint64(TABLE)).astype(np.int64), TABLE + shape % SHAPES, row, h
 
 
+def own_index(h: np.ndarray) -> np.ndarray:
+    """The random index vector of each word by its hash: four entries of +1 or -1."""
+    v, rows = np.zeros((len(h), DIMS), np.float32), np.arange(len(h))
+    for k in range(4):
+        bits = ((h >> np.uint64(6 * k)) & np.uint64(63)).astype(np.int64)
+        v[rows, bits >> 1] += 1 - 2 * (bits & 1)
+    return v
+
+
+def neighbours(own: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of each word the sum of the index vectors of its neighbours in the same row."""
+    near = np.zeros((len(own), DIMS), np.float32)
+    for k in range(1, WINDOW + 1):
+        same = (row[k:] == row[:-k])[:, None]
+        near[k:] += own[:-k] * same
+        near[:-k] += own[k:] * same
+    return near
+
+
+def added(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, sorted, with its sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[cut], np.add.reduceat(n[order], cut), np.add.reduceat(sums[order], cut, axis=0)
+
+
+def as_batch(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """h, n, sums; sums as bytes where they fit, for the shuffle."""
+    small = np.abs(sums).max(1) < 128
+    narrow = sums.astype(np.int8)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array([(narrow[k] if small[k] else sums[k]).tobytes() for k in range(len(keys))], pa.binary())], ["h", "n", "sums"])
+
+
+def unpacked(sums: pa.Array) -> np.ndarray:
+    x = np.zeros((len(sums), DIMS), np.int64)
+    wide = pa.compute.binary_length(sums).to_numpy(zero_copy_only=False) > DIMS
+    for kind, at in ((np.int8, ~wide), (np.int64, wide)):
+        x[at] = np.frombuffer(b"".join(sums.filter(pa.array(at)).to_pylist()), kind).reshape(-1, DIMS)
+    return x
+
+
+def word_sums(docs: DataFrame) -> DataFrame:
+    """h, n, sums: how often each word and shape stands in docs and the sum of its neighbours' index vectors; of those that stand twice or more, and of all under TOTAL."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, held, rows = index_vectors(), [], 0
+        for b in batches:
+            for _, _, data, at in slices(b.column(0)):
+                _, shape, row, h = tokens(data, at)
+                if not len(h):
+                    continue
+                near = neighbours(own_index(h) + index[shape], row).astype(np.int64)
+                one = np.ones(len(h), np.int64)
+                parts = [added(key, one, near) for key in (h.view(np.int64), shape)]
+                parts.append((np.array([TOTAL]), np.array([2 * len(h)]), 2 * near.sum(0, keepdims=True)))
+                held.append(added(*map(np.concatenate, zip(*parts))))
+                rows += len(held[-1][0])
+                if rows > HELD_WORDS:
+                    held = [added(*map(np.concatenate, zip(*held)))]
+                    rows = len(held[0][0])
+                    if rows > HELD_WORDS:
+                        yield as_batch(*held[0])
+                        held, rows = [], 0
+        if held:
+            yield as_batch(*added(*map(np.concatenate, zip(*held))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:  # sorted by h: the last one may go on in the next batch
+            if not len(b):
+                continue
+            part = (b.column(0).to_numpy(), b.column(1).to_numpy(), unpacked(b.column(2)))
+            part = added(*(part if last is None else map(np.concatenate, zip(last, part))))
+            last = tuple(x[-1:] for x in part)
+            some = np.flatnonzero(part[1][:-1] > 1)
+            yield as_batch(*(x[some] for x in part)) if len(some) else as_batch(*(x[:0] for x in part))
+        if last is not None and last[1][0] > 1:
+            yield as_batch(*last)
+
+    kind = "h long, n long, sums binary"
+    return written(docs.select("text").mapInArrow(count, kind).repartition("h").sortWithinPartitions("h").mapInArrow(add, kind), "word-sums")
+
+
+class Vectors:
+    """What pooling needs of all words: centre and number; and the vectors and weights of words and shapes by sorted hash, of one part of them."""
+
+    def __init__(self, sums: DataFrame, total: tuple[int, np.ndarray], part: int, parts: int) -> None:
+        self.all, all_sums = total
+        self.centre = (all_sums / max(1, self.all)).astype(np.float32)
+        centre, whole = self.centre, self.all
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = b.column(1).to_numpy()
+                v = normal(unpacked(b.column(2)) / np.maximum(1, n)[:, None] - centre).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.log((whole + 1) / (n + 1)).astype(np.float32))], ["h", "v", "w"])
+
+        own = sums.filter((F.col("h") != int(TOTAL)) & (F.pmod(F.xxhash64("h"), F.lit(parts)) == part))
+        got = own.mapInArrow(vectors, "h long, v binary, w float").toArrow()  # about MOST_WORDS rows
+        keys = got.column(0).to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.weight = keys[order], got.column(2).to_numpy()[order]
+        self.vectors = np.frombuffer(b"".join(x.as_buffer() for c in got.column(1).chunks for x in c if x.is_valid), np.float16).reshape(-1, DIMS)[order]
+
+    def beyond(self, keys: np.ndarray, own: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word what its vector and its weighted index vector are beyond those of a word that stands once, where it is found."""
+        kinds, at = np.unique(keys, return_inverse=True)
+        spot = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        hit = self.keys[spot] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
+        found = hit[at][:, None]
+        if not len(self.keys):
+            return np.zeros_like(near), np.zeros_like(own)
+        return np.where(found, self.vectors[spot].astype(np.float32)[at] - self.once(near), 0), np.where(found, own * (self.weight[spot][at] - self.rarest())[:, None], 0)
+
+    def once(self, near: np.ndarray) -> np.ndarray:
+        return normal(near - self.centre)
+
+    def rarest(self) -> np.float32:
+        return np.float32(np.log((self.all + 1) / 2))
+
+
+def normal(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def sums_by_row(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    out = np.zeros((rows, x.shape[1]), np.float32)
+    if len(x):
+        cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        out[row[cut]] = np.add.reduceat(x, cut, axis=0)
+    return out
+
+
+def looked_up(texts: pa.Array, vectors: Vectors, first: bool) -> np.ndarray:
+    """Of each text the sums of its words' and shapes' context vectors, and of its words' weighted index vectors: by a part of the vectors, and by those of words that stand once if it is the first."""
+    index, out = index_vectors(), np.zeros((len(texts), 2 * DIMS), np.float32)
+    for i, j, data, at in slices(texts):
+        _, shape, row, h = tokens(data, at)
+        if not len(h):
+            continue
+        own = own_index(h)
+        near = neighbours(own + index[shape], row)
+        v, w = vectors.beyond(h.view(np.int64), own, near)
+        sv, _ = vectors.beyond(shape, own, near)
+        if first:
+            v, w = v + 2 * vectors.once(near), w + own * vectors.rarest()
+        out[i:j] = sums_by_row(np.hstack((v + sv, w)), row, j - i)
+    return out
+
+
+def with_sums(docs: DataFrame, parts: list[Broadcast]) -> DataFrame:
+    """docs with _more: the sums of each text by all parts of the vectors but the first, as bytes; null if there is only one."""
+    if len(parts) == 1:
+        return docs.withColumn("_more", F.lit(None).cast("binary"))
+
+    def run(part: Broadcast):
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = looked_up(b.column(2), part.value, False)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["_h1", "_h2", "x"])
+
+        return look
+
+    def add(_: tuple, rows: pa.Table) -> pa.Table:
+        x = sum(np.frombuffer(r, np.float32) for r in sorted(rows.column("x").to_pylist()))
+        return pa.table({"_h1": rows.column("_h1")[:1], "_h2": rows.column("_h2")[:1], "_more": pa.array([np.float32(x).tobytes()], pa.binary())})
+
+    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    texts, sums = keyed.select("_h1", "_h2", "text"), None
+    for part in parts[1:]:
+        # Of equal texts one sum for each part.
+        own = texts.mapInArrow(run(part), "_h1 long, _h2 long, x binary").groupBy("_h1", "_h2").agg(F.min("x").alias("x"))
+        sums = own if sums is None else sums.union(own)
+    more = sums.groupBy("_h1", "_h2").applyInArrow(add, "_h1 long, _h2 long, _more binary")
+    return keyed.join(more, ["_h1", "_h2"], "left").select(*docs.columns, "_more")
+
+
+def vectors_of(docs: DataFrame) -> list[Broadcast]:
+    """The vectors of all words that stand twice or more, in broadcast parts."""
+    sums, sc = word_sums(docs), docs.sparkSession.sparkContext
+    parts = max(1, -(-sums.count() // MOST_WORDS))
+    total = sums.filter(F.col("h") == int(TOTAL)).toArrow()
+    whole = (total.column(1)[0].as_py(), unpacked(total.column(2).combine_chunks())[0]) if len(total) else (0, np.zeros(DIMS))
+    return [sc.broadcast(Vectors(sums, whole, k, parts)) for k in range(parts)]
+
+
 def context_table(docs: DataFrame) -> np.ndarray:
     """The context vector of each bucket, from all documents. Each task sends one table of fixed size; they are added up by rows of the table."""
 
@@ -58,12 +252,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for _, _, data, at in slices(b.column(0)):
                 word, shape, row, _ = tokens(data, at)
-                near = np.zeros((len(word), DIMS), np.float32)
-                own = index[word] + index[shape]
-                for k in range(1, WINDOW + 1):
-                    same = (row[k:] == row[:-k])[:, None]
-                    near[k:] += own[:-k] * same
-                    near[:-k] += own[k:] * same
+                near = neighbours(index[word] + index[shape], row)
                 for at_bucket in (word, shape):
                     order = np.argsort(at_bucket, kind="stable")
                     b_sorted = at_bucket[order]
@@ -93,8 +282,12 @@ def context_table(docs: DataFrame) -> np.ndarray:
     return np.hstack((vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True)), weight)).astype(np.float32)
 
 
-def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
-    """One row of features for each text."""
+def pooled(texts: pa.Array, table: np.ndarray | Vectors, more: pa.Array | None = None) -> np.ndarray:
+    """One row of features for each text; more: sums by the other parts of the vectors."""
+    by_word = isinstance(table, Vectors)
+    sums = looked_up(texts, table, True) if by_word else None
+    if by_word and more is not None:
+        sums += np.stack([np.zeros(2 * DIMS, np.float32) if m is None else np.frombuffer(m, np.float32) for m in more.to_pylist()]) if len(more) else 0
     index, out = index_vectors(), np.zeros((len(texts), FEATURES), np.float32)
     for i, j, data, at in slices(texts):
         word, shape, row, h = tokens(data, at)
@@ -109,9 +302,11 @@ def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
                 r[full] = np.add.reduceat(x, begin, axis=0)
             return r / (some if x.ndim > 1 else some[:, 0])
 
-        wordy, shapely, context = index[word], index[shape], table[word, :DIMS] + table[shape, :DIMS]
-        weight = table[word, DIMS]
-        spread = mean(wordy * weight[:, None])
+        shapely = index[shape]
+        if by_word:
+            context, spread = np.hsplit(sums[i:j] / some, 2)
+        else:
+            context, spread = mean(table[word, :DIMS] + table[shape, :DIMS]), mean(index[word] * table[word, DIMS][:, None])
         twin = np.zeros(len(word), np.float32)
         if len(word) > 1:
             twin[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])  # the vector of a word and of its neighbour are the same
@@ -124,7 +319,7 @@ def pooled(texts: pa.Array, table: np.ndarray) -> np.ndarray:
             kinds = np.zeros(j - i)
         lines = np.add.reduceat(np.concatenate((data == 10, [False])).astype(np.float32), at[:-1]) if len(at) > 1 else np.zeros(0)
         lines = np.where(np.diff(at) > 0, lines, 0)
-        out[i:j] = np.hstack((mean(context), mean(shapely), spread, np.log1p(n)[:, None], (np.linalg.norm(spread, axis=1) * np.sqrt(n))[:, None], mean(twin)[:, None], (kinds / np.sqrt(np.maximum(1, n)))[:, None], (kinds / some[:, 0])[:, None], np.log1p(n / (1 + lines))[:, None]))
+        out[i:j] = np.hstack((context, mean(shapely), spread, np.log1p(n)[:, None], (np.linalg.norm(spread, axis=1) * np.sqrt(n))[:, None], mean(twin)[:, None], (kinds / np.sqrt(np.maximum(1, n)))[:, None], (kinds / some[:, 0])[:, None], np.log1p(n / (1 + lines))[:, None]))
     return out
 
 
@@ -171,48 +366,47 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._odds((x - self.shift) / self.scale) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[np.ndarray, Network]:
-    """Context table and network, learnt from labels outside the held-out fold."""
-    sc = docs.sparkSession.sparkContext
-    table = context_table(docs)
-    shared = sc.broadcast(table)
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[Broadcast], Network]:
+    """Vectors of words, in broadcast parts, and network, learnt from labels outside the held-out fold."""
+    parts = vectors_of(docs)
+    shared = parts[0]
     learn = labels.filter(fold(F.col("doc_id"), folds) != held_out)
     rows = with_label(docs, bounded(learn, MOST_LABELLED, learn.count(), 3), "quality")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pooled(b.column(1), shared.value)
+            x = pooled(b.column(1), shared.value, b.column(3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    got = rows.select("doc_id", "text", "label").mapInArrow(pool, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
+    got = with_sums(rows.select("doc_id", "text", "label"), parts).mapInArrow(pool, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES)
-    return table, Network(x.astype(np.float64), got["label"].to_numpy())
+    return parts, Network(x.astype(np.float64), got["label"].to_numpy())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))
+    parts, network = fit(docs, labels, folds, held_out)
+    shared = parts[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, network = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.score(pooled(b.column(1), table).astype(np.float64)), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.score(pooled(b.column(1), shared.value, b.column(2)).astype(np.float64)), pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = with_sums(docs.select("doc_id", "text"), parts).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, held_out: int = 0) -> DataFrame:
     """The rows of docs, with all their columns, that score threshold or more: texts are scored where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held_out))
-    at = docs.columns.index("text")
+    parts, network = fit(docs, labels, folds, held_out)
+    shared = parts[0]
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, network = shared.value
         for b in batches:
-            yield b.filter(pa.array(network.score(pooled(b.column(at), table).astype(np.float64)) >= threshold))
+            yield b.select(names).filter(pa.array(network.score(pooled(b.column(at), shared.value, b.column(b.num_columns - 1)).astype(np.float64)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_sums(docs, parts).mapInArrow(run, docs.schema)
 
 
 def op9_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

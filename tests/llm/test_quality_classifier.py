@@ -74,3 +74,39 @@ def test_temperature_calibrates():
     for lo, hi in ((0, 0.25), (0.35, 0.65), (0.75, 1)):
         at = (p >= lo) & (p < hi)
         assert abs(y[4000:][at].mean() - p[at].mean()) < 0.1
+
+
+def test_words_have_vectors_of_their_own(table):
+    """Far more words than buckets: each one's vector and weight are from its own neighbours and count."""
+    from amperia.llm.quality_classifier import neighbours, own_index, vectors_of
+
+    r = random.Random(5)
+    texts = [" ".join(f"v{r.randrange(20_000)}" for _ in range(r.randint(0, 900))) for _ in range(60)]
+    got = vectors_of(table(list(enumerate(texts))))[0].value
+    index, sums, seen, every = index_vectors(), {}, {}, np.zeros(DIMS)
+    for t in texts:
+        for _, _, data, at in slices(pa.array([t])):
+            _, shape, row, h = tokens(data, at)
+            near = neighbours(own_index(h) + index[shape], row)
+            every += 2 * near.sum(0)
+            for k, w in enumerate(h.view(np.int64)):
+                sums[w], seen[w] = sums.get(w, 0) + near[k], seen.get(w, 0) + 1
+    n = 2 * sum(seen.values())
+    often = [w for w in seen if seen[w] > 1]
+    assert len(often) > 6144 and set(often) <= set(got.keys.tolist())
+    for w in often:
+        v = sums[w] / seen[w] - every / n
+        at = np.searchsorted(got.keys, w)
+        assert np.allclose(got.vectors[at], v / np.linalg.norm(v), atol=2e-3) and np.isclose(got.weight[at], np.log((n + 1) / (seen[w] + 1)), atol=1e-4)
+
+
+def test_scores_are_the_same_in_parts(table, label_table, monkeypatch):
+    r = random.Random(6)
+    rows = [(d, " ".join(prose(r, r.randint(0, 60), 900))) for d in range(120)]
+    rows += [(3, rows[3][1]), (900, rows[3][1]), (None, rows[4][1]), (901, None), (902, "")]
+    docs, known = table(rows), label_table([(d, d % 2, 0) for d in range(120)])
+    scores = []
+    for most in (1_000_000, 150):
+        monkeypatch.setattr("amperia.llm.quality_classifier.MOST_WORDS", most)
+        scores.append(sorted((-1 if x.doc_id is None else x.doc_id, x.score) for x in op9_quality_classifier(docs, known).collect()))
+    assert len(scores[0]) == len(rows) and np.allclose(scores[0], scores[1], atol=0.02)
