@@ -1,6 +1,6 @@
 """Lines that many documents share are kept in one of them.
 
-A line's key is the line without white space at its ends and with A-Z in lower case. Keys travel as 128-bit hashes: range-partitioned, sorted by key, document and position, so that a line of a third of all documents is spread over many tasks and read as a stream. The decisions come back as sparse bitmaps of line positions, never as text. Main path: DataFrame functions only.
+A line's key is the line without white space at its ends and with A-Z in lower case. Keys travel as 128-bit hashes. Hash aggregation by key and document, then by key, decides: the number of documents and the largest doc_id are joined back to all lines; the range partitioning and sort before it decide nothing. The decisions come back as sparse bitmaps of line positions, never as text. Main path: DataFrame functions only.
 
 A null or empty text is one empty line. Rows with the same doc_id are one document; a null doc_id is a document of its own, smaller than all others. Rows that repeat get the same decisions. Other columns pass through untouched.
 """
