@@ -138,3 +138,10 @@ def test_only_the_calibration_sample_is_held_back(table, label_table, monkeypatc
     toxicity.fit(table([(d, "some words") for d in range(600)]), label_table([(d, 0, d % 2) for d in range(600)]))
     learnable = sum(zlib.crc32(str(d).encode()) % 3 != 1 for d in range(600))
     assert learnable - 60 < learnt[0] < learnable
+
+
+def test_planted_words_separate(table, label_table):
+    r = random.Random(2)
+    docs = table([(d, " ".join(prose(r, 30) + ["vile"] * (d % 2))) for d in range(480)])
+    scores = {x.doc_id: x.score for x in op1_toxicity(docs, label_table([(d, 0, d % 2) for d in range(480)])).collect()}
+    assert min(s for d, s in scores.items() if d % 2) > max(s for d, s in scores.items() if d % 2 == 0)
