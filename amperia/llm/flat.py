@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: 1 for the bytes that separate words.
@@ -65,8 +65,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
-    p, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each word, by pieces of text of about SLICE_BYTES: working memory does not grow with the text."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + SLICE_BYTES, "right")))
+        b = int(ends[j - 1])
+        if b - a > SLICE_BYTES:
+            out[i] = _long_sum(data[a:b])
+        else:
+            p, inverse = powers(SLICE_BYTES + 1)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a], out=sums[1:])
+            out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * inverse[starts[i:j] - a]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _long_sum(word: np.ndarray) -> np.uint64:
+    """The sum of one word that is longer than a piece of text."""
+    p, total = powers(SLICE_BYTES + 1)[0], 0
+    for at in range(0, len(word), SLICE_BYTES):
+        part = word[at : at + SLICE_BYTES]
+        total += int(np.sum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)])) * pow(int(BASE), at, 1 << 64)
+    return np.uint64(total & (2**64 - 1))

@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with a calibrated temperature.
 
-Every word (and its shape) has a fixed sparse random index vector, drawn by the word's own 64-bit hash. A word's context vector is the sum of the index vectors of its neighbours over the whole corpus, summed by Spark under the word's hash, so that the vocabulary grows with the corpus. A word that stands once has its vector from where it stands; those of all others are broadcast in parts of MOST_WORDS: the first part is looked up where documents are pooled, each further part in a pass over the documents whose sums are joined to them. A document is the pooled vectors of its words. (context_table, in TABLE buckets, is the same in small; scoring doesn't use it.) The network is trained in numpy on the driver, on at most MOST_LABELLED pooled rows of labelled documents (never on held-out rows, never texts); a part of them sets the temperature. Scoring is one pass over all documents.
+Every word, and every shape of words, has a fixed sparse random index vector, a word's drawn by its own 64-bit hash: there is no table of words that grows or fills up. A word's context vector is the mean of the index vectors of its neighbours: over all its occurrences in the corpus, summed up by Spark, if it makes up more than LEAST_SHARE of all words, else over the occurrence at hand. So every word has vectors, and at most 1 / LEAST_SHARE words have learnt ones at any size of the corpus: these are broadcast. A document is the pooled vectors of its words and a few counts. The network is trained in numpy on the driver, on at most MOST_LABELLED pooled rows of labelled documents (never on held-out rows, never texts); a part of them sets the temperature. Scoring is one pass over all documents.
 
-Null and empty texts have no words and get the score of zero vectors. Rows that repeat are scored each; a null doc_id is scored but never learnt from. Without labels of both classes, every score is the share of label 1 (0.5 without labels). Other columns are not read.
+Null and empty texts have no words and get the score of zero vectors. A very long text is worked on by CHUNK words. Rows that repeat are scored each; a null doc_id is scored but never learnt from. Without labels of both classes, every score is the share of label 1 (0.5 without labels). Ties: a score of exactly the threshold passes. An empty table gives an empty result. Other columns are not read (quality_scores) or pass through (quality_filter), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,74 +20,96 @@ from .common import written
 from .flat import slices, word_bounds, word_hashes
 from .labelled import bounded, fold, with_label
 
-#: Hash buckets of words, of word shapes after them; dimensions of the vectors; neighbours on each side.
-TABLE, SHAPES, DIMS, WINDOW = 6144, 256, 32, 2
+#: Shapes of words; dimensions of the vectors; neighbours on each side.
+SHAPES, DIMS, WINDOW = 256, 32, 2
+#: A word has a learnt vector if it stands twice and makes up more than this share of all words.
+LEAST_SHARE = 2e-6
 #: Labelled rows that the network is trained on at most; hidden units; passes over them.
 MOST_LABELLED, HIDDEN, EPOCHS = 20_000, 32, 60
 THRESHOLD = 0.3
 FEATURES = 3 * DIMS + 6
-#: Words of a broadcast (76 bytes each); words whose sums a task holds before it sends them.
-MOST_WORDS, HELD_WORDS = 1_500_000, 200_000
-#: The key of the sums of all words.
-TOTAL = np.int64(-1)
+#: Words worked on at once; words whose counts a task holds before it sends them; words after which a task sends its sums.
+CHUNK, HELD_WORDS, HELD_SUMS = 1 << 13, 300_000, 20_000_000
+#: Keys of the number of all words, and of the shapes (from SHAPE on), among the words' hashes.
+TOTAL, SHAPE = -1, -1000
+#: Learnt vectors are kept as whole numbers of this part of one.
+STEP = 127
 
 
 def index_vectors() -> np.ndarray:
-    """The random index vector of each bucket: four entries of +1 or -1."""
+    """The random index vector of each shape: four entries of +1 or -1."""
     r = np.random.default_rng(7)
-    v = np.zeros((TABLE + SHAPES, DIMS), np.float32)
+    v = np.zeros((SHAPES, DIMS), np.int8)
     for _ in range(4):
-        v[np.arange(len(v)), r.integers(0, DIMS, len(v))] += r.choice([-1, 1], len(v))
+        v[np.arange(len(v)), r.integers(0, DIMS, len(v))] += r.choice([-1, 1], len(v)).astype(np.int8)
     return v
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its bucket, its shape's bucket, its row, its 64-bit hash. The shape: kind of the first and the last byte, capitals, length."""
-    starts, ends, row = word_bounds(data, offsets)
-    h = word_hashes(data, starts, ends)
-    kind = np.full(256, 4, np.int64)  # other signs
-    for k, (a, b) in enumerate(((97, 123), (65, 91), (48, 58), (128, 256))):
-        kind[a:b] = k
-    capitals = np.concatenate(([0], np.cumsum((data >= 65) & (data < 91))))
-    size = ends - starts
-    many = (2 * (capitals[ends] - capitals[starts]) > size).astype(np.int64)
-    last2 = kind[data[np.maximum(ends - 2, starts)]] if len(ends) else np.zeros(0, np.int64)
-    shape = ((kind[data[starts]] * 5 + kind[data[ends - 1]]) * 5 + last2) * 2 + many if len(ends) else np.zeros(0, np.int64)
-    return (h % np.uint64(TABLE)).astype(np.int64), TABLE + shape % SHAPES, row, h
+def _two_entries() -> np.ndarray:
+    """By 12 bits two entries: 5 bits of place and one of sign each."""
+    k = np.arange(4096)
+    v = np.zeros((4096, DIMS), np.int8)
+    for bits in (k & 63, k >> 6):
+        v[k, bits >> 1] += (1 - 2 * (bits & 1)).astype(np.int8)
+    return v
+
+
+TWO = _two_entries()
 
 
 def own_index(h: np.ndarray) -> np.ndarray:
     """The random index vector of each word by its hash: four entries of +1 or -1."""
-    v, rows = np.zeros((len(h), DIMS), np.float32), np.arange(len(h))
-    for k in range(4):
-        bits = ((h >> np.uint64(6 * k)) & np.uint64(63)).astype(np.int64)
-        v[rows, bits >> 1] += 1 - 2 * (bits & 1)
-    return v
+    return TWO[(h & np.uint64(4095)).astype(np.int64)] + TWO[((h >> np.uint64(12)) & np.uint64(4095)).astype(np.int64)]
 
 
-def neighbours(own: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Of each word the sum of the index vectors of its neighbours in the same row."""
-    near = np.zeros((len(own), DIMS), np.float32)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its shape, its row, its 64-bit hash. The shape: kind of the first and the last two bytes, capitals."""
+    starts, ends, row = word_bounds(data, offsets)
+    h = word_hashes(data, starts, ends)
+    kind = np.full(256, 4, np.int16)  # other signs
+    for k, (a, b) in enumerate(((97, 123), (65, 91), (48, 58), (128, 256))):
+        kind[a:b] = k
+    if not len(h):
+        return np.zeros(0, np.int16), row, h
+    capitals = np.concatenate(([0], np.cumsum((data >= 65) & (data < 91), dtype=np.int32)))
+    many = (2 * (capitals[ends] - capitals[starts]) > ends - starts).astype(np.int16)
+    shape = ((kind[data[starts]] * 5 + kind[data[ends - 1]]) * 5 + kind[data[np.maximum(ends - 2, starts)]]) * 2 + many
+    return shape % SHAPES, row, h
+
+
+def neighbours(shape: np.ndarray, row: np.ndarray, h: np.ndarray, index: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Of the words from a to b the sums of the index vectors (of word and shape) of their neighbours in the same row."""
+    lo, hi = max(0, a - WINDOW), min(len(h), b + WINDOW)
+    own, r = own_index(h[lo:hi]) + index[shape[lo:hi]], row[lo:hi]
+    near = np.zeros_like(own)
     for k in range(1, WINDOW + 1):
-        same = (row[k:] == row[:-k])[:, None]
+        same = (r[k:] == r[:-k])[:, None]
         near[k:] += own[:-k] * same
         near[:-k] += own[k:] * same
-    return near
+    return near[a - lo : b - lo]
 
 
-def added(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each key once, sorted, with its sums."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[cut], np.add.reduceat(n[order], cut), np.add.reduceat(sums[order], cut, axis=0)
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[cut], *(np.add.reduceat(v[order], cut, axis=0, dtype=np.int32 if v.dtype == np.int8 else v.dtype) if len(cut) else v for v in values)
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(rows)])
 
 
-def as_batch(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+def as_batches(keys: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
     """h, n, sums; sums as bytes where they fit, for the shuffle."""
-    small = np.abs(sums).max(1) < 128
-    narrow = sums.astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array([(narrow[k] if small[k] else sums[k]).tobytes() for k in range(len(keys))], pa.binary())], ["h", "n", "sums"])
+    small = np.abs(sums).max(1, initial=0) < 128
+    for at, kind in ((small, np.int8), (~small, np.int64)):
+        if at.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(n[at]), packed(sums[at].astype(kind))], ["h", "n", "sums"])
 
 
 def unpacked(sums: pa.Array) -> np.ndarray:
@@ -98,30 +120,94 @@ def unpacked(sums: pa.Array) -> np.ndarray:
     return x
 
 
-def word_sums(docs: DataFrame) -> DataFrame:
-    """h, n, sums: how often each word and shape stands in docs and the sum of its neighbours' index vectors; of those that stand twice or more, and of all under TOTAL."""
+class Lookup:
+    """Places of keys (64-bit hashes, each once) in a list of them, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.mask = keys, np.int64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]
+            open_ = self.slot[at] != left
+            left, at = left[open_], (at[open_] + 1) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each h, -1 where it is not among the keys."""
+        out, left, at = np.full(len(h), -1, np.int32), np.arange(len(h)), h & self.mask
+        while len(left):
+            s = self.slot[at]
+            hit = (s >= 0) & (self.keys[s] == h[left]) if len(self.keys) else np.zeros(len(s), bool)
+            out[left[hit]] = s[hit]
+            go = (s >= 0) & ~hit
+            left, at = left[go], (at[go] + 1) & self.mask
+        return out
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, n: how often each word stands in docs, and all words under TOTAL."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, held, rows = index_vectors(), [], 0
+        held, rows, every = [], 0, 0
+        batch = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
         for b in batches:
             for _, _, data, at in slices(b.column(0)):
-                _, shape, row, h = tokens(data, at)
-                if not len(h):
-                    continue
-                near = neighbours(own_index(h) + index[shape], row).astype(np.int64)
-                one = np.ones(len(h), np.int64)
-                parts = [added(key, one, near) for key in (h.view(np.int64), shape)]
-                parts.append((np.array([TOTAL]), np.array([2 * len(h)]), 2 * near.sum(0, keepdims=True)))
-                held.append(added(*map(np.concatenate, zip(*parts))))
-                rows += len(held[-1][0])
+                h = word_hashes(data, *word_bounds(data, at)[:2]).view(np.int64)
+                held.append(np.unique(h, return_counts=True))
+                every, rows = every + len(h), rows + len(held[-1][0])
                 if rows > HELD_WORDS:
                     held = [added(*map(np.concatenate, zip(*held)))]
                     rows = len(held[0][0])
                     if rows > HELD_WORDS:
-                        yield as_batch(*held[0])
+                        yield batch(*held[0])
                         held, rows = [], 0
-        if held:
-            yield as_batch(*added(*map(np.concatenate, zip(*held))))
+        held.append((np.array([TOTAL]), np.array([every])))
+        yield batch(*added(*map(np.concatenate, zip(*held))))
+
+    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of the words that have a learnt vector, sorted by hash, and the number of all words."""
+    counts = written(word_counts(docs).filter(F.col("n") > 1), "word-counts")
+    total = counts.filter(F.col("h") == TOTAL).agg(F.sum("n")).first()[0] or 0
+    got = counts.filter((F.col("h") != TOTAL) & (F.col("n") > LEAST_SHARE * total)).toArrow()  # 1 / LEAST_SHARE rows at most
+    keys, n = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order], total
+
+
+def word_sums(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """h, n, sums: of each word of the lookup, and of each shape (h = SHAPE - shape), how often it stands in docs and the sum of its neighbours' index vectors."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, find = index_vectors(), words.value
+        names = np.concatenate((find.keys, SHAPE - np.arange(SHAPES)))
+        sums, n, rows = np.zeros((len(names), DIMS), np.int32), np.zeros(len(names), np.int64), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(n)
+            for k in range(0, len(at), CHUNK):
+                yield from as_batches(*(x[at[k : k + CHUNK]] for x in (names, n, sums)))
+
+        for b in batches:
+            for _, _, data, at in slices(b.column(0)):
+                shape, row, h = tokens(data, at)
+                place = find.find(h.view(np.int64))
+                for a in range(0, len(h), CHUNK):
+                    z = min(len(h), a + CHUNK)
+                    near, part = neighbours(shape, row, h, index, a, z), place[a:z]
+                    known = part >= 0
+                    for keys, x in ((part[known], near[known]), (shape[a:z].astype(np.int64) + len(find.keys), near)):
+                        keys, m, x = added(keys, np.ones(len(keys), np.int64), x)
+                        sums[keys] += x
+                        n[keys] += m
+                rows += len(h)
+                if rows > HELD_SUMS:
+                    yield from out()
+                    sums[:], n[:], rows = 0, 0, 0
+        yield from out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -131,195 +217,90 @@ def word_sums(docs: DataFrame) -> DataFrame:
             part = (b.column(0).to_numpy(), b.column(1).to_numpy(), unpacked(b.column(2)))
             part = added(*(part if last is None else map(np.concatenate, zip(last, part))))
             last = tuple(x[-1:] for x in part)
-            some = np.flatnonzero(part[1][:-1] > 1)
-            yield as_batch(*(x[some] for x in part)) if len(some) else as_batch(*(x[:0] for x in part))
-        if last is not None and last[1][0] > 1:
-            yield as_batch(*last)
+            yield from as_batches(*(x[:-1] for x in part))
+        if last is not None:
+            yield from as_batches(*last)
 
     kind = "h long, n long, sums binary"
-    return written(docs.select("text").mapInArrow(count, kind).repartition("h").sortWithinPartitions("h").mapInArrow(add, kind), "word-sums")
-
-
-class Vectors:
-    """What pooling needs of all words: centre and number; and the vectors and weights of words and shapes by sorted hash, of one part of them."""
-
-    def __init__(self, sums: DataFrame, total: tuple[int, np.ndarray], part: int, parts: int) -> None:
-        self.all, all_sums = total
-        self.centre = (all_sums / max(1, self.all)).astype(np.float32)
-        centre, whole = self.centre, self.all
-
-        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n = b.column(1).to_numpy()
-                v = normal(unpacked(b.column(2)) / np.maximum(1, n)[:, None] - centre).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(np.log((whole + 1) / (n + 1)).astype(np.float32))], ["h", "v", "w"])
-
-        own = sums.filter((F.col("h") != int(TOTAL)) & (F.pmod(F.xxhash64("h"), F.lit(parts)) == part))
-        got = own.mapInArrow(vectors, "h long, v binary, w float").toArrow()  # about MOST_WORDS rows
-        keys = got.column(0).to_numpy()
-        order = np.argsort(keys)
-        self.keys, self.weight = keys[order], got.column(2).to_numpy()[order]
-        self.vectors = np.frombuffer(b"".join(x.as_buffer() for c in got.column(1).chunks for x in c if x.is_valid), np.float16).reshape(-1, DIMS)[order]
-
-    def beyond(self, keys: np.ndarray, own: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word what its vector and its weighted index vector are beyond those of a word that stands once, where it is found."""
-        kinds, at = np.unique(keys, return_inverse=True)
-        spot = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
-        hit = self.keys[spot] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
-        found = hit[at][:, None]
-        if not len(self.keys):
-            return np.zeros_like(near), np.zeros_like(own)
-        return np.where(found, self.vectors[spot].astype(np.float32)[at] - self.once(near), 0), np.where(found, own * (self.weight[spot][at] - self.rarest())[:, None], 0)
-
-    def once(self, near: np.ndarray) -> np.ndarray:
-        return normal(near - self.centre)
-
-    def rarest(self) -> np.float32:
-        return np.float32(np.log((self.all + 1) / 2))
+    return docs.select("text").mapInArrow(count, kind).repartition("h").sortWithinPartitions("h").mapInArrow(add, kind)
 
 
 def normal(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
 
 
-def sums_by_row(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros((rows, x.shape[1]), np.float32)
+class Vectors:
+    """What pooling needs: centre of all neighbourhoods; the learnt vectors and weights of words, the vectors of shapes; the weight of all other words."""
+
+    def __init__(self, keys: np.ndarray, seen: np.ndarray, total: int, sums: pa.Table) -> None:
+        h, n = (sums.column(k).to_numpy() for k in (0, 1))
+        s = unpacked(sums.column(2).combine_chunks()) if len(sums) else np.zeros((0, DIMS))
+        shape = (h <= SHAPE) & (h > SHAPE - SHAPES)
+        self.centre = (s[shape].sum(0) / max(1, total)).astype(np.float32)
+        self.shapes, self.words = np.zeros((SHAPES, DIMS), np.float32), np.zeros((len(keys), DIMS), np.int8)
+        v = normal(s / np.maximum(1, n)[:, None] - self.centre)
+        self.shapes[SHAPE - h[shape]] = v[shape]
+        self.words[np.searchsorted(keys, h[~shape])] = np.rint(v[~shape] * STEP)
+        self.weight = np.append(np.log((total + 1) / (seen + 1)), np.log((total + 1) / (max(1, LEAST_SHARE * total) + 1))).astype(np.float32)
+        self.find = Lookup(keys)
+
+
+def vectors_of(docs: DataFrame) -> Broadcast:
+    """Vectors learnt from all docs."""
+    sc = docs.sparkSession.sparkContext
+    keys, seen, total = common_words(docs)
+    words = sc.broadcast(Lookup(keys))
+    vectors = sc.broadcast(Vectors(keys, seen, total, word_sums(docs, words).toArrow()))  # 1 / LEAST_SHARE rows at most
+    words.unpersist()
+    return vectors
+
+
+def by_row(x: np.ndarray, row: np.ndarray, out: np.ndarray, kind: type = np.float32) -> None:
+    """Adds the rows of x to those of out that row (sorted) names."""
     if len(x):
         cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        out[row[cut]] = np.add.reduceat(x, cut, axis=0)
-    return out
-
-
-def looked_up(texts: pa.Array, vectors: Vectors, first: bool) -> np.ndarray:
-    """Of each text the sums of its words' and shapes' context vectors, and of its words' weighted index vectors: by a part of the vectors, and by those of words that stand once if it is the first."""
-    index, out = index_vectors(), np.zeros((len(texts), 2 * DIMS), np.float32)
-    for i, j, data, at in slices(texts):
-        _, shape, row, h = tokens(data, at)
-        if not len(h):
-            continue
-        own = own_index(h)
-        near = neighbours(own + index[shape], row)
-        v, w = vectors.beyond(h.view(np.int64), own, near)
-        sv, _ = vectors.beyond(shape, own, near)
-        if first:
-            v, w = v + 2 * vectors.once(near), w + own * vectors.rarest()
-        out[i:j] = sums_by_row(np.hstack((v + sv, w)), row, j - i)
-    return out
-
-
-def with_sums(docs: DataFrame, parts: list[Broadcast]) -> DataFrame:
-    """docs with _more: the sums of each text by all parts of the vectors but the first, as bytes; null if there is only one."""
-    if len(parts) == 1:
-        return docs.withColumn("_more", F.lit(None).cast("binary"))
+        out[row[cut]] += np.add.reduceat(x, cut, axis=0, dtype=kind)
 
-    def run(part: Broadcast):
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = looked_up(b.column(2), part.value, False)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["_h1", "_h2", "x"])
 
-        return look
-
-    def add(_: tuple, rows: pa.Table) -> pa.Table:
-        x = sum(np.frombuffer(r, np.float32) for r in sorted(rows.column("x").to_pylist()))
-        return pa.table({"_h1": rows.column("_h1")[:1], "_h2": rows.column("_h2")[:1], "_more": pa.array([np.float32(x).tobytes()], pa.binary())})
-
-    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
-    texts, sums = keyed.select("_h1", "_h2", "text"), None
-    for part in parts[1:]:
-        # Of equal texts one sum for each part.
-        own = texts.mapInArrow(run(part), "_h1 long, _h2 long, x binary").groupBy("_h1", "_h2").agg(F.min("x").alias("x"))
-        sums = own if sums is None else sums.union(own)
-    more = sums.groupBy("_h1", "_h2").applyInArrow(add, "_h1 long, _h2 long, _more binary")
-    return keyed.join(more, ["_h1", "_h2"], "left").select(*docs.columns, "_more")
-
-
-def vectors_of(docs: DataFrame) -> list[Broadcast]:
-    """The vectors of all words that stand twice or more, in broadcast parts."""
-    sums, sc = word_sums(docs), docs.sparkSession.sparkContext
-    parts = max(1, -(-sums.count() // MOST_WORDS))
-    total = sums.filter(F.col("h") == int(TOTAL)).toArrow()
-    whole = (total.column(1)[0].as_py(), unpacked(total.column(2).combine_chunks())[0]) if len(total) else (0, np.zeros(DIMS))
-    return [sc.broadcast(Vectors(sums, whole, k, parts)) for k in range(parts)]
-
-
-def context_table(docs: DataFrame) -> np.ndarray:
-    """The context vector of each bucket, from all documents. Each task sends one table of fixed size; they are added up by rows of the table."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        table = np.zeros((TABLE + SHAPES, DIMS + 1), np.float64)
-        for b in batches:
-            for _, _, data, at in slices(b.column(0)):
-                word, shape, row, _ = tokens(data, at)
-                near = neighbours(index[word] + index[shape], row)
-                for at_bucket in (word, shape):
-                    order = np.argsort(at_bucket, kind="stable")
-                    b_sorted = at_bucket[order]
-                    if len(b_sorted):
-                        cut = np.flatnonzero(np.concatenate(([True], b_sorted[1:] != b_sorted[:-1])))
-                        table[b_sorted[cut], :DIMS] += np.add.reduceat(near[order], cut, axis=0)
-                        table[b_sorted[cut], DIMS] += np.diff(np.concatenate((cut, [len(b_sorted)])))
-        parts = table.astype(np.float32).reshape(32, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, sums in zip(b.column(0).to_pylist(), b.column(1)):
-                total[part] = total.get(part, 0) + np.frombuffer(sums.as_buffer(), np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["part", "sums"])
-
-    sums = docs.select("text").mapInArrow(count, "part int, sums binary").repartition(32, "part").mapInArrow(add, "part int, sums binary").collect()  # 32 rows
-    table = np.zeros((32, (TABLE + SHAPES) * (DIMS + 1) // 32))
-    for part, s in sums:
-        table[part] = np.frombuffer(s)
-    table = table.reshape(TABLE + SHAPES, DIMS + 1)
-    seen = table[:, DIMS:]
-    vectors = table[:, :DIMS] / np.maximum(1, seen)
-    weight = np.log((seen.sum() + 1) / (seen + 1))
-    vectors -= (vectors * seen).sum(0) / max(1, seen.sum())  # what all words share
-    return np.hstack((vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True)), weight)).astype(np.float32)
-
-
-def pooled(texts: pa.Array, table: np.ndarray | Vectors, more: pa.Array | None = None) -> np.ndarray:
-    """One row of features for each text; more: sums by the other parts of the vectors."""
-    by_word = isinstance(table, Vectors)
-    sums = looked_up(texts, table, True) if by_word else None
-    if by_word and more is not None:
-        sums += np.stack([np.zeros(2 * DIMS, np.float32) if m is None else np.frombuffer(m, np.float32) for m in more.to_pylist()]) if len(more) else 0
+def pooled(texts: pa.Array, v: Vectors) -> np.ndarray:
+    """One row of features for each text."""
     index, out = index_vectors(), np.zeros((len(texts), FEATURES), np.float32)
     for i, j, data, at in slices(texts):
-        word, shape, row, h = tokens(data, at)
-        n = np.bincount(row, minlength=j - i).astype(np.float32)
+        shape, row, h = tokens(data, at)
+        rows = j - i
+        n = np.bincount(row, minlength=rows).astype(np.float32)
         some = np.maximum(1, n)[:, None]
-        full = n > 0
-        begin = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)[full]
-
-        def mean(x: np.ndarray) -> np.ndarray:
-            r = np.zeros((j - i, *x.shape[1:]), np.float32)
-            if len(x):
-                r[full] = np.add.reduceat(x, begin, axis=0)
-            return r / (some if x.ndim > 1 else some[:, 0])
-
-        shapely = index[shape]
-        if by_word:
-            context, spread = np.hsplit(sums[i:j] / some, 2)
-        else:
-            context, spread = mean(table[word, :DIMS] + table[shape, :DIMS]), mean(index[word] * table[word, DIMS][:, None])
-        twin = np.zeros(len(word), np.float32)
-        if len(word) > 1:
-            twin[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])  # the vector of a word and of its neighbour are the same
-        # How much of the text is said again: sum of squared counts of its word vectors, by weight.
+        context, spread = np.zeros((rows, DIMS), np.float32), np.zeros(rows * DIMS, np.float32)
+        shapes = np.zeros((rows, SHAPES), np.float32)
+        place = v.find.find(h.view(np.int64))
+        for a in range(0, len(h), CHUNK):
+            z = min(len(h), a + CHUNK)
+            p, r = place[a:z], row[a:z]
+            known = p >= 0
+            learnt = np.zeros((rows, DIMS), np.float32)
+            by_row(v.words[p[known]], r[known], learnt, np.int32)
+            context += learnt / STEP
+            if not known.all():
+                near = neighbours(shape, row, h, index, a, z)[~known]
+                by_row(normal(near - v.centre), r[~known], context)
+            # Four entries of a word's own index vector, each under its document and place.
+            w, first = v.weight[p], int(r[0])
+            for k in range(4):
+                bits = ((h[a:z] >> np.uint64(6 * k)) & np.uint64(63)).astype(np.int64)
+                got = np.bincount((r - first) * DIMS + (bits >> 1), w * (1 - 2 * (bits & 1)))
+                spread[first * DIMS : first * DIMS + len(got)] += got
+            got = np.bincount((r - first) * SHAPES + shape[a:z], minlength=(int(r[-1]) - first + 1) * SHAPES)
+            shapes[first : int(r[-1]) + 1] += got.reshape(-1, SHAPES)
+        context = (context + shapes @ v.shapes) / some
+        spread = spread.reshape(rows, DIMS) / some
+        same = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+        twin = np.bincount(row[1:], same, rows).astype(np.float32) if len(h) > 1 else np.zeros(rows, np.float32)
+        # How many different words the text has.
         key = np.sort((row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
-        if len(key):
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            kinds = np.bincount((key[cut] >> np.uint64(44)).astype(np.int64), minlength=j - i)
-        else:
-            kinds = np.zeros(j - i)
-        lines = np.add.reduceat(np.concatenate((data == 10, [False])).astype(np.float32), at[:-1]) if len(at) > 1 else np.zeros(0)
-        lines = np.where(np.diff(at) > 0, lines, 0)
-        out[i:j] = np.hstack((context, mean(shapely), spread, np.log1p(n)[:, None], (np.linalg.norm(spread, axis=1) * np.sqrt(n))[:, None], mean(twin)[:, None], (kinds / np.sqrt(np.maximum(1, n)))[:, None], (kinds / some[:, 0])[:, None], np.log1p(n / (1 + lines))[:, None]))
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        kinds = np.bincount((key[cut] >> np.uint64(44)).astype(np.int64), minlength=rows)
+        lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), at))
+        out[i:j] = np.hstack((context, shapes @ index.astype(np.float32) / some, spread, np.log1p(n)[:, None], (np.linalg.norm(spread, axis=1) * np.sqrt(n))[:, None], twin[:, None] / some, (kinds / np.sqrt(np.maximum(1, n)))[:, None], (kinds / some[:, 0])[:, None], np.log1p(n / (1 + lines))[:, None]))
     return out
 
 
@@ -366,47 +347,43 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._odds((x - self.shift) / self.scale) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[Broadcast], Network]:
-    """Vectors of words, in broadcast parts, and network, learnt from labels outside the held-out fold."""
-    parts = vectors_of(docs)
-    shared = parts[0]
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[Broadcast, Network]:
+    """Vectors of words, learnt from all docs, and network, learnt from labels outside the held-out fold."""
+    shared = vectors_of(docs)
     learn = labels.filter(fold(F.col("doc_id"), folds) != held_out)
     rows = with_label(docs, bounded(learn, MOST_LABELLED, learn.count(), 3), "quality")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pooled(b.column(1), shared.value, b.column(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), packed(pooled(b.column(1), shared.value))], ["doc_id", "label", "x"])
 
-    got = with_sums(rows.select("doc_id", "text", "label"), parts).mapInArrow(pool, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
+    got = rows.select("doc_id", "text", "label").mapInArrow(pool, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES)
-    return parts, Network(x.astype(np.float64), got["label"].to_numpy())
+    return shared, Network(x.astype(np.float64), got["label"].to_numpy())
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out and score of every document."""
-    parts, network = fit(docs, labels, folds, held_out)
-    shared = parts[0]
+    shared, network = fit(docs, labels, folds, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.score(pooled(b.column(1), shared.value, b.column(2)).astype(np.float64)), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(network.score(pooled(b.column(1), shared.value).astype(np.float64)), pa.float64())], ["doc_id", "score"])
 
-    scored = with_sums(docs.select("doc_id", "text"), parts).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, held_out: int = 0) -> DataFrame:
     """The rows of docs, with all their columns, that score threshold or more: texts are scored where they are read."""
-    parts, network = fit(docs, labels, folds, held_out)
-    shared = parts[0]
-    at, names = docs.columns.index("text"), docs.columns
+    shared, network = fit(docs, labels, folds, held_out)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(names).filter(pa.array(network.score(pooled(b.column(at), shared.value, b.column(b.num_columns - 1)).astype(np.float64)) >= threshold))
+            yield b.filter(pa.array(network.score(pooled(b.column(at), shared.value).astype(np.float64)) >= threshold))
 
-    return with_sums(docs, parts).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,41 +5,57 @@ import numpy as np
 import pyarrow as pa
 
 from amperia.llm.common import documents, labels
-from amperia.llm.quality_classifier import DIMS, SHAPES, TABLE, WINDOW, Network, context_table, index_vectors, op9_quality_classifier, pooled, tokens
 from amperia.llm.flat import slices
+from amperia.llm.quality_classifier import DIMS, WINDOW, Lookup, Network, index_vectors, op9_quality_classifier, own_index, pooled, tokens, vectors_of
 
 from .conftest import prose
 
 
-def test_context_vectors_are_sums_of_neighbours(table):
-    r = random.Random(1)
-    texts = [" ".join(prose(r, r.randint(0, 30), 40)) for _ in range(30)]
-    got = context_table(table(list(enumerate(texts)), 4))
-    index, want, seen = index_vectors(), np.zeros((TABLE + SHAPES, DIMS)), np.zeros(TABLE + SHAPES)
+def test_vectors_are_means_of_neighbours(table):
+    """Learnt vectors and weights against sums word by word; words that stand once have none."""
+    r = random.Random(5)
+    texts = [" ".join(f"v{int(9000 * r.random() ** 2)}" for _ in range(r.randint(0, 900))) for _ in range(60)]
+    got = vectors_of(table(list(enumerate(texts)))).value
+    index, sums, seen, every, total = index_vectors().astype(int), {}, {}, np.zeros(DIMS), 0
     for t in texts:
         for _, _, data, at in slices(pa.array([t])):
-            word, shape, _, _ = tokens(data, at)
-            for k in range(len(word)):
-                for j in range(max(0, k - WINDOW), min(len(word), k + WINDOW + 1)):
-                    if j != k:
-                        for b in (word[k], shape[k]):
-                            want[b] += index[word[j]] + index[shape[j]]
-                for b in (word[k], shape[k]):
-                    seen[b] += 1
-    vectors = want / np.maximum(1, seen)[:, None]
-    vectors -= (vectors * seen[:, None]).sum(0) / seen.sum()
-    vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    assert np.allclose(got[:, :DIMS], vectors, atol=1e-4)
-    assert np.allclose(got[:, DIMS], np.log((seen.sum() + 1) / (seen + 1)), atol=1e-4)
-
-
-def test_a_text_is_pooled_alike_wherever_it_stands(table):
+            shape, _, h = tokens(data, at)
+            own = own_index(h).astype(int) + index[shape]
+            for k, w in enumerate(h.view(np.int64)):
+                near = sum(own[j] for j in range(max(0, k - WINDOW), min(len(h), k + WINDOW + 1)) if j != k)
+                total += 1
+                every = every + near
+                for key in (int(w), ("shape", int(shape[k]))):
+                    sums[key], seen[key] = sums.get(key, 0) + near, seen.get(key, 0) + 1
+    often = [w for w in sums if not isinstance(w, tuple) and seen[w] > 1]
+    assert set(got.find.keys.tolist()) == set(often) and len(often) > 3000
+    assert np.allclose(got.centre, every / total, atol=1e-5)
+    for w, s in sums.items():
+        v = s / seen[w] - every / total
+        v = v / np.linalg.norm(v)
+        if isinstance(w, tuple):
+            assert np.allclose(got.shapes[w[1]], v, atol=1e-3)
+        elif w in often:
+            k = got.find.find(np.array([w]))[0]
+            assert np.allclose(got.words[k] / 127, v, atol=5e-3) and np.isclose(got.weight[k], np.log((total + 1) / (seen[w] + 1)), atol=1e-4)
+
+
+def test_the_lookup_finds_every_key_and_no_other():
+    keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000) // 4096 * 4096)  # they all share their last bits
+    got = Lookup(keys)
+    assert (got.find(keys) == np.arange(len(keys))).all() and (got.find(keys + 1) == -1).all()
+    assert (Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_a_text_is_pooled_alike_wherever_it_stands(table, monkeypatch):
     r = random.Random(2)
-    texts = [*(" ".join(prose(r, r.randint(0, 50))) for _ in range(20)), None, "", "\n\n", "one"]
-    t = context_table(table(list(enumerate(texts))))
+    texts = [*(" ".join(prose(r, r.randint(0, 50))) for _ in range(20)), None, "", "\n\n", "one", " ".join(prose(r, 3000, 2000))]
+    t = vectors_of(table(list(enumerate(texts)))).value
     together = pooled(pa.array(texts), t)
-    for k, x in enumerate(texts):
-        assert np.allclose(together[k], pooled(pa.array([x], pa.string()), t)[0], atol=1e-4)
+    for chunk in (1 << 13, 7, 64):
+        monkeypatch.setattr("amperia.llm.quality_classifier.CHUNK", chunk)
+        for k, x in enumerate(texts):
+            assert np.allclose(together[k], pooled(pa.array([x], pa.string()), t)[0], atol=1e-3)
 
 
 def test_held_out_documents(spark):
@@ -76,37 +92,12 @@ def test_temperature_calibrates():
         assert abs(y[4000:][at].mean() - p[at].mean()) < 0.1
 
 
-def test_words_have_vectors_of_their_own(table):
-    """Far more words than buckets: each one's vector and weight are from its own neighbours and count."""
-    from amperia.llm.quality_classifier import neighbours, own_index, vectors_of
-
-    r = random.Random(5)
-    texts = [" ".join(f"v{r.randrange(20_000)}" for _ in range(r.randint(0, 900))) for _ in range(60)]
-    got = vectors_of(table(list(enumerate(texts))))[0].value
-    index, sums, seen, every = index_vectors(), {}, {}, np.zeros(DIMS)
-    for t in texts:
-        for _, _, data, at in slices(pa.array([t])):
-            _, shape, row, h = tokens(data, at)
-            near = neighbours(own_index(h) + index[shape], row)
-            every += 2 * near.sum(0)
-            for k, w in enumerate(h.view(np.int64)):
-                sums[w], seen[w] = sums.get(w, 0) + near[k], seen.get(w, 0) + 1
-    n = 2 * sum(seen.values())
-    often = [w for w in seen if seen[w] > 1]
-    assert len(often) > 6144 and set(often) <= set(got.keys.tolist())
-    for w in often:
-        v = sums[w] / seen[w] - every / n
-        at = np.searchsorted(got.keys, w)
-        assert np.allclose(got.vectors[at], v / np.linalg.norm(v), atol=2e-3) and np.isclose(got.weight[at], np.log((n + 1) / (seen[w] + 1)), atol=1e-4)
-
-
-def test_scores_are_the_same_in_parts(table, label_table, monkeypatch):
-    r = random.Random(6)
-    rows = [(d, " ".join(prose(r, r.randint(0, 60), 900))) for d in range(120)]
-    rows += [(3, rows[3][1]), (900, rows[3][1]), (None, rows[4][1]), (901, None), (902, "")]
-    docs, known = table(rows), label_table([(d, d % 2, 0) for d in range(120)])
-    scores = []
-    for most in (1_000_000, 150):
-        monkeypatch.setattr("amperia.llm.quality_classifier.MOST_WORDS", most)
-        scores.append(sorted((-1 if x.doc_id is None else x.doc_id, x.score) for x in op9_quality_classifier(docs, known).collect()))
-    assert len(scores[0]) == len(rows) and np.allclose(scores[0], scores[1], atol=0.02)
+def test_the_network_is_two_layers_and_learns_what_one_cannot():
+    """The scores are those of the two layers, computed by hand."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 5))
+    n = Network(x, (x[:, 0] * x[:, 1] > 0).astype(int))
+    z = (x - n.shift) / n.scale
+    odds = [sum(np.tanh(sum(z[k, i] * n.w[0][i, j] for i in range(5)) + n.w[1][j]) * n.w[2][j] for j in range(len(n.w[2]))) + n.w[3][0] for k in range(20)]
+    assert np.allclose(n.score(x[:20]), 1 / (1 + np.exp(-np.array(odds) / n.temperature)))
+    assert ((n.score(x) > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
