@@ -4,7 +4,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from amperia.llm.line_dedup import drop_lines, keep_bitmaps, op5_line_dedup
+from amperia.llm.common import written
+from amperia.llm.line_dedup import drop_lines, keep_bitmaps, line_keys, op5_line_dedup, streamed, with_parts
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -87,3 +88,34 @@ def test_rows_with_one_doc_id_are_one_document(table):
 def test_main_path_is_native(table):
     plan = op5_line_dedup(table([(1, "x")]).withColumn("th", F.lit(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hot_lines_are_split_and_added_up(table, monkeypatch):
+    """Ranges of the hash that hold very frequent lines are split by document; a document's rows stay together."""
+    monkeypatch.setattr("amperia.llm.line_dedup.LEAST_HEAVY", 20)
+    monkeypatch.setattr("amperia.llm.line_dedup.RANGES", 64)
+    rows = [*corpus(4, 90), *((5000 + d, f"this line stands everywhere\nand so does this other one\nown {d}\nTHIS line stands everywhere") for d in range(400)), (None, "this line stands everywhere")]
+    docs = table(rows, 7)
+    assert with_parts(line_keys(docs)).filter("parts > 3").count() > 800
+    got = result(docs)
+    want = hashed(brute([((-1 if d is None else d), t) for d, t in rows]))
+    assert {(-1 if d is None else d): v for d, v in got.items()} == want
+
+
+def test_sorted_range_partitions_decide(table):
+    """One range exchange of all lines and one sort below the windows; no exchange of lines by their hashes alone."""
+    docs = table(corpus(5, 30))
+    plan = streamed(with_parts(written(line_keys(docs), "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "hashpartitioning(h1" not in plan and plan.count("Sort [h1") == 1
+
+
+def test_columns_of_any_name_pass_through(table):
+    names = ("_id", "_th", "_keep", "_n", "of", "row", "keep", "th", "h1", "part", "n_lines", "n_dropped")
+    docs = table([(1, "a line of twenty characters or more"), (2, "a line of twenty characters or more"), (3, "a line of twenty characters or more"), (None, None)])
+    for c in names:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    got = drop_lines(docs, keep_bitmaps(docs), counts=False)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, ""), (2, ""), (3, "a line of twenty characters or more"), (None, "")}
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in names)
+    assert {(r.doc_id, r.n_dropped) for r in drop_lines(docs, keep_bitmaps(docs)).collect()} == {(1, 1), (2, 1), (3, 0), (None, 0)}
