@@ -1,30 +1,52 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
-Encoding is a streaming transducer. The merge list gives a sufficient lookahead: how far to the right of a boundary a symbol can still change it. A piece is read into a buffer of bounded length; a token leaves as soon as the buffer reaches further than the lookahead behind it, so memory does not grow with a piece. Tokens of short pieces are remembered in a table of bounded size. Decoding is a state machine fed with one token at a time.
+Encoding is one streaming transducer from characters to ids. Text is read in blocks of about BLOCK characters, cut where neither composition of characters nor an added token can reach across. What the file asks for is done as the tokenizers library does it: added tokens split the raw text, then NFC, white space, lower case, splitting into pieces, byte symbols, merges with an end-of-word suffix. A piece goes on over as many blocks as it needs. Its symbols are read into a buffer of bounded length: the merge list gives a sufficient lookahead, how far to the right of a boundary a symbol can still change it, and a token leaves as soon as the buffer reaches further than that behind it. So memory grows with neither piece nor text. Ids of short pieces and of short runs between white space are remembered in tables of bounded size, which a worker empties after each partition.
 
-What the file asks for is done as the tokenizers library does it: added tokens split the raw text, then NFC, white space, lower case, splitting, byte symbols, merges with an end-of-word suffix; without a decoder, tokens are joined by a space. Ids and text are equal to the library's (tests compare them) for all characters that Python's Unicode tables hold; sequences of combining marks that the library's older tables do not know may be ordered differently.
+Decoding is a state machine fed with tokens: text leaves as soon as it is certain. With a byte decoder that is when the bytes end a character; without a decoder, as in the default file, tokens are joined by a space, and byte symbols and suffixes stay as they are, as in the library's result.
 
-A null text is empty: no tokens, empty text. Rows that repeat are encoded each; a null doc_id stays. Other columns are not read.
+Letters and numbers are those of Unicode 16: Python 3.13's tables and NEW_LETTERS, NEW_NUMBERS. For every code point ids are equal to the library's. Sequences of combining marks that the library's tables do not know may be ordered differently; sequences of more marks than a block holds are read whole.
+
+A null text is empty: no tokens, empty text. Rows that repeat are encoded each; a null doc_id stays. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-#: Entries of the table of short pieces in a worker; two generations of this size at most.
-REMEMBERED = 250_000
+#: Entries of a table of what was encoded, in a worker: two tables of two generations of this size at most, about 300 bytes an entry.
+REMEMBERED, LONGEST_REMEMBERED = 60_000, 48
 #: Symbols read beyond the lookahead before tokens are emitted.
-STRIDE = 256
-SPACE = r"[\t-\r \x85\xa0  -     　]"
+STRIDE = 1024
+#: Symbols up to which the lowest rank is looked for by a scan.
+SHORT = 24
+#: Characters of a block; of a piece that is not finished at a block's end and waits for more before it is known how it begins.
+BLOCK, BEGINNING = 1 << 16, 16
+#: Ids that are decoded and digested at once.
+TOGETHER = 1 << 14
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+# Letters and numbers of Unicode 16, and lower case of Unicode 17, that Python 3.13's tables (15.1) lack and the library's have.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: First and last capital, and the first one's small letter.
+NEW_LOWER = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+TO_LOWER = {a + k: chr(low + k) for a, b, low in NEW_LOWER for k in range(b - a + 1)}
+NEW_CAPITAL = re.compile("[" + "".join(map(chr, TO_LOWER)) + "]")
 
 
 def byte_symbols() -> list[str]:
@@ -67,6 +89,8 @@ class Transducer:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """All merges of a bounded buffer, lowest rank first, leftmost first."""
+        if len(symbols) > SHORT:
+            return self._merged_by_heap(symbols)
         s, rank, never = list(symbols), self.rank, self.never
         ranks = [rank.get(p, never) for p in pairwise(s)]
         while ranks and (r := min(ranks)) != never:
@@ -79,37 +103,66 @@ class Transducer:
                 ranks[i - 1] = rank.get((s[i - 1], s[i]), never)
         return s
 
+    def _merged_by_heap(self, symbols: list[str]) -> list[str]:
+        """The same in n log n steps."""
+        s: list[str | None] = list(symbols)
+        rank, n = self.rank, len(s)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(pairwise(s)) if (r := rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if s[i] is None or (j := right[i]) >= n or rank.get((s[i], s[j])) != r:
+                continue  # what stood here has been merged meanwhile
+            s[i] += s[j]
+            s[j] = None
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if (r := rank.get((s[i], s[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := left[i]) >= 0 and (r := rank.get((s[h], s[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in s if x is not None]
+
     def run(self, symbols: Iterable[str]) -> Iterator[int]:
-        buffer: list[str] = []
-        for x in symbols:
-            buffer.append(x)
-            if self.lookahead is not None and len(buffer) >= self.lookahead + STRIDE:
-                out = 0
-                for t in self.merged(buffer):
-                    if out + self.length(t) + self.lookahead > len(buffer):
-                        break
-                    out += self.length(t)
-                    yield self.vocab[t]
-                del buffer[:out]
-        yield from (self.vocab[t] for t in self.merged(buffer))
+        symbols, buffer = iter(symbols), []
+        full = None if self.lookahead is None else self.lookahead + STRIDE
+        while True:
+            buffer += symbols if full is None else islice(symbols, full - len(buffer))
+            if full is None or len(buffer) < full:
+                break
+            out = 0
+            for t in self.merged(buffer):
+                if out + self.length(t) + self.lookahead > len(buffer):
+                    break
+                out += self.length(t)
+                yield self.vocab[t]
+            del buffer[:out]
+        for t in self.merged(buffer):
+            yield self.vocab[t]
 
 
 class Decoder:
     """Tokens in, text out as soon as it is certain."""
 
     def __init__(self, kind: str | None) -> None:
-        self.kind, self.first = kind, True
-        self.byte = {c: b for b, c in enumerate(byte_symbols())}
+        self.bytewise, self.first = kind == "ByteLevel", True
+        self.byte = {c: b for b, c in enumerate(byte_symbols())} if self.bytewise else {}
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: str) -> str:
-        if self.kind == "ByteLevel":
-            return self.utf8.decode(bytes(self.byte[c] for c in token))
-        out, self.first = token if self.first else f" {token}", False
+    def feed(self, tokens: list[str]) -> str:
+        """What becomes certain with the next tokens."""
+        if self.bytewise:
+            return self.utf8.decode(bytes(self.byte[c] for t in tokens for c in t))
+        out = " ".join(tokens)
+        if tokens and not self.first:
+            out = " " + out
+        self.first &= not tokens
         return out
 
     def finish(self) -> str:
-        return self.utf8.decode(b"", True) if self.kind == "ByteLevel" else ""
+        return self.utf8.decode(b"", True) if self.bytewise else ""
 
 
 class Remembered:
@@ -123,15 +176,37 @@ class Remembered:
         ids = self.old.pop(key, None)
         if ids is None:
             ids = make(key)
-        if len(key) <= 64:
+        if len(key) <= LONGEST_REMEMBERED:
             if len(self.young) >= REMEMBERED:
                 self.old, self.young = self.young, {}
             self.young[key] = ids
         return ids
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
+def classes() -> tuple[str, str]:
+    """Letters and numbers as character classes, from Python's Unicode tables and what they lack."""
+    out = {"L": [], "N": []}
+    for k in range(sys.maxunicode + 1):
+        kind = out.get(unicodedata.category(chr(k))[0])
+        if kind is None:
+            continue
+        if kind and kind[-1][1] == k - 1:
+            kind[-1][1] = k
+        else:
+            kind.append([k, k])
+    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in (*out[c], *new)) for c, new in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)))
+
+
+def starts_anew(c: str) -> bool:
+    """Whether composition never joins a character to what stands before it: no mark, no vowel or final of Hangul."""
+    return c < "\u0300" or not (unicodedata.category(c)[0] == "M" or unicodedata.combining(c) or "\u1160" <= c <= "\u11ff" or "\ud7b0" <= c <= "\ud7ff")
+
 
 class Codec:
-    """A tokenizer file of word BPE: encode(text) gives ids, decode(ids) text."""
+    """A tokenizer file of word BPE: ids(text) gives ids, text(ids) text, both as streams."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -139,63 +214,166 @@ class Codec:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.longest_added = max(map(len, self.added), default=0)
         self.decoder = (spec["decoder"] or {}).get("type")
         self.token = {i: t for t, i in (model["vocab"] | self.added).items()}
         self.machine = Transducer([tuple(m) for m in model["merges"]], model["vocab"], self.suffix)
         self.symbols = dict(enumerate(byte_symbols()))
-        self.splits = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
-        self.space = regex.compile(f"{SPACE}+")
-        self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+")
-        self.odd = regex.compile(r"[\x1c-\x1f]")  # white space for str.split(), but not here
+        self.splits = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        letters, numbers = classes()
+        self.space = re.compile(f"[{SPACE}]+")
+        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}{SPACE}]+")
+        self.letters, self.signs = re.compile(f"[{letters}]*"), re.compile(f"[^{letters}{numbers}{SPACE}]*")
+        self.number = re.compile(f"[{numbers}]")
+        self.odd = re.compile(r"[\x1c-\x1f]")  # white space for str.split(), but not here
         self.seen, self.known = Remembered(), Remembered()
         #: By id: as decimal number and as token.
-        self.number = [str(i) for i in range(max(self.token) + 1)]
+        self.decimal = [str(i) for i in range(max(self.token) + 1)]
         self.shown = [self.token.get(i, "") for i in range(max(self.token) + 1)]
 
+    def bytes_of(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.symbols)
+
     def piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode().decode("latin-1").translate(self.symbols)
-        if len(raw) <= STRIDE:  # shorter than what the machine reads before it emits
-            symbols = list(raw)
-            symbols[-1] += self.suffix
-            return tuple([self.machine.vocab[t] for t in self.machine.merged(symbols)])
-        return tuple(self.machine.run(chain(raw[:-1], [raw[-1] + self.suffix])))
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of text without white space."""
-        low = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        low = low.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        """Ids of a piece that is there as a whole."""
+        raw = self.bytes_of(piece)
+        return tuple(self.machine.run(chain(raw[:-1], (raw[-1] + self.suffix,))))
+
+    def chunk(self, low: str) -> tuple[int, ...]:
+        """Ids of normal text without white space that is there as a whole."""
         known, out = self.known, []
         for p in self.pieces.findall(low):
             ids = known.young.get(p)
             out.append(known.keep(p, self.piece) if ids is None else ids)
         return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
 
+    def normal(self, text: str) -> str:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
+            text = text.translate(TO_LOWER) if NEW_CAPITAL.search(text) else text
+        return text.lower()
+
+    def blocks(self, text: str) -> Iterator[str]:
+        """Text without added tokens in parts, cut where composition does not reach across."""
+        at = 0
+        while len(text) - at > BLOCK:
+            end = at + BLOCK
+            while end > at + 1 and not starts_anew(text[end]):
+                end -= 1
+            if end == at + 1:  # marks all over: on to where they end
+                end = at + BLOCK
+                while end < len(text) and not starts_anew(text[end]):
+                    end += 1
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
     def plain(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Ids of text without added tokens, a few at a time."""
+        if len(text) <= BLOCK:
+            yield from self.whole(self.normal(text))
+            return
+        rest = ""  # what may go on in the next block
+        stream = (self.normal(b) for b in self.blocks(text))
+        for block in stream:
+            rest += block
+            last = max(rest.rfind(" "), rest.rfind("\n"))
+            if last < 0:
+                last = max((m.start() for m in self.space.finditer(rest)), default=-1)
+            if last >= 0:
+                yield from self.whole(rest[:last])
+                rest = rest[last + 1 :]
+            if len(rest) > BLOCK:
+                rest = yield from self.unbroken(rest, stream)
+        yield from self.whole(rest)
+
+    def whole(self, low: str) -> Iterator[tuple[int, ...]]:
+        """Ids of normal text at whose ends pieces end."""
         seen = self.seen
         get = seen.young.get
-        for c in self.space.split(text) if self.odd.search(text) else text.split():
+        for c in self.space.split(low) if self.odd.search(low) else low.split():
             ids = get(c)
             if ids is None:
-                ids = seen.keep(c, self.chunk)
+                ids = seen.keep(c, self.chunk) if c else ()
                 get = seen.young.get
             yield ids
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if not self.added or not self.splits.search(text):
-            return list(chain.from_iterable(self.plain(text)))
-        out, at = [], 0
-        for m in self.splits.finditer(text):
-            out += [*chain.from_iterable(self.plain(text[at : m.start()])), self.added[m[0]]]
+    def unbroken(self, text: str, stream: Iterator[str]) -> Iterator[tuple[int, ...]]:
+        """Ids of the pieces of normal text that goes on in the stream without white space; returns what follows them, from the first white space on."""
+        at = 0
+        while True:
+            if len(text) - at < BEGINNING and (more := next(stream, "")):
+                text, at = text[at:] + more, 0
+                continue
+            if at == len(text) or self.space.match(text, at):
+                return text[at:]
+            m = self.pieces.match(text, at)
+            if m.end() < len(text) or self.number.match(m[0]):
+                yield self.known.keep(m[0], self.piece)
+                at = m.end()
+                continue
+            more = self.letters if self.letters.match(m[0])[0] else self.signs
+            state = [m[0], ""]  # symbols of the piece so far; what comes after it
+
+            def symbols() -> Iterator[str]:
+                held = self.bytes_of(state[0])
+                while block := next(stream, ""):
+                    end = more.match(block).end()
+                    yield from held[:-1]
+                    held = held[-1] + self.bytes_of(block[:end])
+                    if end < len(block):
+                        state[1] = block[end:]
+                        break
+                yield from held[:-1]
+                yield held[-1] + self.suffix
+
+            ids = self.machine.run(symbols())
+            while part := tuple(islice(ids, TOGETHER)):
+                yield part
+            text, at = state[1], 0
+
+    def ids(self, text: str | None) -> Iterator[tuple[int, ...]]:
+        """The ids of a text, a few at a time."""
+        text, at = text or "", 0
+        for m in self.splits.finditer(text) if self.added else ():
+            yield from self.plain(text[at : m.start()])
+            yield (self.added[m[0]],)
             at = m.end()
-        return out + list(chain.from_iterable(self.plain(text[at:])))
+        yield from self.plain(text[at:] if at else text)
+
+    def together(self, text: str | None) -> Iterator[list[int]]:
+        """The same, about TOGETHER at a time."""
+        flat = chain.from_iterable(self.ids(text))
+        while some := list(islice(flat, TOGETHER)):
+            yield some
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.ids(text)))
+
+    def text(self, ids: Iterable[list[int]]) -> Iterator[str]:
+        """What ids stand for, as far as it is certain after each few of them."""
+        machine, shown = Decoder(self.decoder), self.shown.__getitem__
+        for some in ids:
+            yield machine.feed(list(map(shown, some)))
+        yield machine.finish()
 
     def decode(self, ids: list[int]) -> str:
-        if self.decoder is None:  # each token is certain when it comes
-            return " ".join(map(self.shown.__getitem__, ids))
-        machine = Decoder(self.decoder)
-        return "".join(machine.feed(self.shown[i]) for i in ids) + machine.finish()
+        return "".join(self.text([ids]))
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids joined by a space, digest of the decoded text: nothing is held but what is in work."""
+        n, numbers, back, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.decoder)
+        decimal, shown = self.decimal.__getitem__, self.shown.__getitem__
+        for some in self.together(text):
+            numbers.update(((" " if n else "") + " ".join(map(decimal, some))).encode())
+            back.update(machine.feed(list(map(shown, some))).encode())
+            n += len(some)
+        back.update(machine.finish().encode())
+        return n, numbers.hexdigest(), back.hexdigest()
+
+    def clear(self) -> None:
+        self.seen.clear()
+        self.known.clear()
 
 
 _CODECS: dict[str, Codec] = {}
@@ -222,6 +400,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             ids = [c.encode(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        c.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -239,19 +418,14 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the text decoded from them, in one pass: neither leaves the worker."""
+    """doc_id, n_tokens and the digests of ids and of the text decoded from them, in one pass: neither is ever held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or default_path())
-        number = c.number.__getitem__
         for b in batches:
-            n, digests, back = [], [], []
-            for t in b.column(1):
-                ids = c.encode(t.as_py())
-                n.append(len(ids))
-                digests.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            got = list(zip(*(c.digests(t.as_py()) for t in b.column(1)))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got[0], pa.int64()), pa.array(got[1], pa.string()), pa.array(got[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
