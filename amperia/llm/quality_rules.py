@@ -1,8 +1,10 @@
 """Quality rules by weak supervision: each rule votes good, bad or abstains, EM estimates how far to trust each rule, the posterior decides.
 
+The label model has for each rule and each class (good, bad) the probabilities of all three outcomes. So a rule that can vote only one way is estimated like the others, by how often it votes at all in either class; its abstaining counts as well. What is estimated are these probabilities and the share of good documents; a rule is never turned round: a good vote never speaks for bad, nor a bad one for good.
+
 Main path: DataFrame functions only. The rules' votes are counted by pattern, at most 3**8 = 6561 whatever the corpus; EM runs over those counts.
 
-Null or empty texts have no words and fail the base rule. Repeated rows are scored each; a null doc_id stays. Columns other than doc_id and text are not read.
+Null or empty texts have no words and fail the base rule. A very long text is counted whole. Ties: a posterior of exactly the threshold is kept. Repeated rows are scored each; a null doc_id stays. An empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +18,17 @@ from .common import LOWER, UPPER, WS, let, words, written
 
 #: Vote columns: 1 good, 0 bad, -1 abstains.
 RULES = ("v_length", "v_repeat", "v_symbols", "v_lines", "v_case", "v_variety", "v_stops", "v_prose")
-EM_ROUNDS, PRIOR_GOOD, FIRST_ACCURACY, SMOOTH = 40, 0.8, 0.8, 2.0
+EM_ROUNDS, PRIOR_GOOD, SMOOTH = 60, 0.8, 5.0
+OUTCOMES = (-1, 0, 1)
+#: Where EM begins, by the votes that a rule has: probabilities of abstaining, a bad and a good vote in bad and in good documents. A rule for one defect is taken to be precise: there is another optimum in which common defects are good text. SMOOTH documents of each class have these before a rule's outcomes are counted.
+FIRST = {
+    (True, True): ((0.6, 0.32, 0.08), (0.6, 0.08, 0.32)),
+    (True, False): ((0.7, 0.3, 0.0), (0.999, 0.001, 0.0)),
+    (False, True): ((0.999, 0.0, 0.001), (0.7, 0.0, 0.3)),
+    (False, False): ((1.0, 0.0, 0.0), (1.0, 0.0, 0.0)),
+}
+#: No vote adds more to the log-odds.
+MOST_WEIGHT = 6.0
 
 
 def repeated_words(w: Column) -> Column:
@@ -81,29 +93,33 @@ def votes(f: DataFrame) -> DataFrame:
     })
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
-    """EM over vote patterns and their counts: the prior log-odds of good, and for each rule what a good and a bad vote add to the log-odds."""
-    prior, m = PRIOR_GOOD, len(RULES)
-    good = [FIRST_ACCURACY] * m  # P(votes good | good, votes)
-    bad = [FIRST_ACCURACY] * m  # P(votes bad | bad, votes)
+def fit(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float, float]]]:
+    """EM over vote patterns and their counts: the prior log-odds of good, and for each rule what abstaining, a bad and a good vote add to the log-odds."""
+    prior, m = PRIOR_GOOD, max((len(p) for p, _ in counts), default=len(RULES))
+    first = [FIRST[tuple(any(p[j] == o for p, _ in counts) for o in (0, 1))] for j in range(m)]
+    begin = [[f[c] for f in first] for c in (0, 1)]
+    p = begin
+
+    def weights() -> list[tuple[float, float, float]]:
+        out = []
+        for j in range(m):
+            w = [math.log(p[1][j][k] / p[0][j][k]) if p[0][j][k] > 0 else 0.0 for k in range(3)]
+            out.append((max(-MOST_WEIGHT, min(MOST_WEIGHT, w[0])), max(-MOST_WEIGHT, min(0.0, w[1])), min(MOST_WEIGHT, max(0.0, w[2]))))
+        return out
+
     for _ in range(EM_ROUNDS if counts else 0):
-        ng = total = 0.0
-        sums = [[SMOOTH * FIRST_ACCURACY, SMOOTH, SMOOTH * FIRST_ACCURACY, SMOOTH] for _ in range(m)]
+        w, good, total = weights(), 0.0, 0
+        sums = [[[SMOOTH * x for x in begin[c][j]] for j in range(m)] for c in (0, 1)]
         for pattern, k in counts:
-            x = math.log(prior / (1 - prior))
-            for j, v in enumerate(pattern):
-                if v >= 0:
-                    x += math.log(good[j] / (1 - bad[j])) if v else math.log((1 - good[j]) / bad[j])
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
-            ng, total = ng + k * p, total + k
+            x = math.log(prior / (1 - prior)) + sum(w[j][v + 1] for j, v in enumerate(pattern))
+            q = 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+            good, total = good + k * q, total + k
             for j, v in enumerate(pattern):
-                if v >= 0:
-                    s = sums[j]
-                    s[0], s[1], s[2], s[3] = s[0] + k * p * v, s[1] + k * p, s[2] + k * (1 - p) * (1 - v), s[3] + k * (1 - p)
-        prior = min(0.99, max(0.01, ng / total))
-        # A rule is never taken to be worse than a coin: its meaning is fixed by how it is written.
-        good, bad = ([min(0.995, max(0.505, s[i] / s[i + 1])) for s in sums] for i in (0, 2))
-    return math.log(prior / (1 - prior)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(good, bad, strict=True)]
+                sums[1][j][v + 1] += k * q
+                sums[0][j][v + 1] += k * (1 - q)
+        prior = min(0.99, max(0.01, good / total))
+        p = [[tuple(x / sum(s) for x in s) for s in sums[c]] for c in (0, 1)]
+    return math.log(prior / (1 - prior)), weights()
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -112,8 +128,8 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     counts = sorted((tuple(r[:-1]), r[-1]) for r in voted.groupBy(*RULES).count().collect())  # 3**8 patterns at most
     prior, weights = fit(counts)
     odds = F.lit(prior)
-    for rule, (good, bad) in zip(RULES, weights, strict=True):
-        odds = odds + F.when(F.col(rule) == 1, good).when(F.col(rule) == 0, bad).otherwise(0.0)
+    for rule, (none, bad, good) in zip(RULES, weights, strict=True):
+        odds = odds + F.when(F.col(rule) == 1, good).when(F.col(rule) == 0, bad).otherwise(none)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

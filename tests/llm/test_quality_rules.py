@@ -1,9 +1,10 @@
+import math
 import random
 import re
 
 import pytest
 
-from amperia.llm.quality_rules import RULES, features, fit, op8_quality_rules, votes
+from amperia.llm.quality_rules import RULES, features, fit, op8_quality_rules, quality_rules, votes
 
 from .conftest import prose
 
@@ -43,19 +44,86 @@ def test_counts_as_brute_force(table):
         assert not (r.base_failed and r.kept)
 
 
-def test_expectation_maximisation_finds_the_accuracies():
-    """Votes drawn from known accuracies: the fitted weights rank and roughly match them."""
-    r, counts, truth = random.Random(2), {}, [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6]
-    for _ in range(40_000):
-        good = r.random() < 0.7
-        pattern = tuple((-1 if r.random() < 0.3 else int(good == (r.random() < a))) for a in truth)
+def drawn(rules, n, good_share, seed):
+    """Counts of vote patterns: rules are (outcomes of abstaining, bad, good) in bad and in good documents."""
+    r, counts = random.Random(seed), {}
+    for _ in range(n):
+        c = r.random() < good_share
+        pattern = tuple(r.choices((-1, 0, 1), rule[c])[0] for rule in rules)
         counts[pattern] = counts.get(pattern, 0) + 1
+    return sorted(counts.items())
+
+
+def check_weights(rules, weights):
+    for rule, got in zip(rules, weights, strict=True):
+        for k in range(3):
+            if rule[0][k] > 0:
+                assert got[k] == pytest.approx(math.log(rule[1][k] / rule[0][k]), abs=0.35), (rule, got)
+
+
+def test_expectation_maximisation_finds_two_sided_rules():
+    rules = [((0.3, 0.7 * a, 0.7 * (1 - a)), (0.3, 0.7 * (1 - a), 0.7 * a)) for a in (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6)]
+    prior, weights = fit(drawn(rules, 40_000, 0.7, 2))
+    assert prior == pytest.approx(math.log(0.7 / 0.3), abs=0.2)
+    check_weights(rules, weights)
+
+
+def test_expectation_maximisation_finds_one_sided_rules():
+    """Rules that only ever vote bad, or only good, among others: how much a vote and abstaining say is found for each."""
+    one = lambda bad, good: ((1 - bad, bad, 0.0), (1 - good, good, 0.0))
+    rules = [one(0.5, 0.02), one(0.3, 0.01), one(0.4, 0.1), one(0.2, 0.05), ((0.9, 0.0, 0.1), (0.5, 0.0, 0.5)), ((0.2, 0.6, 0.2), (0.3, 0.1, 0.6)), ((0.5, 0.4, 0.1), (0.4, 0.1, 0.5)), one(0.6, 0.05)]
+    prior, weights = fit(drawn(rules, 60_000, 0.8, 3))
+    assert prior == pytest.approx(math.log(4), abs=0.2)
+    check_weights(rules, weights)
+
+
+def test_a_rule_is_never_turned_round():
+    rules = [((0.2, 0.2, 0.6), (0.2, 0.6, 0.2)), *[((0.2, 0.7, 0.1), (0.2, 0.1, 0.7))] * 4]
+    _, weights = fit(drawn(rules, 5000, 0.7, 4))
+    assert weights[0][1] == weights[0][2] == 0
+    assert fit([])[1] == [(0.0, 0.0, 0.0)] * len(RULES)
+
+
+def brute_votes(t):
+    """The votes, worked out again from the text."""
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, repeat, _ = brute(t)
+    m, upper, lower, stops, bangs = max(1, n), sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t), sum(c in ".!?" for c in t), t.count("!")
+    dup_share = dup / max(1, len(lines)) if dup >= 2 else 0
+    kinds = len(set(w))
+    calm = repeat / m <= 0.15 and symbols / m <= 0.05 and dup_share <= 0.1 and upper * 6 <= lower and bangs * 20 <= m and 2 <= chars / m <= 12
+    rough = repeat / m > 0.4 or symbols / m > 0.2 or dup_share > 0.3 or upper > lower or bangs * 4 > m or chars / m > 20
+    both = lambda good, bad: 0 if bad else 1 if good else -1
+    return (
+        both(False, n < 20), both(False, repeat / m > 0.4), both(False, symbols / m > 0.2), both(False, dup_share > 0.3), both(False, upper > lower),
+        both(n >= 50 and kinds**2 >= 8 * m, n >= 50 and kinds**2 < 1.5 * m), both(stops * 60 >= m and bangs * 20 <= m, bangs * 4 > m), both(calm, rough),
+    )
+
+
+def test_the_whole_query_as_a_plain_version(table):
+    """Votes, counts of patterns, posterior and verdict of every document, by loops over texts."""
+    r = random.Random(7)
+    rows = [*corpus(5, 150), *((2000 + d, ". ".join(" ".join(prose(r, 9, 4000)).capitalize() for _ in range(r.randint(3, 12)))) for d in range(150)), (3000, None), (3001, "")]
+    given = {d: brute_votes(t) for d, t in rows}
+    counts = {}
+    for v in given.values():
+        counts[v] = counts.get(v, 0) + 1
     prior, weights = fit(sorted(counts.items()))
-    assert prior == pytest.approx(0.85, abs=0.25)  # log(0.7 / 0.3)
-    import math
+    for x in quality_rules(table(rows)).collect():
+        assert tuple(x[c] for c in RULES) == given[x.doc_id]
+        p = 1 / (1 + math.exp(-(prior + sum(w[v + 1] for w, v in zip(weights, given[x.doc_id])))))
+        assert x.posterior == pytest.approx(p, abs=1e-9)
+        assert x.kept == (not brute(dict(rows)[x.doc_id])[5] and p >= 0.5)
 
-    for a, (good, bad) in zip(truth, weights):
-        assert good == pytest.approx(math.log(a / (1 - a)), abs=0.35) and bad == pytest.approx(-math.log(a / (1 - a)), abs=0.35)
+
+def test_labelled_documents(spark):
+    from amperia.llm.common import documents, labels
+
+    at = "/root/testdata/sf0.01"
+    good = {r.doc_id: r.quality for r in labels(spark, at).collect()}
+    kept = [(good[r.doc_id], r.kept) for r in op8_quality_rules(documents(spark, at)).collect() if good.get(r.doc_id) is not None]
+    assert sum(k for g, k in kept if g) > 0.9 * sum(g for g, _ in kept) and not any(k for g, k in kept if not g)
 
 
 def test_posterior_keeps_prose_and_drops_junk(table):
