@@ -23,9 +23,9 @@ red AS (SELECT 2 * k + 1 AS sk, k, transformador, circuito, subestacion, g, TIME
 inv AS (SELECT 1::BIGINT AS sk, count(*) AS tot, TIMESTAMP '1995-01-01' AS ini, TIMESTAMP '2024-01-16' AS fin, false AS activo FROM customer UNION ALL SELECT 2, count(*) + count(*) // 10, TIMESTAMP '2024-01-16', NULL, true FROM customer)"""
 
 
-def events(power_only: bool = True) -> str:
+def events(power_only: bool = True, months: int = 1) -> str:
     return f"""
-ev AS (SELECT event_id AS id, user_id AS m, ts, CASE event_type WHEN 'error' THEN 'POWER_OUTAGE' WHEN 'purchase' THEN 'POWER_RESTORATION' WHEN 'signup' THEN 'VOLTAGE_SPIKE' WHEN 'view' THEN 'VOLTAGE_SAG' WHEN 'click' THEN 'HEARTBEAT' ELSE 'UNKNOWN' END AS tipo
+ev AS (SELECT event_id AS id, user_id AS m, ts + to_days((30 * (user_id % {months}))::INTEGER) AS ts, CASE event_type WHEN 'error' THEN 'POWER_OUTAGE' WHEN 'purchase' THEN 'POWER_RESTORATION' WHEN 'signup' THEN 'VOLTAGE_SPIKE' WHEN 'view' THEN 'VOLTAGE_SAG' WHEN 'click' THEN 'HEARTBEAT' ELSE 'UNKNOWN' END AS tipo
   FROM events {"WHERE event_type IN ('error', 'purchase')" if power_only else ""}),
 seen AS (SELECT *, lag(tipo) OVER (PARTITION BY m ORDER BY ts, id) AS ant FROM ev),
 orf AS (SELECT *, CASE WHEN ant IS NULL THEN '{NO_OUTAGE_BEFORE}' ELSE '{CONSECUTIVE}' END AS motivo FROM seen WHERE tipo = 'POWER_RESTORATION' AND (ant IS NULL OR ant = 'POWER_RESTORATION')),
@@ -82,6 +82,7 @@ def _with(*parts: str) -> str:
 
 EV, EV_ALL = events(), events(False)
 F_ = (DIMS, EV, FACTS)
+F_MONTHS = (DIMS, events(months=14), FACTS)
 V1, V1_ALL, V1_LOW = daily(), daily(False), daily(True, 0.5)
 PAIR = "SELECT id_outage, m AS id_medidor, ts_outage, id_restoration, ts_restoration, clase AS clasificacion, cm / 100.0 AS duracion_minutos FROM p"
 ORPHAN = "SELECT id AS id_evento, m AS id_medidor, ts AS timestamp_evento, motivo AS huerfana FROM orf"
@@ -101,6 +102,10 @@ RANKED = f"""SELECT row_number() OVER (ORDER BY s DESC, subestacion) AS ranking,
   {ratio("s - city * n", "n", 2, 100)} AS delta_vs_ciudad, CASE WHEN s > city * n * 2 THEN 'CRITICO' WHEN 2 * s > city * n * 3 THEN 'ALTO' WHEN s > city * n THEN 'MEDIO' ELSE 'NORMAL' END AS nivel_desempeno
   FROM (SELECT subestacion, count(DISTINCT periodo) AS meses_con_datos, sum(round(saidi * 100)::BIGINT)::BIGINT AS s, sum(round(saifi * 10000)::BIGINT)::BIGINT AS s4, sum(round(caidi * 100)::BIGINT)::BIGINT AS s2, count(*) AS n, sum(total_interrupciones)::BIGINT AS total_interrupciones_acum FROM y GROUP BY subestacion),
   (SELECT round({ratio("sum(round(saidi * 100)::BIGINT)", "count(*)", 2, 100)} * 100)::BIGINT AS city FROM y)"""
+DETAILS = """
+SELECT id AS id_evento_origen, 'MEDIDOR_INACTIVO' AS tipo_error, wh::DOUBLE AS consumo_wh, v::DOUBLE AS voltaje, tipo AS tipo_lectura, 'validacion' AS bloque, NULL::VARCHAR AS rango_aceptable, NULL::VARCHAR AS rango_normal FROM ina
+UNION ALL SELECT id, 'VOLTAGE_OUT_OF_RANGE', NULL, v, NULL, NULL, '[0.00, 1000.00]', '[180.00, 260.00]' FROM vol
+UNION ALL SELECT id, 'CONSUMO_NEGATIVO', wh, v, NULL, NULL, NULL, NULL FROM neg"""
 YEAR = "y AS (SELECT * FROM v5r WHERE subestacion IS NOT NULL AND anio = (SELECT year(max(timestamp_inicio)) FROM f))"
 
 
@@ -146,6 +151,10 @@ def oracle_sql() -> dict[str, str]:
         "saidi_mensual_beta05": low + MONTH_OUT,
         "tendencia": monthly + _trend(),
         "tendencia_ciudad": monthly + _trend("AND subestacion IS NULL"),
+        "saidi_mensual_over_months": _with(*F_MONTHS, V1_LOW, MONTHLY) + MONTH_OUT,
+        "tendencia_over_months": _with(*F_MONTHS, V1_LOW, MONTHLY) + _trend(),
+        "tendencia_ciudad_over_months": _with(*F_MONTHS, V1_LOW, MONTHLY) + _trend("AND subestacion IS NULL"),
+        "telemetry_error_details": rd + DETAILS,
         "ranking": _with(*F_, V1, MONTHLY, YEAR) + RANKED,
         "heatmap": facts + f"SELECT sk_tiempo - 1 AS hora, dia_semana, dia_semana_num, count(*) AS total_interrupciones, sum(cm)::BIGINT / 100.0 AS duracion_total, CASE WHEN sk_tiempo - 1 BETWEEN 6 AND 11 THEN 'Mañana' WHEN sk_tiempo - 1 BETWEEN 12 AND 17 THEN 'Tarde' WHEN sk_tiempo - 1 BETWEEN 18 AND 22 THEN 'Pico' ELSE 'Noche' END AS franja_horaria, {ratio('sum(cm)', 'count(*)', 2, 100)} AS duracion_promedio FROM f JOIN fecha USING (sk_fecha) GROUP BY sk_tiempo, dia_semana, dia_semana_num",
         "consumo_diario": rd + f"SELECT {day}, subestacion, circuito, sector_urbano, count(*) AS total_lecturas, sum(kwh4)::BIGINT / 10000.0 AS consumo_total_kwh, max(kwh4) / 10000.0 AS consumo_maximo_kwh, min(kwh4) / 10000.0 AS consumo_minimo_kwh, (sum(kwh4)::BIGINT / 10000.0) / count(*) AS consumo_promedio_kwh FROM ft JOIN geo ON geo.sk_geografia_urbana = ft.g GROUP BY GROUPING SETS (({day}, subestacion, circuito, sector_urbano), ({day}, subestacion, circuito), ({day}, subestacion), ({day}))",

@@ -49,11 +49,13 @@ def telemetry_facts(t: Tables, readings: DataFrame) -> DataFrame:
     red = t["dim_red_electrica"].select("id_medidor_origen", "sk_red_electrica", F.col("sk_geografia_urbana"), "fecha_inicio", "fecha_fin", "activo_bool")
     kinds = t["dim_tipo_evento"].select(F.col("codigo_evento").alias("tipo_lectura"), "sk_tipo_evento")
     keyed = interval_join(good, red, ON, "timestamp_lectura").join(F.broadcast(t["dim_fecha"].select("fecha", "sk_fecha")), "fecha").join(F.broadcast(t["dim_tiempo"].select("hora", "sk_tiempo")), "hora").join(F.broadcast(kinds), "tipo_lectura", "left")
+    # There is no member for an unknown sector to fall back to, as there is for an unknown type: the batch fails.
+    no_place = F.raise_error(F.concat(F.lit("medidor sin geografía: sk_red_electrica "), F.col("sk_red_electrica").cast("string"))).cast("long")
     rows = keyed.select(
         "sk_fecha",
         "sk_tiempo",
         "sk_red_electrica",
-        F.coalesce("sk_geografia_urbana", F.lit(-1)).alias("sk_geografia_urbana"),
+        F.coalesce("sk_geografia_urbana", no_place).alias("sk_geografia_urbana"),
         F.coalesce("sk_tipo_evento", F.lit(-1)).cast("long").alias("sk_tipo_evento"),
         F.date_trunc("hour", "timestamp_lectura").alias("timestamp_lectura"),
         F.round(F.col("consumo_wh") / 1000, 4).cast("decimal(12,4)").alias("consumo_kwh"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import heatmap_band
 from ..functions.numeric import ratio
 from ..operators.changes import update
-from .outages import Tables
+from .outages import Store, Tables, as_plan
 
 c = F.col
 DECIMAL = "decimal(28,2)"
@@ -50,18 +50,19 @@ def umbral_med(daily: DataFrame, beta: float = 2.5) -> DataFrame:
     return s.select(F.when(c("b").isNull() | (c("b") < 1e-12), 0).otherwise(F.round(F.exp(c("a") + beta * c("b")), 2)).cast("decimal(18,2)").alias("umbral_med"))
 
 
-def saidi_con_med(t: Tables, beta: float = 2.5, **how: bool) -> DataFrame:
-    daily = saidi_diario(t, **how)
+def saidi_con_med(t: Tables, beta: float = 2.5, store: Store = as_plan, **how: bool) -> DataFrame:
+    """The daily view with the threshold. A store keeps the daily sums (rows of the calendar), which both need."""
+    daily = store(saidi_diario(t, **how), "saidi-diario")
     return daily.crossJoin(F.broadcast(umbral_med(daily, beta))).withColumn("es_med", c("saidi_diario") > c("umbral_med"))
 
 
-def med_dates(t: Tables, beta: float = 2.5, **how: bool) -> DataFrame:
+def med_dates(t: Tables, beta: float = 2.5, **how: object) -> DataFrame:
     """fecha of the days with a row above the threshold."""
     return saidi_con_med(t, beta, **how).filter("saidi_diario > 0").groupBy("fecha").agg(F.bool_or("es_med").alias("es_med")).filter("es_med").select("fecha")
 
 
-def saidi_mensual(t: Tables, beta: float = 2.5, **how: bool) -> DataFrame:
-    """Monthly indices at four levels of the network, without major event days. fecha_consulta is left to who asks."""
+def saidi_mensual(t: Tables, beta: float = 2.5, **how: object) -> DataFrame:
+    """Monthly indices at four levels of the network, without major event days, and when they were asked for."""
     days = t["dim_fecha"].join(F.broadcast(med_dates(t, beta, **how)), "fecha", "left_anti")
     f = t["fact_interrupciones"].filter(~c("excluido_med")).groupBy("sk_fecha", "sk_red_electrica", "sk_clientes").agg(
         F.count("*").alias("n"), F.sum("duracion_minutos").alias("d"), F.sum(c("duracion_minutos") * c("clientes_afectados")).alias("m"), F.sum("clientes_afectados").alias("k")
@@ -83,6 +84,7 @@ def saidi_mensual(t: Tables, beta: float = 2.5, **how: bool) -> DataFrame:
         "saidi": zero(ratio(c("suma_minutos_cliente"), c("total_clientes_servidos"), 2, 2)),
         "saifi": zero(ratio(c("total_clientes_afectados"), c("total_clientes_servidos"), 0, 4)),
         "caidi": zero(ratio(c("suma_duracion_minutos"), c("total_interrupciones"), 2, 2)),
+        "fecha_consulta": F.current_timestamp(),
     })
 
 
@@ -90,7 +92,7 @@ def _latest(t: Tables) -> DataFrame:
     return t["fact_interrupciones"].agg(F.coalesce(F.max("timestamp_inicio"), F.current_timestamp()).alias("_last"))
 
 
-def tendencia(t: Tables, beta: float = 2.5, city_level_only: bool = False, **how: bool) -> DataFrame:
+def tendencia(t: Tables, beta: float = 2.5, city_level_only: bool = False, **how: object) -> DataFrame:
     """City trend by month, from 24 months before the last interruption, and the change against the month before that is present.
 
     All levels of the monthly view are summed, as its consumers expect (so totals count each interruption once a level); city_level_only takes the city's own rows.
@@ -113,7 +115,7 @@ def tendencia(t: Tables, beta: float = 2.5, city_level_only: bool = False, **how
     )
 
 
-def ranking(t: Tables, beta: float = 2.5, **how: bool) -> DataFrame:
+def ranking(t: Tables, beta: float = 2.5, **how: object) -> DataFrame:
     """Substations of the last interruption's year by the sum of their monthly SAIDI over all levels below the city, against the mean of all such rows. Ties by name."""
     year = _latest(t).select(F.year("_last").alias("_year"))
     rows = saidi_mensual(t, beta, **how).filter("subestacion is not null").crossJoin(F.broadcast(year)).filter("anio = _year")
@@ -181,18 +183,23 @@ def monitoreo_elt(t: Tables) -> DataFrame:
     return t["ctrl_lotes_procesamiento"].withColumns({"tasa_conversion_pct": rate("total_hechos"), "tasa_error_pct": rate("total_huerfanos")})
 
 
-def flag_med(t: Tables, beta: float = 2.5, **how: bool) -> tuple[DataFrame, DataFrame]:
-    """The facts with excluido_med set on major event days, and one row: facts flagged, rows above the threshold, the threshold.
+def med_report(t: Tables, beta: float = 2.5, store: Store = as_plan, **how: bool) -> tuple[DataFrame, DataFrame]:
+    """fecha and sk_fecha of the major event days, and one row: facts to be flagged, rows above the threshold, the threshold. Days and threshold come from the same daily sums."""
+    daily = store(saidi_diario(t, **how), "saidi-diario")
+    limit = umbral_med(daily, beta)
+    over = daily.crossJoin(F.broadcast(limit)).filter(c("saidi_diario") > c("umbral_med"))
+    days = over.select("fecha").distinct().join(t["dim_fecha"].select("fecha", "sk_fecha"), "fecha")
+    hit = t["fact_interrupciones"].filter(~c("excluido_med")).join(F.broadcast(days), "sk_fecha", "left_semi").agg(F.count("*").alias("total_actualizados"))
+    return days, hit.crossJoin(over.agg(F.count("*").alias("total_med_days"))).crossJoin(limit.withColumnRenamed("umbral_med", "umbral_aplicado"))
+
+
+def flag_med(t: Tables, beta: float = 2.5, store: Store = as_plan, **how: bool) -> tuple[DataFrame, DataFrame]:
+    """The facts with excluido_med set on major event days, and the report.
 
     Flagged facts leave the daily view, so a second call may find a lower threshold; flags are never cleared.
     """
-    judged = saidi_con_med(t, beta, **how)
-    over = judged.filter("es_med")
-    days = over.select("fecha").distinct().join(t["dim_fecha"].select("fecha", "sk_fecha"), "fecha").select("sk_fecha")
-    facts = t["fact_interrupciones"]
-    hit = facts.filter(~c("excluido_med")).join(F.broadcast(days), "sk_fecha", "left_semi").agg(F.count("*").alias("total_actualizados"))
-    report = hit.crossJoin(over.agg(F.count("*").alias("total_med_days"))).crossJoin(umbral_med(saidi_diario(t, **how), beta).withColumnRenamed("umbral_med", "umbral_aplicado"))
-    return update(facts, days, "sk_fecha", {"excluido_med": F.lit(True)}), report
+    days, report = med_report(t, beta, store, **how)
+    return update(t["fact_interrupciones"], days.select("sk_fecha"), "sk_fecha", {"excluido_med": F.lit(True)}), report
 
 
 def dashboard_order(view: str, df: DataFrame) -> DataFrame:

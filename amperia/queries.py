@@ -81,12 +81,28 @@ def referential_audit(t: outages.Tables) -> DataFrame:
     return out
 
 
+#: Months of 30 days over which over_months spreads the test events, which are of one month: a meter's events stay together.
+MONTHS = 14
+
+
+def over_months(t: outages.Tables) -> outages.Tables:
+    later = F.make_interval(hours=(24 * 30 * (F.col("id_medidor") % MONTHS)).cast("int"))
+    return t | {"staging_eventos": t["staging_eventos"].withColumn("timestamp_evento", F.col("timestamp_evento") + later)}
+
+
+def error_details(t: outages.Tables) -> DataFrame:
+    """The technical details of a telemetry batch's errors, read back from their JSON."""
+    field = lambda name: F.get_json_object("detalle_tecnico", f"$.{name}")
+    numbers = [field(x).cast("double").alias(x) for x in ("consumo_wh", "voltaje")]
+    return telemetry.reconcile_telemetry(t)["errores"].select("id_evento_origen", "tipo_error", *numbers, *(field(x).alias(x) for x in ("tipo_lectura", "bloque", "rango_aceptable", "rango_normal")))
+
+
 def _over(build: Callable[[outages.Tables], DataFrame], power_only: bool = True) -> Query:
     return lambda spark, sf_dir: plain(build(tables(spark, sf_dir, power_only)))
 
 
 PAIR_COLUMNS = ["id_outage", "id_medidor", "ts_outage", "id_restoration", "ts_restoration", "clasificacion", "duracion_minutos"]
-V = {"active_only": False}
+V, S = {"active_only": False}, {"store": stored}
 
 
 def queries() -> dict[str, Query]:
@@ -108,7 +124,7 @@ def queries() -> dict[str, Query]:
         "scd_all_matches": _over(lambda t: interval_join(readings(t), t["dim_red_electrica"].drop("id_medidor"), on, "timestamp_lectura").select("id_staging", "sk_red_electrica")),
         "scd_asof_customers": _over(lambda t: asof_global(long(t), t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"]).select("id_outage", "sk_clientes")),
         "unresolved_network_fallback": _over(lambda t: outages.network_fallback(t, long(t).select("id_medidor", "ts_outage")).select("sk_red_electrica", "id_medidor", "codigo_medidor", "fecha_inicio", "sk_geografia_urbana")),
-        "fact_interrupciones": _over(lambda t: outages.reconcile_outages(t)["hechos"]),
+        "fact_interrupciones": _over(lambda t: outages.reconcile_outages(t, store=stored)["hechos"]),
         "outage_errors": _over(lambda t: outages.reconcile_outages(t)["errores"].select("id_evento_origen", "id_medidor", "tipo_evento", "tipo_error", "motivo_error")),
         "outage_processed": _over(lambda t: outages.reconcile_outages(t)["procesados"]),
         "outage_counters": _over(lambda t: outages.reconcile_outages(t, store=stored)["contadores"]),
@@ -122,20 +138,24 @@ def queries() -> dict[str, Query]:
         "saidi_diario": _over(lambda t: views.saidi_diario(with_outages(t))),
         "saidi_diario_all_versions": _over(lambda t: views.saidi_diario(with_outages(t), **V)),
         "umbral_med": _over(lambda t: views.umbral_med(views.saidi_diario(with_outages(t)))),
-        "saidi_con_med": _over(lambda t: views.saidi_con_med(with_outages(t))),
-        "saidi_mensual": _over(lambda t: views.saidi_mensual(with_outages(t))),
-        "saidi_mensual_beta05": _over(lambda t: views.saidi_mensual(with_outages(t), 0.5)),
-        "tendencia": _over(lambda t: views.tendencia(with_outages(t))),
-        "tendencia_ciudad": _over(lambda t: views.tendencia(with_outages(t), city_level_only=True)),
-        "ranking": _over(lambda t: views.ranking(with_outages(t))),
+        "saidi_con_med": _over(lambda t: views.saidi_con_med(with_outages(t), **S)),
+        "saidi_mensual": _over(lambda t: views.saidi_mensual(with_outages(t), **S).drop("fecha_consulta")),
+        "saidi_mensual_beta05": _over(lambda t: views.saidi_mensual(with_outages(t), 0.5, **S).drop("fecha_consulta")),
+        "tendencia": _over(lambda t: views.tendencia(with_outages(t), **S)),
+        "tendencia_ciudad": _over(lambda t: views.tendencia(with_outages(t), city_level_only=True, **S)),
+        "saidi_mensual_over_months": _over(lambda t: views.saidi_mensual(with_outages(over_months(t)), 0.5, **S).drop("fecha_consulta")),
+        "tendencia_over_months": _over(lambda t: views.tendencia(with_outages(over_months(t)), 0.5, **S)),
+        "tendencia_ciudad_over_months": _over(lambda t: views.tendencia(with_outages(over_months(t)), 0.5, city_level_only=True, **S)),
+        "telemetry_error_details": _over(error_details),
+        "ranking": _over(lambda t: views.ranking(with_outages(t), **S)),
         "heatmap": _over(lambda t: views.heatmap(with_outages(t))),
         "consumo_diario": _over(lambda t: views.consumo_diario(with_readings(t))),
         "voltaje_tendencia": _over(lambda t: views.voltaje_tendencia(with_readings(t))),
         "auditoria_errores": _over(lambda t: views.auditoria_errores(with_outages(t))),
         "auditoria_telemetria": _over(lambda t: views.auditoria_errores(with_readings(t))),
         "monitoreo_elt": _over(ledger),
-        "flag_med_beta05": _over(lambda t: views.flag_med(with_outages(t), 0.5)[1]),
-        "flagged_facts_beta05": _over(lambda t: views.flag_med(with_outages(t), 0.5)[0].filter("excluido_med").select("id_medidor", "timestamp_inicio")),
+        "flag_med_beta05": _over(lambda t: views.flag_med(with_outages(t), 0.5, **S)[1]),
+        "flagged_facts_beta05": _over(lambda t: views.flag_med(with_outages(t), 0.5, **S)[0].filter("excluido_med").select("id_medidor", "timestamp_inicio")),
         "referential_audit": _over(referential_audit),
         "last_batches": _over(lambda t: ledger(t).orderBy(F.col("id_lote").desc()).limit(10)),
         "row_counts": _over(lambda t: _row_counts(t)),

@@ -1,6 +1,8 @@
-"""Tables as versioned Parquet folders: a batch writes new versions beside the old ones and commits by swapping one small manifest, so readers see all of it or nothing.
+"""Tables as Parquet folders that are never changed, under a manifest that says which of them are current: a batch adds folders and commits by creating the next manifest, so readers see all of it or nothing.
 
-One writer at a time. The manifest and the folders go through Spark's Hadoop file system, so any store that it reaches will do.
+Staging, facts and errors are partitioned by day (DAYS), staging also by whether a row is processed. The manifest lists the folders of each day, so a batch reads the pending rows of its days and the facts and errors of these days, and writes new facts, new errors and the pending rows of these days again: what it reads and writes does not depend on how long the history is. Small tables (dimensions, the ledger) are written whole. Keys go on from the largest one, which the manifest holds too.
+
+Manifests are numbered. Creating a number that exists fails: of two writers that began with the same state one gets ConcurrentBatch, and nothing of its batch is seen. The folders go through Spark's Hadoop file system, so any store that it reaches and that renames atomically will do.
 """
 
 from __future__ import annotations
@@ -10,19 +12,34 @@ import logging
 import time
 import uuid
 from dataclasses import asdict, dataclass
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import sequential_keys, update, upsert
 from ..plans import views
-from ..plans.outages import Tables, reconcile_outages
+from ..plans.outages import METERS_IN_BUCKET, Tables, reconcile_outages
 from ..plans.telemetry import reconcile_telemetry
 from .schemas import SCHEMAS
 
 log = logging.getLogger(__name__)
 
+#: The column whose day a partitioned table's rows are filed under; a row without it is filed under NO_DAY.
+DAYS = {"staging_eventos": "timestamp_evento", "staging_telemetria": "timestamp_lectura", "fact_interrupciones": "timestamp_inicio", "fact_telemetria": "timestamp_lectura", "err_telemetria": "timestamp_evento"}
+KEYS = {"fact_interrupciones": "sk_interrupcion", "fact_telemetria": "sk_telemetria", "err_telemetria": "id_error"}
+NO_DAY = "0001-01-01"
+#: Names of the views for tools that speak SQL, and the functions of views.py.
+VIEWS = {
+    "vw_saidi_saifi_diario": "saidi_diario", "vw_consumo_diario": "consumo_diario", "vw_voltaje_tendencia": "voltaje_tendencia", "vw_saidi_saifi_con_med": "saidi_con_med", "vw_saidi_saifi_mensual": "saidi_mensual",
+    "vw_tendencia_12_meses": "tendencia", "vw_ranking_subestaciones": "ranking", "vw_heatmap_interrupciones": "heatmap", "vw_auditoria_errores": "auditoria_errores", "vw_monitoreo_elt": "monitoreo_elt",
+}
+
+
+class ConcurrentBatch(RuntimeError):
+    """Another writer committed since this one began."""
+
 
 @dataclass
 class BatchResult:
@@ -47,54 +64,133 @@ class Warehouse:
 
     # -- manifest ---------------------------------------------------------------------------------
 
-    def manifest(self) -> dict[str, str]:
-        """Folder of the current version of each table."""
-        at = self._fs_path(f"{self.root}/manifest.json")
-        if not self._fs.exists(at):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
+    def _number(self) -> int:
+        at = self._fs_path(f"{self.root}/_manifests")
+        return max((int(f.getPath().getName().removesuffix(".json")) for f in (self._fs.listStatus(at) if self._fs.exists(at) else []) if f.getPath().getName()[0].isdigit()), default=0)
+
+    def manifest(self) -> dict:
+        """The current state: its number, the folder of each small table, the folders of each partitioned one by day and state (0: to be processed, 1: all others), the largest keys."""
+        n = self._number()
+        state = json.loads(self.spark.read.text(f"{self.root}/_manifests/{n}.json", wholetext=True).first()[0]) if n else {"tables": {}, "parts": {}, "keys": {}}
+        return state | {"number": n}
 
-    def _swap(self, manifest: dict[str, str]) -> None:
-        new, at = self._fs_path(f"{self.root}/manifest.{uuid.uuid4().hex}"), self._fs_path(f"{self.root}/manifest.json")
+    def _create(self, state: dict) -> None:
+        """Makes state the next manifest, unless there is one already."""
+        folder, n = f"{self.root}/_manifests", state["number"] + 1
+        new, at = self._fs_path(f"{folder}/.{uuid.uuid4().hex}"), self._fs_path(f"{folder}/{n}.json")
         out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(manifest, indent=1, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps(state | {"number": n}, indent=1, sort_keys=True).encode()))
         out.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, at, overwrite)
+        try:
+            context.rename(new, at, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise ConcurrentBatch(f"{at.toString()} exists") from e
+            raise
 
     # -- tables -----------------------------------------------------------------------------------
 
-    def read(self, name: str) -> DataFrame:
-        at = self.manifest().get(name)
-        return self.spark.createDataFrame([], SCHEMAS[name]) if at is None else self.spark.read.parquet(at)
+    def read(self, name: str, start: datetime | date | None = None, end: datetime | date | None = None, pending: bool = False, state: dict | None = None) -> DataFrame:
+        """A table, or of a partitioned one the folders of the days from start to end, with the rows to be processed only if pending. Rows without a day are always among them."""
+        state = self.manifest() if state is None else state
+        if name in DAYS:
+            first, last = (str(x)[:10] if x is not None else None for x in (start, end))
+            day = lambda k: k.split("|")[0]
+            paths = [at for k, folders in sorted(state["parts"].get(name, {}).items()) if day(k) == NO_DAY or ((first is None or day(k) >= first) and (last is None or day(k) <= last)) if not pending or k.endswith("|0") for at in folders]
+        else:
+            paths = [state["tables"][name]] if name in state["tables"] else []
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def tables(self) -> Tables:
-        return {name: self.read(name) for name in SCHEMAS}
+        state = self.manifest()
+        return {name: self.read(name, state=state) for name in SCHEMAS}
 
     def conform(self, name: str, df: DataFrame) -> DataFrame:
         """df with exactly the table's columns and types; columns that it lacks are null."""
         have = set(df.columns)
         return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]))
 
+    def _write(self, name: str, df: DataFrame) -> dict[str, list[str]] | str:
+        """Writes rows of a table; of a partitioned one, the new folders by day and state."""
+        at, rows = f"{self.root}/{name}/{uuid.uuid4().hex}", self.conform(name, df)
+        if name not in DAYS:
+            rows.write.parquet(at)
+            return at
+        done = F.when(F.col("procesado"), 1).otherwise(0) if "procesado" in rows.columns else F.lit(1)
+        filed = rows.withColumns({"_dia": F.coalesce(F.to_date(DAYS[name]), F.lit(NO_DAY).cast("date")), "_hecho": done})
+        filed.hint("rebalance", "_dia", "_hecho").write.partitionBy("_dia", "_hecho").parquet(at)
+        found: dict[str, list[str]] = {}
+        for day in self._fs.listStatus(self._fs_path(at)):
+            if day.isDirectory():
+                for part in self._fs.listStatus(day.getPath()):
+                    d, s = day.getPath().getName(), part.getPath().getName()
+                    found[f"{d.removeprefix('_dia=')}|{s.removeprefix('_hecho=')}"] = [f"{at}/{d}/{s}"]
+        return found
+
     def commit(self, changed: Tables) -> None:
-        """Writes new versions of the changed tables, then makes all of them current at once."""
-        manifest = self.manifest()
+        """Writes the changed tables whole, then makes all of them current at once."""
+        state = self.manifest()
         for name, df in changed.items():
-            at = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            self.conform(name, df).write.parquet(at)
-            manifest[name] = at
-        self._swap(manifest)
+            state["parts" if name in DAYS else "tables"][name] = self._write(name, df)
+            if name in KEYS:
+                state["keys"][name] = int(self.read(name, state=state).agg(F.coalesce(F.max(KEYS[name]), F.lit(0))).first()[0])
+        self._create(state)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows to a partitioned table, beside what it has."""
+        state = self.manifest()
+        self._add(state, name, self._write(name, rows))
+        self._create(state)
+
+    @staticmethod
+    def _add(state: dict, name: str, found: dict[str, list[str]]) -> None:
+        parts = state["parts"].setdefault(name, {})
+        for k, folders in found.items():
+            parts[k] = [*parts.get(k, []), *folders]
+
+    @staticmethod
+    def _days(state: dict, name: str, start: datetime | None, end: datetime | None, only: str = "") -> list[str]:
+        """Days (with state) of a partitioned table from start to end."""
+        first, last = (str(x)[:10] if x is not None else None for x in (start, end))
+        return [k for k in state["parts"].get(name, {}) if k.endswith(only) and (first is None or k[:10] >= first) and (last is None or k[:10] <= last)]
+
+    def compact(self, name: str, most: int = 8) -> int:
+        """Writes the days of a partitioned table that have more than so many folders as one folder each; returns how many."""
+        state, many = self.manifest(), {}
+        for k, folders in state["parts"].get(name, {}).items():
+            if len(folders) > most:
+                many[k] = folders
+        if many:
+            rows = self.spark.read.schema(SCHEMAS[name]).parquet(*(f for fs in many.values() for f in fs))
+            state["parts"][name] |= self._write(name, rows)
+            self._create(state)
+        return len(many)
 
     def vacuum(self) -> int:
-        """Deletes folders of versions that are not current; returns how many."""
-        keep, gone = set(self.manifest().values()), 0
-        for name in SCHEMAS:
-            folder = self._fs_path(f"{self.root}/{name}")
+        """Deletes folders of versions that are not current, what failed batches left, and older manifests; returns how many. Not to be called while a batch runs."""
+        state, gone = self.manifest(), 0
+        keep = {*state["tables"].values()} | {f for parts in state["parts"].values() for fs in parts.values() for f in fs}
+        inner = {"/".join(f.split("/")[:-k]) for f in keep for k in (1, 2)}
+        drop = lambda at: bool(self._fs.delete(at.getPath(), True))
+
+        def sweep(at: str, depth: int) -> int:
+            folder, n = self._fs_path(at), 0
             for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                if f"{self.root}/{name}/{s.getPath().getName()}" not in keep:
-                    gone += bool(self._fs.delete(s.getPath(), True))
+                path = f"{at}/{s.getPath().getName()}"
+                if path in keep or not s.isDirectory():
+                    continue
+                n += sweep(path, depth - 1) if depth and path in inner else drop(s)
+            return n
+
+        for name in SCHEMAS:
+            gone += sweep(f"{self.root}/{name}", 2 if name in DAYS else 0)
+        work = self._fs_path(f"{self.root}/_work")
+        gone += sum(map(drop, self._fs.listStatus(work) if self._fs.exists(work) else []))
+        for f in self._fs.listStatus(self._fs_path(f"{self.root}/_manifests")):
+            if f.getPath().getName() != f"{state['number']}.json":
+                gone += drop(f)
         return gone
 
     # -- batches ----------------------------------------------------------------------------------
@@ -107,16 +203,26 @@ class Warehouse:
         one = self.spark.createDataFrame([tuple(row.values())], "id_lote int, fecha_inicio timestamp, fecha_fin timestamp, estado string, fecha_ejecucion timestamp, total_eventos int, total_hechos int, total_huerfanos int, total_transitorios int")
         return self.conform("ctrl_lotes_procesamiento", one.withColumn("duracion_segundos", F.lit(round(time.time() - began, 2))))
 
-    def _append(self, name: str, key: str, rows: DataFrame, bucket: Column, order: list[str], extra: dict) -> DataFrame:
-        old = self.read(name)
-        top = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-        return old.unionByName(self.conform(name, sequential_keys(rows, key, bucket, order, int(top)).withColumns(extra)))
+    def _appended(self, state: dict, name: str, rows: DataFrame, bucket: Column, order: list[str], extra: dict) -> None:
+        """New rows with the keys after the largest one: written, and noted in state."""
+        top = state["keys"].get(name, 0)
+        found = self._write(name, sequential_keys(rows, KEYS[name], bucket, order, top).withColumns(extra))
+        self._add(state, name, found)
+        new = [f for fs in found.values() for f in fs]
+        state["keys"][name] = max(top, int(self.spark.read.schema(SCHEMAS[name]).parquet(*new).agg(F.coalesce(F.max(KEYS[name]), F.lit(0))).first()[0]) if new else 0)
 
     def _run(self, plan: str, start: datetime | None, end: datetime | None) -> BatchResult:
-        began, lote = time.time(), self._next_batch()
+        began, lote, work = time.time(), self._next_batch(), f"{self.root}/_work/{uuid.uuid4().hex}"
+        staging, fact, key = ("staging_eventos", "fact_interrupciones", "id_evento") if plan == "outages" else ("staging_telemetria", "fact_telemetria", "id_staging")
         try:
-            t = self.tables()
-            work = f"{self.root}/_work/{uuid.uuid4().hex}"
+            state = self.manifest()
+            touched = self._days(state, staging, start, end, "|0")
+            days = sorted(k[:10] for k in touched)
+            first, last = (days[0], days[-1]) if days else ("9999-12-31", "9999-12-31")
+            t = {name: self.read(name, state=state) for name in SCHEMAS if name not in DAYS}
+            t[staging] = self.read(staging, start, end, pending=True, state=state)
+            # What a row may repeat is filed under the same day as it is.
+            t |= {name: self.read(name, first, last, state=state) for name in (fact, "err_telemetria")}
 
             def store(df: DataFrame, name: str) -> DataFrame:
                 df.write.parquet(f"{work}/{name}")
@@ -126,23 +232,31 @@ class Warehouse:
             batch = (reconcile_outages if plan == "outages" else reconcile_telemetry)(t, start, end, store)
             counts = batch["contadores"].first().asDict()
             now, stamp = F.current_timestamp(), F.lit(lote)
-            errors = self._append("err_telemetria", "id_error", batch["errores"], F.to_date("timestamp_evento"), ["timestamp_evento", "id_evento_origen", "tipo_error"], {"fecha_deteccion": now, "resuelto": F.lit(False), "id_lote_procesamiento": stamp})
-            changed = {"err_telemetria": errors}
+            spread = lambda at, c: F.struct(F.to_date(at).alias("d"), F.expr(f"{c} div {METERS_IN_BUCKET}").alias("m"))
+            self._appended(state, "err_telemetria", batch["errores"], spread("timestamp_evento", "id_medidor"), ["timestamp_evento", "id_evento_origen", "tipo_error"], {"fecha_deteccion": now, "resuelto": F.lit(False), "id_lote_procesamiento": stamp})
+            marks: dict[str, Column] = {"procesado": F.lit(True)}
             if plan == "outages":
-                changed["fact_interrupciones"] = self._append("fact_interrupciones", "sk_interrupcion", batch["hechos"], F.to_date("timestamp_inicio"), ["timestamp_inicio", "id_medidor"], {"id_lote_procesamiento": stamp, "excluido_med": F.lit(False), "fecha_procesamiento": now})
-                changed["staging_eventos"] = update(t["staging_eventos"], batch["procesados"], "id_evento", {"procesado": F.lit(True)})
+                self._appended(state, fact, batch["hechos"], spread("timestamp_inicio", "id_medidor"), ["timestamp_inicio", "id_medidor"], {"id_lote_procesamiento": stamp, "excluido_med": F.lit(False), "fecha_procesamiento": now})
                 network = batch["red_nueva"].withColumns({"estado_operativo": F.lit("ACTIVO"), "fecha_actualizacion": now})
                 for name, rows in (("dim_red_electrica", network), ("dim_geografia_urbana", batch["geografia_nueva"].withColumn("fecha_actualizacion", now)), ("dim_clientes_inventario", batch["clientes_nuevo"].withColumn("fecha_actualizacion", now))):
-                    changed[name] = t[name].unionByName(self.conform(name, rows))
+                    if not rows.isEmpty():
+                        state["tables"][name] = self._write(name, t[name].unionByName(self.conform(name, rows)))
             else:
-                changed["fact_telemetria"] = self._append("fact_telemetria", "sk_telemetria", batch["hechos"], F.to_date("timestamp_lectura"), ["timestamp_lectura", "sk_red_electrica"], {"id_lote_procesamiento": stamp})
-                changed["staging_telemetria"] = update(t["staging_telemetria"], batch["procesados"], "id_staging", {"procesado": F.lit(True), "id_lote_procesamiento": stamp})
-            changed["ctrl_lotes_procesamiento"] = t["ctrl_lotes_procesamiento"].unionByName(self._ledger(lote, "COMPLETADO", start, end, counts, began))
-            self.commit(changed)
-            self._fs.delete(self._fs_path(work), True)
+                self._appended(state, fact, batch["hechos"], spread("timestamp_lectura", "sk_red_electrica"), ["timestamp_lectura", "sk_red_electrica"], {"id_lote_procesamiento": stamp})
+                marks["id_lote_procesamiento"] = stamp
+            # Pending rows of the days in hand are filed again: those now processed beside the processed ones, the rest in place of the pending ones.
+            rows = self.read(staging, pending=True, state=state | {"parts": {staging: {k: state["parts"][staging][k] for k in touched}}})
+            found = self._write(staging, update(rows, batch["procesados"], key, marks)) if touched else {}
+            for k in touched:
+                del state["parts"][staging][k]
+            self._add(state, staging, found)
+            state["tables"]["ctrl_lotes_procesamiento"] = self._write("ctrl_lotes_procesamiento", t["ctrl_lotes_procesamiento"].unionByName(self._ledger(lote, "COMPLETADO", start, end, counts, began)))
+            self._create(state)
         except Exception:
             self.log_failed(lote, start, end, began)
             raise
+        finally:
+            self._fs.delete(self._fs_path(work), True)
         log.info("lote %s completado: %s", lote, counts)
         return BatchResult(lote, "COMPLETADO", *(int(counts[k]) for k in ("total_eventos", "total_hechos", "total_huerfanos", "total_transitorios")), round(time.time() - began, 2), datetime.fromtimestamp(began, timezone.utc).isoformat())
 
@@ -162,17 +276,33 @@ class Warehouse:
         return self._run("telemetry", start, end)
 
     def flag_med_days(self, beta: float = 2.5) -> DataFrame:
-        """Flags facts of major event days; one row with what was done."""
-        facts, report = views.flag_med(self.tables(), beta)
-        done = self.spark.createDataFrame(report.collect(), report.schema)  # one row
-        self.commit({"fact_interrupciones": facts})
+        """Flags facts of major event days, of which the days are written again and no others; one row with what was done."""
+        state, name = self.manifest(), "fact_interrupciones"
+        work = f"{self.root}/_work/{uuid.uuid4().hex}"
+
+        def store(df: DataFrame, what: str) -> DataFrame:
+            df.write.parquet(f"{work}/{what}")
+            return self.spark.read.schema(df.schema).parquet(f"{work}/{what}")
+
+        try:
+            t = self.tables()
+            days, report = views.med_report(t, beta, store)
+            dates = {str(r.fecha) for r in days.select("fecha").distinct().collect()}  # days of the calendar at most
+            done = self.spark.createDataFrame(report.collect(), report.schema)  # one row
+            hit = {k: fs for k, fs in state["parts"].get(name, {}).items() if k[:10] in dates}
+            if hit:
+                rows = self.spark.read.schema(SCHEMAS[name]).parquet(*(f for fs in hit.values() for f in fs))
+                state["parts"][name] |= self._write(name, rows.withColumn("excluido_med", F.lit(True)))
+                self._create(state)
+        finally:
+            self._fs.delete(self._fs_path(work), True)
         return done
 
     def view(self, name: str, **how: object) -> DataFrame:
-        """A view of views.py over the current tables."""
-        return getattr(views, name)(self.tables(), **how)
+        """A view of views.py, or by its SQL name, over the current tables."""
+        return getattr(views, VIEWS.get(name, name))(self.tables(), **how)
 
     def register_views(self) -> None:
-        """All views as temporary SQL views, for tools that speak SQL."""
-        for name in ("saidi_diario", "saidi_con_med", "saidi_mensual", "tendencia", "ranking", "heatmap", "consumo_diario", "voltaje_tendencia", "auditoria_errores", "monitoreo_elt"):
-            self.view(name).createOrReplaceTempView(f"vw_{name}")
+        """All views as temporary SQL views, for tools that speak SQL, under the names that these know."""
+        for name in VIEWS:
+            self.view(name).createOrReplaceTempView(name)

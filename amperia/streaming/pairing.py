@@ -1,60 +1,27 @@
-"""Pairing as a stream: micro-batches through the same plan, or state kept for each meter."""
+"""Reconciliation as a stream: micro-batches through the same plan as batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.pairing import OUTAGE, RESTORATION
 from ..sources.warehouse import Warehouse
 
-PAIR_SCHEMA = "id_outage long, id_medidor long, ts_outage timestamp, id_restoration long, ts_restoration timestamp, clasificacion string, duracion_minutos decimal(10,2)"
-
 
 def reconcile_stream(events: DataFrame, warehouse: Warehouse, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Appends each micro-batch of events to staging and reconciles what is pending. A micro-batch that is delivered twice adds nothing: ids that staging has are left out, and reconciliation is idempotent. Open outages wait in staging, however long."""
+    """Appends each micro-batch of events to staging and reconciles what is pending.
+
+    A micro-batch that is delivered twice adds nothing: ids that staging has under the same days are left out, and reconciliation is idempotent. Open outages wait in staging, however long, so events that come late, in other micro-batches, are paired in order of time with what is still pending then. Only the micro-batch's days are read and written.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        old = warehouse.read("staging_eventos")
-        new = warehouse.conform("staging_eventos", df.dropDuplicates(["id_evento"])).fillna({"procesado": False}).join(old.select("id_evento"), "id_evento", "left_anti")
-        warehouse.commit({"staging_eventos": old.unionByName(new.select(*old.columns))})
+        days = df.agg(F.min("timestamp_evento"), F.max("timestamp_evento")).first()
+        if days[0] is None:
+            return
+        known = warehouse.read("staging_eventos", *days).select("id_evento")
+        new = warehouse.conform("staging_eventos", df.dropDuplicates(["id_evento"])).fillna({"procesado": False}).join(known, "id_evento", "left_anti")
+        warehouse.append("staging_eventos", new)
         warehouse.reconcile_outages()
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def pair_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Outages with their class as soon as it is certain: one open outage a meter is all the state. Events later than the watermark are dropped.
-
-    An outage is paired with the next power event of its meter within a micro-batch's order of time and id; open outages come out when that event comes.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["timestamp_evento", "id_evento"])
-        out = []
-        for r in rows.itertuples():
-            if open_ is not None and r.tipo_evento in (OUTAGE, RESTORATION):
-                paired = r.tipo_evento == RESTORATION
-                at = pd.Timestamp(open_[1], unit="us")
-                micros = int((r.timestamp_evento - at) / pd.Timedelta(microseconds=1))
-                took = Decimal((2 * micros + 600_000) // 1_200_000) / 100 if paired else None
-                out.append((open_[0], key[0], at, r.id_evento if paired else None, r.timestamp_evento if paired else pd.NaT, "PAR_VALIDO" if paired else "DOBLE_OUTAGE", took))
-                open_ = None
-            if r.tipo_evento == OUTAGE:
-                open_ = (int(r.id_evento), int(r.timestamp_evento.value // 1000))
-        if open_ is None:
-            state.remove()
-        else:
-            state.update(open_)
-        if out:
-            frame = pd.DataFrame(out, columns=["id_outage", "id_medidor", "ts_outage", "id_restoration", "ts_restoration", "clasificacion", "duracion_minutos"])
-            yield frame.astype({"id_restoration": "Int64"})
-
-    power = events.filter(events["tipo_evento"].isin(OUTAGE, RESTORATION)).withWatermark("timestamp_evento", delay)
-    return power.groupBy("id_medidor").applyInPandasWithState(step, PAIR_SCHEMA, "id long, micros long", "append", GroupStateTimeout.NoTimeout)

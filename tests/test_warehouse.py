@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from amperia.sources.schemas import SCHEMAS, orphan_keys, violations
 from amperia.sources.synthetic import seed_tables
-from amperia.sources.warehouse import Warehouse
-from amperia.streaming.pairing import pair_stream
+from amperia.sources.warehouse import DAYS, VIEWS, ConcurrentBatch, Warehouse
+from amperia.streaming.pairing import reconcile_stream
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,8 @@ def test_views_over_the_warehouse(warehouse, spark):
         assert warehouse.view(name).count() > 0
     warehouse.register_views()
     assert spark.sql("select count(*) from vw_monitoreo_elt").first()[0] >= 4
+    assert spark.sql("select max(fecha_consulta) from vw_saidi_saifi_mensual").first()[0] is not None
+    assert all(spark.table(name).columns for name in VIEWS)
 
 
 def test_failure_is_recorded_and_rolled_back(warehouse):
@@ -72,11 +74,77 @@ def test_flags(warehouse):
     assert r.total_actualizados == warehouse.read("fact_interrupciones").filter("excluido_med").count() > 0
 
 
-def test_stream_pairs_as_the_batch_does(spark, tmp_path):
-    rows = [(1, 1, datetime(2025, 1, 1, 10), "POWER_OUTAGE"), (2, 1, datetime(2025, 1, 1, 10, 30), "POWER_RESTORATION"), (3, 2, datetime(2025, 1, 1, 10), "POWER_OUTAGE"), (4, 2, datetime(2025, 1, 1, 11), "POWER_OUTAGE")]
-    kind = "id_evento long, id_medidor long, timestamp_evento timestamp, tipo_evento string"
-    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "in"))
-    q = pair_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("paired").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.id_outage, r.id_restoration, r.clasificacion, str(r.duracion_minutos)) for r in spark.table("paired").collect()}
-    assert got == {(1, 2, "PAR_VALIDO", "30.00"), (3, None, "DOBLE_OUTAGE", "None")}
+def size(w, state):
+    """Bytes of the folders that a manifest lists."""
+    folders = [*state["tables"].values()] + [f for parts in state["parts"].values() for fs in parts.values() for f in fs]
+    return {f: w._fs.getContentSummary(w._fs_path(f)).getLength() for f in folders}
+
+
+def test_a_batch_reads_and_writes_its_own_days_whatever_the_history(spark, tmp_path):
+    """The same day's events after 5 and after 60 days of history: the batch writes as much and leaves all other folders as they are."""
+    wrote = []
+    for days in (5, 60):
+        w = Warehouse(spark, str(tmp_path / str(days)))
+        w.commit(seed_tables(spark, meters=30, days=days))
+        w.reconcile_outages()
+        rows = [(10**7 + 10 * m + k, m, datetime(2025, 9, 1, 10, 20 * k), ("POWER_OUTAGE", "POWER_RESTORATION")[k], False, None) for m in range(1, 31) for k in (0, 1)]
+        w.append("staging_eventos", spark.createDataFrame(rows, SCHEMAS["staging_eventos"]))
+        before = size(w, w.manifest())
+        assert w.reconcile_outages(datetime(2025, 9, 1), datetime(2025, 9, 1, 23)).total_hechos == 30
+        after = size(w, w.manifest())
+        new = {f: n for f, n in after.items() if f not in before}
+        assert all("2025-09-01" in f or not any(f"/{name}/" in f for name in DAYS) for f in new)
+        wrote.append(sum(n for f, n in new.items() if any(f"/{name}/" in f for name in DAYS)))
+        assert {f for f in before if f not in after} <= {f for f in before if "2025-09-01" in f or "ctrl_lotes" in f}
+    assert wrote[1] < 1.2 * wrote[0]
+
+
+def test_keys_go_on_and_stay_unique(warehouse):
+    facts = warehouse.read("fact_interrupciones")
+    n, top = facts.count(), facts.agg(F.max("sk_interrupcion")).first()[0]
+    assert facts.select("sk_interrupcion").distinct().count() == n == top == warehouse.manifest()["keys"]["fact_interrupciones"]
+
+
+def test_of_two_writers_one_fails(warehouse):
+    state = warehouse.manifest()
+    warehouse._create(state)
+    with pytest.raises(ConcurrentBatch):
+        warehouse._create(state)
+    assert warehouse.manifest()["number"] == state["number"] + 1
+
+
+def test_compaction_and_vacuum_keep_the_rows(warehouse):
+    name = "staging_eventos"
+    n = warehouse.read(name).count()
+    for _ in range(3):
+        warehouse.append(name, warehouse.read(name).limit(0))
+    assert warehouse.compact(name, most=0) > 0
+    assert warehouse.read(name).count() == n
+    assert warehouse.vacuum() > 0 and warehouse.read(name).count() == n and warehouse.vacuum() == 0
+    assert not warehouse._fs.exists(warehouse._fs_path(f"{warehouse.root}/_work")) or not warehouse._fs.listStatus(warehouse._fs_path(f"{warehouse.root}/_work"))
+
+
+def test_a_meter_without_a_sector_fails_the_batch(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    seed = seed_tables(spark, meters=3, days=2)
+    w.commit(seed | {"dim_red_electrica": seed["dim_red_electrica"].withColumn("sk_geografia_urbana", F.lit(None).cast("long"))})
+    with pytest.raises(Exception, match="sin geograf"):
+        w.reconcile_telemetry()
+    assert w.read("fact_telemetria").count() == 0 and [r.estado for r in w.read("ctrl_lotes_procesamiento").collect()] == ["FALLIDO"]
+
+
+def test_stream_over_micro_batches_out_of_order(spark, tmp_path):
+    """Events in three micro-batches, of which the second brings a restoration after its outage and the third what came before both, and one event twice: as one batch over all."""
+    w, kind = Warehouse(spark, str(tmp_path / "w")), "id_evento long, id_medidor long, timestamp_evento timestamp, tipo_evento string"
+    seed = seed_tables(spark, meters=3, days=2)
+    w.commit(seed | {"staging_eventos": seed["staging_eventos"].limit(0)})
+    at = lambda h, m=0: datetime(2025, 1, 1, h, m)
+    parts = [[(1, 1, at(10), "POWER_OUTAGE"), (3, 2, at(10), "POWER_OUTAGE")], [(2, 1, at(10, 30), "POWER_RESTORATION"), (1, 1, at(10), "POWER_OUTAGE"), (4, 2, at(12), "POWER_RESTORATION")], [(5, 3, at(9), "POWER_OUTAGE"), (6, 3, at(9, 40), "POWER_RESTORATION")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={k}"))
+        q = reconcile_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in" / "p=*")), w, str(tmp_path / "cp"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = {(r.id_medidor, r.timestamp_inicio, str(r.duracion_minutos)) for r in w.read("fact_interrupciones").collect()}
+    assert got == {(1, at(10), "30.00"), (2, at(10), "120.00"), (3, at(9), "40.00")}
+    assert w.read("staging_eventos").count() == 6 and w.read("staging_eventos").filter("not procesado").count() == 0
