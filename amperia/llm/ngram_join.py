@@ -27,8 +27,8 @@ BAND_GROWTH, PART_LOAD, LEAST_PARTS, TRIES = 1.6, 2.7, 16, 6
 BROADCAST_ROWS = 1_000_000
 #: Documents of one token that are compared with one another in one place, about.
 BLOCK = 512
-#: Pairs of a document that are compared first, in each such place.
-NEAREST = 8
+#: Pairs of a document that are compared first, in each such place, round by round.
+NEAREST = (2, 2)
 U = np.uint64
 
 
@@ -229,8 +229,17 @@ def close_pairs(unit: list[tuple], nearest: int | None = None) -> list[tuple[int
     return out
 
 
+def units(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, doc_id, comp and n, the token's number of documents, for the tokens whose documents are in different components. Of tokens that the same documents share (by number and a 128-bit signature of them) one stays: near copies share hundreds."""
+    own = members.join(comps, members.doc_id == comps.node, "left").select("token", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    signature = [F.expr("bit_xor(xxhash64(doc_id))").alias("e1"), F.expr("bit_xor(xxhash64(1, doc_id))").alias("e2")]
+    apart = own.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), *signature).filter("x <> y")
+    kept = apart.groupBy("n", "e1", "e2").agg(F.min("token").alias("token")).select("token", "n")
+    return written(own.join(kept, "token"), "units")
+
+
 def still_apart(members: DataFrame, sketches: DataFrame, nearest: int | None = None) -> DataFrame:
-    """a, b: the pairs of documents that share a token, are in different components and that bit sketches do not rule out. members: token, doc_id, comp.
+    """a, b: the pairs of documents that share a token, are in different components and that bit sketches do not rule out. members: token, doc_id, comp, n.
 
     A token's documents are dealt to blocks of about BLOCK; each pair of blocks is a unit, compared in one place, of which only what is left comes out: no task meets more than two blocks of a token.
     """
@@ -248,10 +257,8 @@ def still_apart(members: DataFrame, sketches: DataFrame, nearest: int | None = N
         found = close_pairs(unit, nearest) if len(unit) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    apart = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
-    rows = members.join(apart.select("token", "n"), "token")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
+    rows = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
     unit = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "comp", "block", "n_shingles", "sketch")
     return unit.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
@@ -273,11 +280,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     found = links(docs, signed, first.select("a", F.col("doc_id").alias("b")))
     comps = written(components(found), "components")
     members = met.select("token", "doc_id").union(met.select("token", "leader").distinct()).toDF("token", "doc_id")
-    # The nearest pairs unite a large group with a number of comparisons in proportion to it; all that are left then follow.
-    for nearest in (NEAREST, None):
-        labelled = members.join(comps, members.doc_id == comps.node, "left").select("token", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-        more = links(docs, signed, still_apart(written(labelled, "members"), signed, nearest))
+    # Nearest pairs at least halve the components of a group of near copies each time, with work in proportion to it; all pairs that are left then follow.
+    for nearest in (*NEAREST, None):
+        rest = units(members, comps)
+        more = links(docs, signed, still_apart(rest, signed, nearest))
         comps = written(merged(comps, more), "components")
+        members = rest.select("token", "doc_id")  # tokens of one component stay so
     out = named.join(comps, named.rep == comps.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
