@@ -4,7 +4,7 @@
 2. A set's shingles fall into the parts of a sketch; each part keeps the parity of its bits (as the XOR of the shingles' codes). A shingle that only one of two sets has changes one part of one of them, so the number of parts in which two sketches differ is a lower bound of the symmetric difference. At similarity 0.8 that is at most (a + b) / 9 for sets of a and b shingles. Pigeonhole: of each sketch the (a + b) / 9 + 1 fullest occupied parts are joined with those of the sketches of its size band and the next. A sketch with too few occupied parts for this is sketched again with other hashes, as any partner that it could miss is too.
 3. Sketches that share a part are candidates. Each is first paired with the smallest document of a part that it shares most parts with; then, wherever documents in one part are still in different components, with the nearest of those by bit sketch, and then with all that are still in different components. A pair is dropped if the Hamming distance of the whole bit sketches exceeds (a + b) / 9, else the sets are compared. Documents that share a part with many others, yet are similar to few, are compared by bit sketches in blocks: this step's work grows with the square of such a group, its results do not.
 
-Words are runs without white space, A-Z in lower case; with fewer than five words the whole sequence is one shingle. Null or empty texts have no shingles and no links. A row without doc_id is linked with nothing and has no component. Rows that repeat are equal sets. Other columns are not read.
+Words are runs without white space, A-Z in lower case; with fewer than five words the whole sequence is one shingle. Null or empty texts have no shingles and no links. A row without doc_id is linked with nothing and has no component. Rows that repeat are equal sets. A doc_id stands for one text: of a doc_id with several different texts, links of only one of them may be found. Ties: of equal sets the smallest doc_id stands for all. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

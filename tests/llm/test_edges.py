@@ -1,5 +1,7 @@
 """Nulls in any column, empty and very long texts, repeated rows, empty tables and columns of clashing names, for every operator and stage."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,37 @@ def test_one_row_for_each_document(odd, table, op):
     assert op(table([])).count() == 0
 
 
+def by_id(df):
+    """Rows by doc_id, of which 6 and null stand twice."""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append(r)
+    return out
+
+
+def test_values_of_null_empty_long_and_repeated_rows(odd):
+    """Defined results: by hand for each case."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = by_id(op2_ngram_join(odd))
+    assert [(got[d][0].n_shingles, got[d][0].component_id) for d in (1, 2, 3, 4, 5, 6, 7, 8)] == [(0, 1), (0, 2), (0, 3), (1, 4), (got[5][0].n_shingles, 5), (got[5][0].n_shingles, 5), (2, 7), (1, 8)]
+    assert {r.component_id for r in got[None]} == {None} and len(got[6]) == 2
+    got = by_id(op3_bpe(odd))
+    assert all((got[d][0].n_tokens, got[d][0].ids_sha256, got[d][0].decoded_sha256) == (0, sha(""), sha("")) for d in (1, 2, 3)) and got[6][0] == got[6][1]
+    got = by_id(op4_mixing(odd))
+    assert [got[d][0].size for d in (1, 2, 3, 4, 7, 8)] == [0, 0, 0, 1, 40_001, 1] and all(0 <= r.taken <= 3 * r.size for rows in got.values() for r in rows) and len(got[6]) == 2
+    got = by_id(op5_line_dedup(odd))
+    assert [(got[d][0].n_lines, got[d][0].n_dropped) for d in (1, 2, 3, 4, 8)] == [(1, 0), (1, 0), (3, 0), (1, 0), (1, 0)] and got[1][0].kept_sha256 == sha("") and got[3][0].kept_sha256 == sha(" \n\t  \n")
+    got = by_id(op6_pii(odd))
+    assert all((got[d][0].n_email, got[d][0].n_ip, got[d][0].n_card, got[d][0].n_phone, got[d][0].spans, got[d][0].base_sha256) == (0, 0, 0, 0, "", sha("")) for d in (1, 2, 3, 4, 8))
+    assert (got[9][0].n_email, got[9][0].n_ip, got[9][0].n_card, got[9][0].n_phone) == (1, 1, 1, 1)
+    got = by_id(op7_fingerprints(odd))
+    assert [got[d][0].n_chars for d in (1, 2, 7, 8)] == [0, 0, 203_000, 70_000] and got[1][0].fingerprint == got[2][0].fingerprint and got[5][0].fingerprint == got[6][0].fingerprint == got[6][1].fingerprint
+    got = by_id(op8_quality_rules(odd))
+    assert [(got[d][0].n_words, got[d][0].word_chars, got[d][0].base_failed, got[d][0].kept) for d in (1, 2, 3, 4)] == [(0, 0, True, False)] * 3 + [(1, 1, True, False)] and got[7][0].n_repeat_words == 40_000 and got[7][0].base_failed
+    got = by_id(op10_licenses(odd))
+    assert [(got[d][0].n_paragraphs, got[d][0].families) for d in (1, 2, 3, 4, 8, 10)] == [(0, ""), (0, ""), (0, ""), (1, ""), (1, ""), (1, "MIT")]
+
+
 @pytest.mark.parametrize("op", LABELLED, ids=lambda f: f.__name__)
 def test_labelled(odd, table, label_table, some_labels, op):
     for labels in (some_labels, label_table([])):
