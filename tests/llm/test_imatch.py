@@ -1,9 +1,13 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from amperia.llm.imatch import LEAST_SHARE, MOST_SHARE, lexicon, op7_fingerprints
+from amperia.llm.imatch import GROUPS, LEAST_SHARE, MOST_SHARE, lexicon, op7_fingerprints
 
 from .conftest import prose
 
@@ -89,3 +93,66 @@ def test_repeated_ids(table):
 def test_main_path_is_native(table):
     plan = op7_fingerprints(table([(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def spark_hash(*values):
+    """xxhash64 of ints, longs and strings in turn, each seeded by the one before."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else v, seed=h).intdigest()
+    return signed(h)
+
+
+def plain_prints(texts):
+    """Fingerprints of texts, with the terms of each subset in place of its hash: lexicon, subsets and fallbacks by loops."""
+    n, low = len(texts), {c: c + 32 for c in range(65, 91)}
+    kinds = [{w for w in re.split("[.,;:!?\\x20\\x09-\\x0D]+", t.translate(low)) if w} for t in texts]
+    df = Counter(w for k in kinds for w in k)
+    lex = {w: spark_hash(w) for w, k in df.items() if max(1, 0.002 * n) < k <= max(2, 0.2 * n)}
+    shares = [2 * GROUPS[-1]]
+    while shares[-1] < len(lex):
+        shares.append(2 * shares[-1])
+    number, long = (lambda k: k.to_bytes(4, "little", signed=True)), (lambda t: t.to_bytes(8, "little", signed=True))
+
+    def one(text):
+        own = {w for w in re.split("[.,;:!?\\x20\\x09-\\x0D]+", text.translate(low)) if w}
+        known = sorted(lex[w] for w in own if w in lex)
+        out = []
+        for k, share in enumerate((*GROUPS, *shares)):
+            for j in range(8):
+                if k < len(GROUPS):
+                    held = [t for t in known if (spark_hash(number(k), long(t)) >> (8 * j)) & 255 < 256 // share]
+                else:
+                    held = [t for t in known if spark_hash(number(-1), long(t)) & 63 == 0 and spark_hash(number(k), long(t)) & (share // 64 - 1) == j]
+                out.append(tuple(held) if 1 <= len(held) <= 3 else None)
+        return out if any(x is not None for x in out) else [("known", *known) if known else ("text", text)]
+
+    return one
+
+
+def plain_likeness(a, b):
+    if len(a) != len(b):
+        return 0.0
+    both = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+    return sum(x == y for x, y in both) / max(1, len(both))
+
+
+def test_fingerprints_and_likenesses_as_a_plain_version(table):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["", "Ab", "x."]) + f"t{int(700 * r.random() ** 2)}" + r.choice(["", ",", "!"]) for _ in range(r.choice([0, 1, 2, 5, 20, 90, 400]))) for _ in range(110)]
+    texts += [texts[5], texts[50], "only these words stand here", ""]
+    one = plain_prints(texts)
+    got = {x.doc_id: x for x in op7_fingerprints(table(list(enumerate(texts)), 4)).collect()}
+    prints = [one(t) for t in texts]
+    for d, t in enumerate(texts):
+        after, half = texts[(d + 1) % len(texts)], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[d].near_edited == pytest.approx(plain_likeness(prints[d], one(edited)))
+        assert got[d].near_next == pytest.approx(plain_likeness(prints[d], prints[(d + 1) % len(texts)]))
+        for e in range(d):
+            assert (got[d].fingerprint == got[e].fingerprint) == (prints[d] == prints[e])
