@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, written
+from .common import WS_CHARS
 from .flat import IS_SPACE, LOWER, mix, slices, word_bounds, word_hashes
 from .license_texts import NOT_LICENSES, TEMPLATES
 
