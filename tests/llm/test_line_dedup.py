@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -109,6 +110,24 @@ def test_sorted_range_partitions_decide(table):
     assert plan.count("rangepartitioning") == 1 and "hashpartitioning(h1" not in plan and plan.count("Sort [h1") == 1
 
 
+def test_text_ends_below_the_lines(table):
+    """The hash of a text is computed before its lines are rows, which carry neither the text nor the array."""
+    plan = line_keys(table([(1, "x")]))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, x in enumerate(plan) if "Generate posexplode" in x)
+    assert "text" not in "".join(plan[: at + 1]) and "xxhash64(text" in plan[at + 1] and "[2]" in plan[at]
+
+
+def test_work_is_linear_in_the_lines_of_a_text(table):
+    def seconds(n):
+        docs = table([(d, "\n".join(f"a line of {'all documents' if k % 2 else f'document {d}'}, {k}" for k in range(n))) for d in range(3)], 1)
+        began = time.perf_counter()
+        assert op5_line_dedup(docs).agg(F.sum("n_dropped")).first()[0] == n // 2 * 2
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 2 * seconds(100_000) + 5
+
+
 def test_columns_of_any_name_pass_through(table):
     names = ("_id", "_th", "_keep", "_n", "of", "row", "keep", "th", "h1", "part", "n_lines", "n_dropped")
     docs = table([(1, "a line of twenty characters or more"), (2, "a line of twenty characters or more"), (3, "a line of twenty characters or more"), (None, None)])
