@@ -287,7 +287,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         comps = written(merged(comps, more), "components")
         members = rest.select("token", "doc_id")  # tokens of one component stay so
     out = named.join(comps, named.rep == comps.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    # A row without doc_id may have the set of a class of others, but is in no component.
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

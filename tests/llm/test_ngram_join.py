@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from amperia.llm.ngram_join import bit_sketch, hamming, ngram_join, one_of_each, shingle_sets
+from amperia.llm.ngram_join import bit_sketch, hamming, ngram_join, one_of_each, op2_ngram_join, shingle_sets
 
 from .conftest import prose
 
@@ -119,3 +119,9 @@ def test_bit_sketches_bound_the_symmetric_difference():
     sets = list(shingle_sets(__import__("pyarrow").array(texts)))
     for a, b in zip(sets, sets[1:]):
         assert hamming(bit_sketch(a), bit_sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_rows_without_an_id_have_no_component(table):
+    text = "the same words stand in each of these three rows"
+    got = op2_ngram_join(table([(1, text), (None, text), (2, text), (None, "other words stand in this row of mine")])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("2", "1"), ("None", "None"), ("None", "None")]
