@@ -23,8 +23,18 @@ def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def chosen(most: float, n: int, seed: int) -> Column:
-    """Whether a row is one of about most of n, the same ones in every run: by a hash of doc_id."""
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
+    """Whether a row is one of about most of n, the same ones in every run: by a hash of doc_id. A share of 2 ** 62 is fine enough for any n."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 62)) < int(min(1.0, most / max(1, n)) * (1 << 62))
+
+
+def fitting(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """Of (turn, size) in order of turn, the turns of all that fit into most together; one that does not is passed over."""
+    out, room = [], most
+    for turn, size in sorted(sizes):
+        if size <= room:
+            out.append(turn)
+            room -= size
+    return out
 
 
 def bounded(rows: DataFrame, most: int, n: int, seed: int) -> DataFrame:

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WS_CHARS
 from .flat import IS_SPACE, LOWER, mix, slices, word_bounds, word_hashes
+from .labelled import chosen, fitting
 from .license_texts import NOT_LICENSES, TEMPLATES
 
 FAMILIES = (*sorted(TEMPLATES), "unknown")
@@ -173,16 +173,16 @@ def examples() -> tuple[list[str], list[int]]:
 
 
 def sampled_lines(docs: DataFrame) -> list[str]:
-    """Whole lines at any position, in order of a hash, as many as the bounds allow."""
-    n = docs.count()
-    share = int(min(1.0, MOST_DOCS / max(1, n)) * (1 << 20))
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 20)) < share)
+    """Whole lines at any position, in order of a hash, as many as the bounds allow; a line too long for what is left of them is passed over."""
+    sample = docs.select("doc_id", "text").filter(chosen(MOST_DOCS, docs.count(), 4))
     rows = sample.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(F.xxhash64("doc_id", "pos", "line").alias("turn"), "line")
     rows = rows.filter(F.length(F.trim("line", F.lit(WS_CHARS))) > 0)
-    first = rows.select("turn", F.length("line").alias("n")).orderBy("turn").limit(MOST_LINES)
-    so_far = first.select("turn", F.sum("n").over(W.orderBy("turn").rowsBetween(W.unboundedPreceding, 0)).alias("so_far"))  # MOST_LINES rows
-    last = so_far.filter(F.col("so_far") <= MOST_CHARS).agg(F.max("turn")).first()[0]
-    return [] if last is None else [r[0] for r in rows.filter(F.col("turn") <= last).orderBy("turn", "line").limit(MOST_LINES).select("line").collect()]
+    first = rows.select("turn", F.length("line").alias("n")).filter(F.col("n") <= MOST_CHARS).orderBy("turn", "n").limit(MOST_LINES).collect()
+    turns = fitting([(r.turn, r.n) for r in first], MOST_CHARS)
+    if not turns:
+        return []
+    taken = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in sorted(set(turns))], "turn long"))  # MOST_LINES rows
+    return [r[0] for r in rows.join(taken, "turn").filter(F.length("line") <= MOST_CHARS).orderBy("turn", "line").limit(len(turns)).select("line").collect()]
 
 
 def fit(docs: DataFrame) -> Classifier:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
+from .labelled import chosen, fitting
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the potentials are learnt from at most, and candidates of them together, about.
@@ -268,13 +268,11 @@ def fit(docs: DataFrame) -> Field:
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([turn]), pa.array([len(got[1])]), *(pa.array([v.astype(kind).tobytes()], pa.binary()) for v, kind in zip(got, (np.uint8, np.uint8, np.float32, np.float32)))], ["turn", "n", "x", "y", "chain", "skip"])
 
-    n = docs.count()
-    share = int(min(1.0, MOST_DOCS / max(1, n)) * (1 << 20))
-    sample = docs.select("doc_id", F.xxhash64(F.lit(10), "doc_id", "text").alias("turn"), "text").filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20)) < share)
+    sample = docs.select("doc_id", F.xxhash64(F.lit(10), "doc_id", "text").alias("turn"), "text").filter(chosen(MOST_DOCS, docs.count(), 9))
     held = written(sample.mapInArrow(run, "turn long, n long, x binary, y binary, chain binary, skip binary"), "pii-examples")
-    so_far = held.select("turn", F.sum("n").over(W.orderBy("turn")).alias("so_far"))  # MOST_DOCS rows, about, of two numbers
-    last = so_far.filter(F.col("so_far") <= MOST_EXAMPLES).agg(F.max("turn")).first()[0]
-    got = held.filter(F.col("turn") <= (last if last is not None else 0)).orderBy("turn").collect() if last is not None else []
+    sizes = [(r.turn, r.n) for r in held.select("turn", "n").collect()]  # MOST_DOCS rows, about, of two numbers
+    turns = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in sorted(set(fitting(sizes, MOST_EXAMPLES)))], "turn long"))
+    got = held.join(turns, "turn").dropDuplicates(["turn"]).orderBy("turn").collect()
     k = len(KINDS) + 1
     part = lambda name, kind, width: np.concatenate([np.frombuffer(r[name], kind) for r in got] or [np.zeros(0, kind)]).reshape(-1, width)
     x, y = part("x", np.uint8, N_FEATURES).astype(np.float32), part("y", np.uint8, 1)[:, 0].astype(np.int64)

@@ -142,3 +142,6 @@ def test_sampled_lines_are_whole_and_bounded(table, monkeypatch):
     few = sampled_lines(table(rows))
     assert set(few) <= whole and 60 < len(few) < 110 and sum(map(len, few)) <= 6000
     assert len({x.split()[1] for x in few}) > 20  # at any position
+    huge = [*rows, *((1000 + d, "y" * n) for d, n in enumerate((5900, 5999, 6001, 100_000)))]
+    some = sampled_lines(table(huge))  # lines that do not fit are passed over
+    assert set(some) <= {x for _, t in huge for x in t.split("\n")} and sum(map(len, some)) <= 6000 and sum(map(len, some)) > 5900
