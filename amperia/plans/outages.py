@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.changes import sequential_keys
 from ..operators.pairing import DOUBLE, OUTAGE, TRANSIENT_MINUTES, orphans, pairs, pending
-from ..operators.versions import asof_global, asof_latest
+from ..operators.versions import asof_global, asof_latest, last_day
 
 Tables = dict[str, DataFrame]
 #: Makes a table of an intermediate result and its name; the default leaves it a plan that is computed wherever it is read.
 Store = Callable[[DataFrame, str], DataFrame]
+#: The rows of a table that are filed under the days of other rows: the table, and rows with a column dia.
+Near = Callable[[str, DataFrame], DataFrame | None]
 
 # Names of the members that stand for what is unknown.
 UNKNOWN_SECTOR, UNKNOWN_DISTRICT = "SECTOR_DESCONOCIDO", "DISTRITO_DESCONOCIDO"
@@ -72,7 +74,7 @@ def resolved(t: Tables, long: DataFrame, added: DataFrame) -> DataFrame:
     red = asof_latest(long, t["dim_red_electrica"], ("id_medidor", "id_medidor_origen"), "ts_outage", ["sk_red_electrica", "sk_geografia_urbana"])
     spare = added.select("id_medidor", F.col("sk_red_electrica").alias("sk_otra"))
     placed = red.join(spare, "id_medidor", "left").crossJoin(F.broadcast(unknown_sector(t)))
-    inventory = asof_global(placed, t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"])
+    inventory = asof_global(placed, t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"], last_day(t["dim_fecha"]))
     top = t["dim_clientes_inventario"].agg((F.coalesce(F.max("sk_clientes"), F.lit(0)) + 1).alias("sk_inventario"))
     kind = t["dim_tipo_evento"].filter(F.col("codigo_evento") == OUTAGE).agg(F.coalesce(F.min("sk_tipo_evento"), F.lit(-1)).cast("long").alias("sk_tipo_evento"))
     dated = inventory.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(kind)).withColumns({"fecha": F.to_date("ts_outage"), "hora": F.hour("ts_outage")})
@@ -93,21 +95,27 @@ def resolved(t: Tables, long: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_outages(t: Tables, start: datetime | None = None, end: datetime | None = None, store: Store = as_plan) -> Tables:
-    """What a batch over the pending events changes: hechos, errores, procesados (id_evento), red_nueva, geografia_nueva, clientes_nuevo, contadores."""
+def reconcile_outages(t: Tables, start: datetime | None = None, end: datetime | None = None, store: Store = as_plan, near: Near | None = None) -> Tables:
+    """What a batch over the pending events changes: hechos, errores, procesados (id_evento, timestamp_evento), red_nueva, geografia_nueva, clientes_nuevo, contadores.
+
+    near: reads the facts and errors that the batch may repeat, by the days of its own; without it those of t.
+    """
+    near = near or (lambda name, _: t.get(name))
+    day = lambda rows, at: rows.select(F.to_date(at).alias("dia"))
     events = pending(t["staging_eventos"], "timestamp_evento", start, end)
-    lone, p = orphans(events), store(pairs(events), "pares")
-    facts = t.get("fact_interrupciones")
-    long = valid_pairs(p, facts)
+    lone, p = store(orphans(events), "huerfanas"), store(pairs(events), "pares")
+    long = valid_pairs(p, near("fact_interrupciones", day(valid_pairs(p), "ts_outage")))
     added = store(network_fallback(t, long.select("id_medidor", "ts_outage")), "red_nueva")
     hechos = store(resolved(t, long, added), "hechos")
     error = lambda rows, kind, reason, detail, at: rows.select(F.col(at[0]).alias("id_evento_origen"), "id_medidor", F.col(at[1]).alias("timestamp_evento"), F.lit(at[2]).alias("tipo_evento"), F.lit(kind).alias("tipo_error"), reason.alias("motivo_error"), F.lit(detail).cast("string").alias("detalle_tecnico"))
-    logged = lone if "err_telemetria" not in t else lone.join(t["err_telemetria"].select(F.col("id_evento_origen").alias("id_evento")), "id_evento", "left_anti")
+    known = near("err_telemetria", day(lone, "timestamp_evento"))
+    logged = lone if known is None else lone.join(known.select(F.col("id_evento_origen").alias("id_evento")), "id_evento", "left_anti")
     orphan_rows = error(logged, "INTERRUPCION", F.col("huerfana"), None, ("id_evento", "timestamp_evento", "POWER_RESTORATION"))
     double_rows = error(p.filter("clasificacion = 'DOBLE_OUTAGE'"), "OUTAGE_DUPLICADA", F.lit(DOUBLE), None, ("id_outage", "ts_outage", OUTAGE))
     unknown = error(long.join(t["dim_tipo_evento"].filter(F.col("codigo_evento") == OUTAGE), F.lit(True), "left_anti"), "EVENTO_DESCONOCIDO", F.lit(f"Tipo de evento '{OUTAGE}' no existe en dim_tipo_evento"), None, ("id_outage", "ts_outage", OUTAGE))
     paired = p.filter("clasificacion = 'PAR_VALIDO'")
-    done = lone.select("id_evento").unionByName(paired.select(F.explode(F.array("id_outage", "id_restoration")).alias("id_evento"))).unionByName(p.filter("clasificacion = 'DOBLE_OUTAGE'").select(F.col("id_outage").alias("id_evento")))
+    first, second = F.struct(F.col("id_outage").alias("id_evento"), F.col("ts_outage").alias("timestamp_evento")), F.struct(F.col("id_restoration").alias("id_evento"), F.col("ts_restoration").alias("timestamp_evento"))
+    done = lone.select("id_evento", "timestamp_evento").unionByName(paired.select(F.inline(F.array(first, second)))).unionByName(p.filter("clasificacion = 'DOBLE_OUTAGE'").select("id_outage", "ts_outage").toDF("id_evento", "timestamp_evento"))
     sector = unknown_sector(t)
     lacking = hechos.join(F.broadcast(sector.filter("not existe")), F.col("sk_geografia_urbana") == F.col("sk_desconocido")).select(F.col("sk_desconocido").alias("sk_geografia_urbana")).distinct()
     customers = hechos.join(t["dim_clientes_inventario"].select("sk_clientes"), "sk_clientes", "left_anti").select("sk_clientes").distinct()
@@ -122,13 +130,17 @@ def reconcile_outages(t: Tables, start: datetime | None = None, end: datetime |
     }
 
 
-def counters(p: DataFrame, logged: DataFrame, hechos: DataFrame) -> DataFrame:
-    """One row with the batch's totals; orphan restorations are not among total_eventos."""
+def pair_counts() -> list[Column]:
+    """Totals of a batch's pairs, to be aggregated or observed."""
     kind, short = F.col("clasificacion"), F.col("duracion_minutos") < TRANSIENT_MINUTES
-    of_pairs = p.agg(
+    return [
         F.coalesce(F.sum(F.when(kind == "PAR_VALIDO", 2).otherwise(1)), F.lit(0)).cast("long").alias("total_eventos"),
         F.count_if((kind == "PAR_VALIDO") & short).alias("total_transitorios"),
         F.count_if(kind == "DOBLE_OUTAGE").alias("_dobles"),
-    )
-    one = of_pairs.crossJoin(logged.agg(F.count("*").alias("_huerfanas"))).crossJoin(hechos.agg(F.count("*").alias("total_hechos")))
+    ]
+
+
+def counters(p: DataFrame, logged: DataFrame, hechos: DataFrame) -> DataFrame:
+    """One row with the batch's totals; orphan restorations are not among total_eventos."""
+    one = p.agg(*pair_counts()).crossJoin(logged.agg(F.count("*").alias("_huerfanas"))).crossJoin(hechos.agg(F.count("*").alias("total_hechos")))
     return one.select("total_eventos", "total_hechos", (F.col("_huerfanas") + F.col("_dobles")).alias("total_huerfanos"), "total_transitorios")

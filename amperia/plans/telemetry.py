@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.changes import insert_ignore
 from ..operators.pairing import pending
 from ..operators.versions import interval_join
-from .outages import Store, Tables, as_plan
+from .outages import Near, Store, Tables, as_plan
 
 HARD_VOLTS, NORMAL_VOLTS = (0, 1000), (180, 260)
 
@@ -66,19 +66,27 @@ def telemetry_facts(t: Tables, readings: DataFrame) -> DataFrame:
     return insert_ignore(t.get("fact_telemetria"), rows, ["sk_red_electrica", "sk_fecha", "sk_tiempo"], [F.col("_at"), F.col("id_staging")]).drop("_at", "id_staging")
 
 
-def reconcile_telemetry(t: Tables, start: datetime | None = None, end: datetime | None = None, store: Store = as_plan) -> Tables:
-    """What a batch over the pending readings changes: hechos, errores, procesados (id_staging), contadores.
+def error_counts() -> list[Column]:
+    """Totals of a batch's errors, to be aggregated or observed."""
+    return [F.count("*").alias("total_huerfanos"), F.count_if(F.col("tipo_error") != "VOLTAGE_OUT_OF_RANGE").alias("total_transitorios")]
+
+
+def reconcile_telemetry(t: Tables, start: datetime | None = None, end: datetime | None = None, store: Store = as_plan, near: Near | None = None) -> Tables:
+    """What a batch over the pending readings changes: hechos, errores, procesados (id_staging, timestamp_lectura), contadores.
 
     Readings of inactive meters and negative ones are done with; readings with a voltage warning become facts but stay pending until a batch logs nothing new about them.
     """
-    readings = pending(t["staging_telemetria"], "timestamp_lectura", start, end)
+    readings = store(pending(t["staging_telemetria"], "timestamp_lectura", start, end), "lecturas")
+    near = near or (lambda name, _: t.get(name))
+    days = readings.select(F.to_date("timestamp_lectura").alias("dia"))
+    errors_before, facts_before = near("err_telemetria", days), near("fact_telemetria", days)
     off = inactive_readings(t, readings).withColumn("motivo_error", F.lit(INACTIVE))
     on = active_readings(t, readings)
     warned, below = voltage_warnings(on), negative_consumption(on).withColumn("motivo_error", F.lit(NEGATIVE))
 
     def error(rows: DataFrame, kind: str, detail: dict) -> DataFrame:
-        if "err_telemetria" in t:
-            known = t["err_telemetria"].filter(F.col("tipo_error") == kind).select(F.col("id_evento_origen").alias("id_staging"))
+        if errors_before is not None:
+            known = errors_before.filter(F.col("tipo_error") == kind).select(F.col("id_evento_origen").alias("id_staging"))
             rows = rows.join(known, "id_staging", "left_anti")
         return rows.select(F.col("id_staging").alias("id_evento_origen"), "id_medidor", F.col("timestamp_lectura").alias("timestamp_evento"), F.col("tipo_lectura").alias("tipo_evento"), F.lit(kind).alias("tipo_error"), "motivo_error", F.to_json(F.struct(*(v.alias(k) for k, v in detail.items()))).alias("detalle_tecnico"))
 
@@ -87,11 +95,11 @@ def reconcile_telemetry(t: Tables, start: datetime | None = None, end: datetime
     of_volts = error(warned, "VOLTAGE_OUT_OF_RANGE", {"voltaje": c("voltaje"), "rango_aceptable": F.format_string("[%.2f, %.2f]", F.lit(float(HARD_VOLTS[0])), F.lit(float(HARD_VOLTS[1]))), "rango_normal": F.format_string("[%.2f, %.2f]", F.lit(float(NORMAL_VOLTS[0])), F.lit(float(NORMAL_VOLTS[1])))})
     of_below = error(below, "CONSUMO_NEGATIVO", {"consumo_wh": c("consumo_wh"), "voltaje": c("voltaje")})
     errors = store(of_off.unionByName(of_volts).unionByName(of_below), "errores")
-    gone = off.select("id_staging").unionByName(below.select("id_staging"))
-    left = readings.join(gone, "id_staging", "left_anti")
-    facts = store(telemetry_facts(t, left), "hechos")
-    quiet = left.join(errors.select(c("id_evento_origen").alias("id_staging")), "id_staging", "left_anti").select("id_staging")
+    gone = off.select("id_staging", "timestamp_lectura").unionByName(below.select("id_staging", "timestamp_lectura"))
+    left = readings.join(gone.select("id_staging"), "id_staging", "left_anti")
+    facts = store(telemetry_facts(t | {"fact_telemetria": facts_before}, left), "hechos")
+    quiet = left.join(errors.select(c("id_evento_origen").alias("id_staging")), "id_staging", "left_anti").select("id_staging", "timestamp_lectura")
     n = lambda rows, name: rows.agg(F.count("*").alias(name))
-    wrong = errors.agg(F.count("*").alias("total_huerfanos"), F.count_if(c("tipo_error") != "VOLTAGE_OUT_OF_RANGE").alias("total_transitorios"))
+    wrong = errors.agg(*error_counts())
     totals = n(readings, "total_eventos").crossJoin(n(facts, "total_hechos")).crossJoin(wrong)
     return {"hechos": facts, "errores": errors, "procesados": gone.unionByName(quiet).distinct(), "contadores": totals}

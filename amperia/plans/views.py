@@ -1,6 +1,6 @@
 """Reliability and quality views: lazy DataFrames over the star schema.
 
-Facts are summed at the finest level of a view before dimensions join and coarser levels are formed, so a grouping set expands sums, not facts. Rows of coarser levels are known by nulls.
+Views read daily sums of facts (sums.py), which a warehouse keeps and which are otherwise formed first. Sums meet the calendar by the day that they are filed under, so a filter on fecha reaches the folders that are read. Coarser levels are formed from sums at the finest one; their rows are known by nulls.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.calendar import heatmap_band
 from ..functions.numeric import ratio
 from ..operators.changes import update
+from ..operators.versions import all_that_hold, last_day
 from .outages import Store, Tables, as_plan
+from .sums import OUTAGES, READINGS, states
 
 c = F.col
 DECIMAL = "decimal(28,2)"
 
 
 def _levels(rows: DataFrame, fixed: list[str], drill: list[str], *aggs: Column) -> DataFrame:
-    """Sums at every level from fixed plus all of drill up to fixed alone."""
-    sets = [[*fixed, *drill[:k]] for k in range(len(drill), -1, -1)]
-    return rows.groupingSets([[F.col(x) for x in s] for s in sets], *fixed, *drill).agg(*aggs)
+    """Sums at every level from fixed plus all of drill up to fixed alone. Levels are rows made from each row, not grouping sets, which a filter on fixed would not pass."""
+    name = lambda x, k, i: (c(x) if i < k else F.lit(None).cast(rows.schema[x].dataType)).alias(x)
+    levels = [F.struct(F.lit(k).alias("_level"), *(name(x, k, i) for i, x in enumerate(drill))) for k in range(len(drill), -1, -1)]
+    kept = [x for x in rows.columns if x not in drill]
+    return rows.select(*kept, F.inline(F.array(*levels))).groupBy(*fixed, "_level", *drill).agg(*aggs).drop("_level")
 
 
 def saidi_diario(t: Tables, active_only: bool = True) -> DataFrame:
@@ -29,12 +33,11 @@ def saidi_diario(t: Tables, active_only: bool = True) -> DataFrame:
 
     active_only: the denominator's inventory version must also be active, not only valid on the day.
     """
-    f = t["fact_interrupciones"].filter(~c("excluido_med")).groupBy("sk_fecha", "sk_tipo_evento").agg(F.count("*").alias("n"), F.sum(c("duracion_minutos") * c("clientes_afectados")).cast(DECIMAL).alias("m"))
+    f = states(t, OUTAGES).groupBy("_dia", "sk_tipo_evento").agg(F.sum("n").alias("n"), F.sum("m").cast(DECIMAL).alias("m")).filter("n > 0")
     inventory = t["dim_clientes_inventario"].filter("activo_bool") if active_only else t["dim_clientes_inventario"]
-    ci = inventory.select(c("fecha_inicio").alias("_from"), c("fecha_fin").alias("_to"), "total_clientes_servidos")
-    at = c("fecha").cast("timestamp")
-    day = t["dim_fecha"].join(f, "sk_fecha", "left").join(t["dim_tipo_evento"].select("sk_tipo_evento", "categoria", "severidad", "es_critico"), "sk_tipo_evento", "left")
-    joined = day.join(F.broadcast(ci), (c("_from") <= at) & (c("_to").isNull() | (c("_to") > at)), "left")
+    calendar = t["dim_fecha"].select("anio", "mes", "nombre_mes", "trimestre", "dia", "fecha")
+    day = calendar.join(f, c("fecha") == c("_dia"), "left").join(t["dim_tipo_evento"].select("sk_tipo_evento", "categoria", "severidad", "es_critico"), "sk_tipo_evento", "left")
+    joined = all_that_hold(day.withColumn("_at", c("fecha").cast("timestamp")), inventory, "_at", ["total_clientes_servidos"], last_day(t["dim_fecha"]))
     out = joined.groupBy("anio", "mes", "nombre_mes", "trimestre", "dia", "fecha", "categoria", "severidad", "es_critico").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_interrupciones"), F.coalesce(F.sum("m"), F.lit(0)).cast(DECIMAL).alias("suma_minutos_cliente"), F.max("total_clientes_servidos").alias("total_clientes_servidos")
     )
@@ -63,15 +66,13 @@ def med_dates(t: Tables, beta: float = 2.5, **how: object) -> DataFrame:
 
 def saidi_mensual(t: Tables, beta: float = 2.5, **how: object) -> DataFrame:
     """Monthly indices at four levels of the network, without major event days, and when they were asked for."""
-    days = t["dim_fecha"].join(F.broadcast(med_dates(t, beta, **how)), "fecha", "left_anti")
-    f = t["fact_interrupciones"].filter(~c("excluido_med")).groupBy("sk_fecha", "sk_red_electrica", "sk_clientes").agg(
-        F.count("*").alias("n"), F.sum("duracion_minutos").alias("d"), F.sum(c("duracion_minutos") * c("clientes_afectados")).alias("m"), F.sum("clientes_afectados").alias("k")
-    )
+    days = t["dim_fecha"].join(F.broadcast(med_dates(t, beta, **how)), "fecha", "left_anti")  # days of the calendar at most
+    f = states(t, OUTAGES).groupBy("_dia", "sk_red_electrica", "sk_clientes").agg(*(F.sum(x).alias(x) for x in "ndmk")).filter("n > 0")
     month = ["anio", "mes", "nombre_mes", "trimestre", "periodo"]
     drill = ["subestacion", "circuito", "transformador"]
     red = t["dim_red_electrica"].select("sk_red_electrica", *drill)
     ci = t["dim_clientes_inventario"].select("sk_clientes", "total_clientes_servidos")
-    named = f.join(F.broadcast(days.select("sk_fecha", *month[:4])), "sk_fecha").join(red, "sk_red_electrica").join(F.broadcast(ci), "sk_clientes", "left")
+    named = f.join(F.broadcast(days.select("fecha", *month[:4])), c("_dia") == c("fecha")).join(red, "sk_red_electrica").join(ci, "sk_clientes", "left")
     named = named.withColumn("periodo", F.concat(F.lpad(c("anio").cast("string"), 4, "0"), F.lit("-"), F.lpad(c("mes").cast("string"), 2, "0")))
     fine = named.groupBy(*month, *drill).agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("m").alias("m"), F.sum("k").alias("k"), F.max("total_clientes_servidos").alias("tot"))
     out = _levels(
@@ -89,7 +90,8 @@ def saidi_mensual(t: Tables, beta: float = 2.5, **how: object) -> DataFrame:
 
 
 def _latest(t: Tables) -> DataFrame:
-    return t["fact_interrupciones"].agg(F.coalesce(F.max("timestamp_inicio"), F.current_timestamp()).alias("_last"))
+    last = states(t, OUTAGES).agg(F.max("hasta").alias("_last")) if OUTAGES in t else t["fact_interrupciones"].agg(F.max("timestamp_inicio").alias("_last"))
+    return last.select(F.coalesce("_last", F.current_timestamp()).alias("_last"))
 
 
 def tendencia(t: Tables, beta: float = 2.5, city_level_only: bool = False, **how: object) -> DataFrame:
@@ -144,9 +146,9 @@ def heatmap(t: Tables) -> DataFrame:
 
 def consumo_diario(t: Tables) -> DataFrame:
     """Energy by day at four levels: city, substation, circuit, sector."""
-    f = t["fact_telemetria"].groupBy("sk_fecha", "sk_red_electrica", "sk_geografia_urbana").agg(F.count("*").alias("n"), F.sum("consumo_kwh").alias("s"), F.max("consumo_kwh").alias("hi"), F.min("consumo_kwh").alias("lo"))
+    f = states(t, READINGS).groupBy("_dia", "sk_red_electrica", "sk_geografia_urbana").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     day, drill = ["anio", "mes", "dia", "fecha"], ["subestacion", "circuito", "sector_urbano"]
-    named = f.join(F.broadcast(t["dim_fecha"].select("sk_fecha", *day)), "sk_fecha").join(t["dim_red_electrica"].select("sk_red_electrica", *drill[:2]), "sk_red_electrica").join(t["dim_geografia_urbana"].select("sk_geografia_urbana", "sector_urbano"), "sk_geografia_urbana")
+    named = f.join(F.broadcast(t["dim_fecha"].select(*day)), c("_dia") == c("fecha")).join(t["dim_red_electrica"].select("sk_red_electrica", *drill[:2]), "sk_red_electrica").join(t["dim_geografia_urbana"].select("sk_geografia_urbana", "sector_urbano"), "sk_geografia_urbana")
     fine = named.groupBy(*day, *drill).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     out = _levels(fine, day, drill, F.sum("n").alias("total_lecturas"), F.sum("s").cast("decimal(28,4)").alias("consumo_total_kwh"), F.max("hi").alias("consumo_maximo_kwh"), F.min("lo").alias("consumo_minimo_kwh"))
     return out.withColumn("consumo_promedio_kwh", c("consumo_total_kwh").cast("double") / c("total_lecturas"))
@@ -154,10 +156,9 @@ def consumo_diario(t: Tables) -> DataFrame:
 
 def voltaje_tendencia(t: Tables) -> DataFrame:
     """Voltage by month at four levels, and where it varies by more than 5 % of its mean. Sums and sums of squares are exact decimals, so levels add up."""
-    v = c("voltaje")
-    f = t["fact_telemetria"].groupBy("sk_fecha", "sk_red_electrica").agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    f = states(t, READINGS).groupBy("_dia", "sk_red_electrica").agg(F.sum("n").alias("n"), F.sum("vs").alias("s"), F.sum("vq").alias("q"), F.min("vlo").alias("lo"), F.max("vhi").alias("hi"))
     month, drill = ["anio", "mes"], ["subestacion", "circuito", "transformador"]
-    named = f.join(F.broadcast(t["dim_fecha"].select("sk_fecha", *month)), "sk_fecha").join(t["dim_red_electrica"].select("sk_red_electrica", *drill), "sk_red_electrica")
+    named = f.join(F.broadcast(t["dim_fecha"].select("fecha", *month)), c("_dia") == c("fecha")).join(t["dim_red_electrica"].select("sk_red_electrica", *drill), "sk_red_electrica")
     fine = named.groupBy(*month, *drill).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     out = _levels(fine, month, drill, F.sum("n").alias("total_lecturas"), F.sum("s").cast(DECIMAL).alias("_s"), F.sum("q").cast("decimal(28,4)").alias("_q"), F.min("lo").alias("voltaje_minimo"), F.max("hi").alias("voltaje_maximo"))
     n = c("total_lecturas")

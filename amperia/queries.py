@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.calendar import dim_fecha, dim_tiempo
 from .operators import pairing
 from .operators.changes import update
-from .operators.versions import asof_global, asof_latest, interval_join
+from .operators.versions import asof_global, asof_latest, interval_join, last_day
 from .plans import outages, telemetry, views
 from .sources.interim import stored
 from .sources.testbind import tables
@@ -47,7 +47,7 @@ def second_run(t: outages.Tables) -> DataFrame:
     """What the same batch would add when run again over the tables as the first left them: the counts, all 0."""
     first = outages.reconcile_outages(t, store=stored)
     after = with_outages(t)
-    after["staging_eventos"] = stored(update(t["staging_eventos"], first["procesados"], "id_evento", {"procesado": F.lit(True)}), "staging_eventos")
+    after["staging_eventos"] = stored(update(t["staging_eventos"], first["procesados"].select("id_evento"), "id_evento", {"procesado": F.lit(True)}), "staging_eventos")
     again = outages.reconcile_outages(after)
     return again["hechos"].agg(F.count("*").alias("hechos_nuevos")).crossJoin(again["errores"].agg(F.count("*").alias("errores_nuevos")))
 
@@ -56,10 +56,10 @@ def second_telemetry_run(t: outages.Tables) -> DataFrame:
     """Readings still pending after one and after two batches, and what the second adds."""
     first = telemetry.reconcile_telemetry(t, store=stored)
     after = with_readings(t)
-    after["staging_telemetria"] = stored(update(t["staging_telemetria"], first["procesados"], "id_staging", {"procesado": F.lit(True)}), "staging_telemetria")
+    after["staging_telemetria"] = stored(update(t["staging_telemetria"], first["procesados"].select("id_staging"), "id_staging", {"procesado": F.lit(True)}), "staging_telemetria")
     again = telemetry.reconcile_telemetry(after)
     pending = pairing.pending(after["staging_telemetria"], "timestamp_lectura")
-    rest = pending.join(again["procesados"], "id_staging", "left_anti")
+    rest = pending.join(again["procesados"].select("id_staging"), "id_staging", "left_anti")
     n = lambda rows, name: rows.agg(F.count("*").alias(name))
     return n(pending, "pendientes_1").crossJoin(n(rest, "pendientes_2")).crossJoin(n(again["hechos"], "hechos_nuevos")).crossJoin(n(again["errores"], "errores_nuevos"))
 
@@ -122,11 +122,11 @@ def queries() -> dict[str, Query]:
         "open_outages": _over(lambda t: pairing.pairs(events(t)).filter("clasificacion = 'OUTAGE_ABIERTO'").select("id_outage", "id_medidor", "ts_outage")),
         "scd_asof_network": _over(lambda t: asof_latest(readings(t).select("id_staging", "id_medidor", "timestamp_lectura"), t["dim_red_electrica"], on, "timestamp_lectura", ["sk_red_electrica"]).select("id_staging", "sk_red_electrica")),
         "scd_all_matches": _over(lambda t: interval_join(readings(t), t["dim_red_electrica"].drop("id_medidor"), on, "timestamp_lectura").select("id_staging", "sk_red_electrica")),
-        "scd_asof_customers": _over(lambda t: asof_global(long(t), t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"]).select("id_outage", "sk_clientes")),
+        "scd_asof_customers": _over(lambda t: asof_global(long(t), t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"], last_day(t["dim_fecha"])).select("id_outage", "sk_clientes")),
         "unresolved_network_fallback": _over(lambda t: outages.network_fallback(t, long(t).select("id_medidor", "ts_outage")).select("sk_red_electrica", "id_medidor", "codigo_medidor", "fecha_inicio", "sk_geografia_urbana")),
         "fact_interrupciones": _over(lambda t: outages.reconcile_outages(t, store=stored)["hechos"]),
         "outage_errors": _over(lambda t: outages.reconcile_outages(t)["errores"].select("id_evento_origen", "id_medidor", "tipo_evento", "tipo_error", "motivo_error")),
-        "outage_processed": _over(lambda t: outages.reconcile_outages(t)["procesados"]),
+        "outage_processed": _over(lambda t: outages.reconcile_outages(t)["procesados"].select("id_evento")),
         "outage_counters": _over(lambda t: outages.reconcile_outages(t, store=stored)["contadores"]),
         "second_run_facts": _over(second_run),
         "telemetry_inactive": _over(lambda t: telemetry.inactive_readings(t, readings(t)).select("id_staging", "id_medidor", "timestamp_lectura")),

@@ -20,6 +20,8 @@ _DDL = {
     "fact_interrupciones": "sk_interrupcion long not null, sk_fecha long not null, sk_tiempo long not null, sk_red_electrica long not null, sk_geografia_urbana long not null, sk_clientes long not null, sk_tipo_evento long not null, id_medidor long not null, timestamp_inicio timestamp not null, timestamp_fin timestamp, duracion_minutos decimal(10,2), clientes_afectados int not null, id_lote_procesamiento int, excluido_med boolean not null, fecha_procesamiento timestamp",
     "fact_telemetria": "sk_telemetria long not null, sk_fecha long not null, sk_tiempo long not null, sk_red_electrica long not null, sk_geografia_urbana long not null, sk_tipo_evento long not null, timestamp_lectura timestamp not null, consumo_kwh decimal(12,4) not null, voltaje decimal(8,2) not null, id_lote_procesamiento long",
     "err_telemetria": "id_error long not null, id_evento_origen long, id_medidor long, timestamp_evento timestamp, tipo_evento string, tipo_error string not null, motivo_error string not null, detalle_tecnico string, id_lote_procesamiento int, fecha_deteccion timestamp not null, resuelto boolean not null, fecha_resolucion timestamp",
+    "sum_interrupciones": "fecha date, sk_red_electrica long, sk_clientes long, sk_tipo_evento long, n long, d decimal(28,2), m decimal(28,2), k long, hasta timestamp",
+    "sum_telemetria": "fecha date, sk_red_electrica long, sk_geografia_urbana long, n long, s decimal(28,4), hi decimal(12,4), lo decimal(12,4), vs decimal(28,2), vq decimal(28,4), vlo decimal(8,2), vhi decimal(8,2)",
     "ctrl_lotes_procesamiento": "id_lote int not null, fecha_inicio timestamp, fecha_fin timestamp, total_eventos int not null, total_hechos int not null, total_huerfanos int not null, total_transitorios int not null, estado string not null, fecha_ejecucion timestamp not null, duracion_segundos decimal(10,2)",
 }
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
