@@ -23,9 +23,9 @@ red AS (SELECT 2 * k + 1 AS sk, k, transformador, circuito, subestacion, g, TIME
 inv AS (SELECT 1::BIGINT AS sk, count(*) AS tot, TIMESTAMP '1995-01-01' AS ini, TIMESTAMP '2024-01-16' AS fin, false AS activo FROM customer UNION ALL SELECT 2, count(*) + count(*) // 10, TIMESTAMP '2024-01-16', NULL, true FROM customer)"""
 
 
-def events(power_only: bool = True, months: int = 1) -> str:
+def events(power_only: bool = True, months: int = 1, skipped: tuple[int, ...] = (-1,), hot: bool = False) -> str:
     return f"""
-ev AS (SELECT event_id AS id, user_id AS m, ts + to_days((30 * (user_id % {months}))::INTEGER) AS ts, CASE event_type WHEN 'error' THEN 'POWER_OUTAGE' WHEN 'purchase' THEN 'POWER_RESTORATION' WHEN 'signup' THEN 'VOLTAGE_SPIKE' WHEN 'view' THEN 'VOLTAGE_SAG' WHEN 'click' THEN 'HEARTBEAT' ELSE 'UNKNOWN' END AS tipo
+ev AS (SELECT event_id AS id, {"CASE WHEN user_id % 4 < 3 THEN 1 ELSE user_id END" if hot else "user_id"} AS m, ts + to_days((30 * CASE WHEN user_id % {months} IN ({", ".join(map(str, skipped))}) THEN 0 ELSE user_id % {months} END)::INTEGER) AS ts, CASE event_type WHEN 'error' THEN 'POWER_OUTAGE' WHEN 'purchase' THEN 'POWER_RESTORATION' WHEN 'signup' THEN 'VOLTAGE_SPIKE' WHEN 'view' THEN 'VOLTAGE_SAG' WHEN 'click' THEN 'HEARTBEAT' ELSE 'UNKNOWN' END AS tipo
   FROM events {"WHERE event_type IN ('error', 'purchase')" if power_only else ""}),
 seen AS (SELECT *, lag(tipo) OVER (PARTITION BY m ORDER BY ts, id) AS ant FROM ev),
 orf AS (SELECT *, CASE WHEN ant IS NULL THEN '{NO_OUTAGE_BEFORE}' ELSE '{CONSECUTIVE}' END AS motivo FROM seen WHERE tipo = 'POWER_RESTORATION' AND (ant IS NULL OR ant = 'POWER_RESTORATION')),
@@ -83,12 +83,18 @@ def _with(*parts: str) -> str:
 EV, EV_ALL = events(), events(False)
 F_ = (DIMS, EV, FACTS)
 F_MONTHS = (DIMS, events(months=14), FACTS)
+F_YEARS = (DIMS, events(months=30, skipped=(5, 6, 17)), FACTS)
+TARGETS = "meta AS (SELECT TIMESTAMP '2023-06-01' + to_days((60 * n_nationkey)::INTEGER) AS ini, CASE WHEN n_nationkey < 24 THEN TIMESTAMP '2023-06-01' + to_days((60 * n_nationkey + 60)::INTEGER) END AS fin, (n_nationkey % 7 + 1) * 4.0::DOUBLE AS meta_saidi FROM nation WHERE n_nationkey <> 9)"
 V1, V1_ALL, V1_LOW = daily(), daily(False), daily(True, 0.5)
 PAIR = "SELECT id_outage, m AS id_medidor, ts_outage, id_restoration, ts_restoration, clase AS clasificacion, cm / 100.0 AS duracion_minutos FROM p"
 ORPHAN = "SELECT id AS id_evento, m AS id_medidor, ts AS timestamp_evento, motivo AS huerfana FROM orf"
 MONTH_OUT = f"SELECT subestacion, circuito, transformador, {LEVEL}, total_interrupciones, mc / 100.0 AS suma_duracion_minutos, mc / 100.0 AS suma_minutos_cliente, total_clientes_afectados, total_clientes_servidos, saidi, saifi, caidi FROM v5r"
 
 
+def _light(value: str, limit: str) -> str:
+    return f"CASE WHEN {value} < {limit} THEN 'VERDE' WHEN {value} <= {limit} * 1.5 THEN 'AMARILLO' WHEN {value} IS NOT NULL AND {limit} IS NOT NULL THEN 'ROJO' END"
+
+
 def _trend(where: str = "") -> str:
     return f"""SELECT anio, mes, nombre_mes, trimestre, periodo, anio * 100 + mes AS periodo_orden, n AS total_interrupciones, k AS total_clientes_afectados, {ratio("mc", "tot", 2, 100)} AS saidi_ciudad, {ratio("k", "tot", 4)} AS saifi_ciudad,
   round((x - lag(x) OVER o) / nullif(lag(x) OVER o, 0) * 100, 2) AS variacion_saidi_pct FROM (SELECT {LEVEL}, sum(total_interrupciones)::BIGINT AS n, sum(total_clientes_afectados)::BIGINT AS k, sum(mc)::BIGINT AS mc, max(total_clientes_servidos)::BIGINT AS tot, (sum(mc)::BIGINT / 100.0) / nullif(max(total_clientes_servidos), 0) AS x
@@ -118,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
     audit = "SELECT DATE '2024-02-01' AS fecha, motivo_error, count(*) AS total_errores, count(DISTINCT id_medidor) AS medidores_afectados, 0::BIGINT AS resueltos, count(*) AS pendientes FROM ({}) GROUP BY motivo_error"
     t_errors = f"SELECT m AS id_medidor, '{INACTIVE}' AS motivo_error FROM ina UNION ALL SELECT m, '{VOLTS_NORMAL}' FROM vol UNION ALL SELECT m, '{NEGATIVE}' FROM neg"
     day, month = "anio, mes, dia, fecha", "anio, mes"
+    hot, years, net = _with(events(False, hot=True)), _with(*F_YEARS, V1, MONTHLY), "subestacion, circuito, transformador"
     return {
         "dim_fecha": "SELECT (date_diff('day', DATE '2024-01-01', d::DATE) + 1)::BIGINT AS sk_fecha, d::DATE AS fecha, day(d)::BIGINT AS dia, dayname(d) AS dia_semana, isodow(d)::BIGINT AS dia_semana_num, week(d)::BIGINT AS semana_anio, month(d)::BIGINT AS mes, monthname(d) AS nombre_mes, quarter(d)::BIGINT AS trimestre, year(d)::BIGINT AS anio, isodow(d) >= 6 AS es_fin_semana, false AS es_feriado FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY) s(d)",
         "dim_tiempo": f"SELECT h + 1 AS sk_tiempo, h AS hora, {band} AS franja_horaria FROM range(24) t(h)",
@@ -162,6 +169,14 @@ def oracle_sql() -> dict[str, str]:
         "auditoria_errores": ev + audit.format(errors),
         "auditoria_telemetria": rd + audit.format(t_errors),
         "monitoreo_elt": ledger,
+        "event_pairs_by_ranges": all_types + PAIR,
+        "event_pairs_hot_meter": hot + PAIR,
+        "orphan_restorations_hot_meter": hot + ORPHAN,
+        "medida_ytd": years + f"SELECT anio, mes, periodo, {net}, saidi, saifi, sum(round(saidi * 100)::BIGINT) OVER w::BIGINT / 100.0 AS saidi_ytd, sum(round(saifi * 10000)::BIGINT) OVER w::BIGINT / 10000.0 AS saifi_ytd FROM v5r WINDOW w AS (PARTITION BY {net}, anio ORDER BY mes)",
+        "medida_interanual": years + f"SELECT x.anio, x.mes, x.periodo, x.subestacion, x.circuito, x.transformador, x.saidi, y.saidi AS saidi_ly, {ratio('(round(x.saidi * 100)::BIGINT - round(y.saidi * 100)::BIGINT) * 100', 'round(y.saidi * 100)::BIGINT', 2)} AS variacion_ia_pct FROM v5r x LEFT JOIN v5r y ON y.anio = x.anio - 1 AND y.mes = x.mes AND y.subestacion IS NOT DISTINCT FROM x.subestacion AND y.circuito IS NOT DISTINCT FROM x.circuito AND y.transformador IS NOT DISTINCT FROM x.transformador",
+        "medida_vs_meta": _with(*F_YEARS, V1, MONTHLY, TARGETS) + f"SELECT anio, mes, periodo, subestacion, saidi, meta_saidi, (round(saidi * 100)::BIGINT - round(meta_saidi * 100)::BIGINT) / 100.0 AS saidi_vs_meta, {_light('saidi', 'meta_saidi')} AS semaforo_meta FROM v5r LEFT JOIN meta ON ini <= make_date(anio, mes, 1) AND (fin IS NULL OR fin > make_date(anio, mes, 1)) WHERE circuito IS NULL",
+        "medida_semaforos": years + f"SELECT anio, mes, periodo, {net}, saidi, saifi, caidi, {_light('saidi', '60.0')} AS semaforo_saidi, {_light('saifi', '2.0')} AS semaforo_saifi, {_light('caidi', '30.0')} AS semaforo_caidi FROM v5r",
+        "medida_lotes": f"SELECT id_lote, tasa_conversion_pct, tasa_error_pct, tasa_conversion_pct > 85 AS conversion_saludable, tasa_error_pct < 5 AS errores_saludables FROM ({ledger})",
         "last_batches": ledger,
         "flag_med_beta05": _with(*F_, V1_LOW) + "SELECT (SELECT count(*) FROM f WHERE fecha IN (SELECT fecha FROM med)) AS total_actualizados, (SELECT count(*) FROM v1, u WHERE saidi_diario > umbral_med) AS total_med_days, (SELECT umbral_med FROM u) AS umbral_aplicado",
         "flagged_facts_beta05": _with(*F_, V1_LOW) + "SELECT id_medidor, timestamp_inicio FROM f WHERE fecha IN (SELECT fecha FROM med)",

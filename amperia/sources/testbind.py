@@ -55,6 +55,14 @@ def dim_clientes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.inline(versions))
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAIDI to be met, one version for 60 days from each nation, the last one open; one is missing."""
+    k = c("n_nationkey").cast("int")
+    start = F.lit("2023-06-01").cast("timestamp") + F.make_interval(days=60 * k)
+    rows = table(spark, sf_dir, "nation").filter(k != 9).withColumn("_from", start)
+    return rows.select(c("_from").alias("fecha_inicio"), F.when(k < 24, c("_from") + F.make_interval(days=F.lit(60))).alias("fecha_fin"), ((k % 7 + 1) * 4).cast("decimal(8,2)").alias("meta_saidi"))
+
+
 def dim_tipo(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EVENT_CATALOGUE), "sk_tipo_evento long, codigo_evento string, categoria string, severidad string, es_critico boolean")
 

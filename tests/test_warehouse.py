@@ -1,10 +1,12 @@
 """A whole warehouse from generated events: population, batches, idempotency, failure, views."""
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from amperia.plans import views
 from amperia.sources.schemas import SCHEMAS, orphan_keys, violations
 from amperia.sources.synthetic import seed_tables
 from amperia.sources.warehouse import DAYS, VIEWS, ConcurrentBatch, Warehouse
@@ -76,7 +78,7 @@ def test_flags(warehouse):
 
 def size(w, state):
     """Bytes of the folders that a manifest lists."""
-    folders = [*state["tables"].values()] + [f for parts in state["parts"].values() for fs in parts.values() for f in fs]
+    folders = [*state["tables"].values()] + [f for held in (state["parts"], state["marks"]) for parts in held.values() for fs in parts.values() for f in fs]
     return {f: w._fs.getContentSummary(w._fs_path(f)).getLength() for f in folders}
 
 
@@ -99,6 +101,93 @@ def test_a_batch_reads_and_writes_its_own_days_whatever_the_history(spark, tmp_p
     assert wrote[1] < 1.2 * wrote[0]
 
 
+def heartbeats(spark, days, meters=20):
+    """Events that no batch consumes: one a meter and day."""
+    at = F.make_timestamp(F.lit(2025), F.lit(1), F.lit(1), F.lit(3), F.lit(0), F.lit(0)) + F.make_interval(days=(F.col("id") / meters).cast("int"))
+    return spark.range(days * meters).select((F.col("id") + 10**6).alias("id_evento"), (F.col("id") % meters).alias("id_medidor"), at.alias("timestamp_evento"), F.lit("HEARTBEAT").alias("tipo_evento"), F.lit(False).alias("procesado"))
+
+
+def test_events_that_are_never_consumed_cost_no_writing_and_no_reading_of_facts(spark, tmp_path, monkeypatch):
+    """Without bounds: a batch of two events writes the same folders after 5 and after 60 days of pending heartbeats, and reads facts and errors of its own days only."""
+    wrote = []
+    for days in (5, 60):
+        w = Warehouse(spark, str(tmp_path / str(days)))
+        seed = seed_tables(spark, meters=20, days=2)
+        w.commit(seed | {"staging_eventos": heartbeats(spark, days)})
+        w.append("staging_eventos", spark.createDataFrame([(1, 500, datetime(2025, 1, 2, 10), "POWER_OUTAGE", False, None), (2, 500, datetime(2025, 1, 2, 11), "POWER_RESTORATION", False, None)], SCHEMAS["staging_eventos"]))
+        assert w.reconcile_outages().total_hechos == 1
+        two = [(3, 501, datetime(2025, 1, 4, 10), "POWER_OUTAGE", False, None), (4, 501, datetime(2025, 1, 4, 11), "POWER_RESTORATION", False, None)]
+        w.append("staging_eventos", spark.createDataFrame(two, SCHEMAS["staging_eventos"]))
+        before, asked, read = size(w, w.manifest()), [], Warehouse.read
+        monkeypatch.setattr(Warehouse, "read", lambda self, name, *a, asked=asked, **b: (asked.append((name, b.get("days"))), read(self, name, *a, **b))[1])
+        done = w.reconcile_outages()
+        monkeypatch.setattr(Warehouse, "read", read)
+        assert (done.total_hechos, done.total_eventos) == (1, 2)
+        assert [d for n, d in asked if n == "fact_interrupciones"] == [{"2025-01-04"}] and [d for n, d in asked if n == "err_telemetria"] == [set()]
+        after = size(w, w.manifest())
+        new = [f for f in after if f not in before and "ctrl_lotes" not in f and "/dim_" not in f]
+        assert set(before) - set(after) <= {f for f in before if "ctrl_lotes" in f or "/dim_" in f} and all("_dia=2025-01-04" in f for f in new)
+        wrote.append((len(new), sum(after[f] for f in new)))
+        pending = w.read("staging_eventos", pending=True)
+        assert pending.count() == days * 20 and {r[0] for r in pending.select("tipo_evento").distinct().collect()} == {"HEARTBEAT"}
+        assert w.read("staging_eventos").filter("procesado").count() == 4
+        assert w.compact("staging_eventos", most=1) > 0 and not w.manifest()["marks"]["staging_eventos"].get("2025-01-04")
+        assert w.read("staging_eventos").filter("procesado").count() == 4 and w.read("staging_eventos", pending=True).count() == days * 20
+        assert w.vacuum() > 0 and w.read("staging_eventos").filter("procesado").count() == 4
+    assert wrote[0][0] == wrote[1][0] and wrote[1][1] < 1.2 * wrote[0][1]
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_views_read_daily_sums_and_no_facts(spark, tmp_path):
+    """Over late events and flags: equal to the views of the facts."""
+    w = Warehouse(spark, str(tmp_path))
+    seed = seed_tables(spark, meters=15, days=10)
+    late = F.col("id_medidor") % 5 == 0
+    w.commit(seed | {"staging_eventos": seed["staging_eventos"].filter(~late)})
+    w.reconcile_outages()
+    w.reconcile_telemetry()
+    w.append("staging_eventos", seed["staging_eventos"].filter(late))
+    assert w.reconcile_outages().total_hechos > 0
+    assert w.flag_med_days(beta=0.3).first().total_actualizados > 0
+    t = w.tables(dated=True)
+    facts = {k: v for k, v in t.items() if not k.startswith("sum_")}
+    for name in ("saidi_diario", "saidi_mensual", "tendencia", "consumo_diario", "voltaje_tendencia"):
+        drop = ["fecha_consulta"] if name == "saidi_mensual" else []
+        kept, direct = (getattr(views, name)(x).drop(*drop) for x in (t, facts))
+        assert rows_of(kept) == rows_of(direct), name
+        assert any("/sum_" in f for f in kept.inputFiles()) and not any("/fact_" in f for f in kept.inputFiles()), name
+    for name in ("sum_interrupciones", "sum_telemetria"):
+        w.compact(name, most=1)
+    assert rows_of(w.view("saidi_diario")) == rows_of(views.saidi_diario(facts)) and rows_of(w.view("consumo_diario")) == rows_of(views.consumo_diario(facts))
+
+
+def test_sql_views_are_pruned_by_day_and_follow_commits(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    w.commit(seed_tables(spark, meters=10, days=12))
+    w.register_views()
+    assert spark.sql("select sum(total_lecturas) from vw_consumo_diario").first()[0] is None
+    w.reconcile_outages()
+    w.reconcile_telemetry()
+    one = spark.sql("select total_lecturas from vw_consumo_diario where fecha = date'2025-01-05' and subestacion is null")
+    assert [r[0] for r in one.collect()] == [10]  # registered before the batch
+    day = spark.sql("select * from vw_saidi_saifi_diario where fecha = date'2025-01-05'")
+    for df in (one, day):
+        assert re.search(r"PartitionFilters: \[[^]]*_dia#\d+ = 2025-01-05", df._jdf.queryExecution().sparkPlan().toString())
+    files = w.read("fact_telemetria", dated=True).filter("_dia = date'2025-01-05'").select(F.input_file_name()).distinct().collect()
+    assert len(files) == 1 and "_dia=2025-01-05" in files[0][0]
+
+
+def test_a_broken_constraint_fails_the_write(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    bad = spark.createDataFrame([(1, 1, datetime(2025, 1, 1), "OTHER", False, None)], SCHEMAS["staging_eventos"])
+    with pytest.raises(ValueError, match="staging_eventos"):
+        w.append("staging_eventos", bad)
+    assert w.manifest()["number"] == 0
+
+
 def test_keys_go_on_and_stay_unique(warehouse):
     facts = warehouse.read("fact_interrupciones")
     n, top = facts.count(), facts.agg(F.max("sk_interrupcion")).first()[0]
