@@ -77,9 +77,12 @@ def paired(ahead: DataFrame) -> DataFrame:
 # -- the same where one meter may have most of the events --------------------------------------------
 
 
-def ranged(events: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """events with parte, the range of meter, time and id that they fall into: a meter with very many events has many ranges. Stored, so that a range stays what it is."""
-    return store(events.repartitionByRange(*LINE).withColumn("parte", F.spark_partition_id()), "rangos")
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def ranged(events: DataFrame, store: Store, parts: int | None = None) -> DataFrame:
+    """events with parte, the range of meter, time and id that they fall into: a meter with very many events has many ranges. Stored, so that a range stays what it is. parts: how many; without it as many as Spark finds fit for the size."""
+    return store(events.repartitionByRange(*([parts] if parts else []), *LINE).withColumn("parte", F.spark_partition_id()), "rangos")
 
 
 def _edge_values(rows: DataFrame, values: list[str], forward: bool) -> DataFrame:
@@ -106,14 +109,14 @@ def _along(rows: DataFrame, values: list[str], prefix: str, forward: bool) -> Da
     return joined.withColumn("_value", value).select(*rows.columns, *(F.col(f"_value.{v}").alias(f"{prefix}{v}") for v in values))
 
 
-def orphans_by_ranges(events: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def orphans_by_ranges(events: DataFrame, store: Store, parts: int | None = None) -> DataFrame:
     """As orphans, over stored ranges."""
-    seen = _along(ranged(events, store), ["tipo_evento"], "ant_", forward=False)
+    seen = _along(ranged(events, store, parts), ["tipo_evento"], "ant_", forward=False)
     return seen.withColumn("huerfana", _why(F.col("ant_tipo_evento"))).filter(F.col("huerfana").isNotNull()).drop("ant_tipo_evento", "parte")
 
 
-def pairs_by_ranges(events: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def pairs_by_ranges(events: DataFrame, store: Store, parts: int | None = None) -> DataFrame:
     """As pairs, over stored ranges of meter and time: no task gets all events of a meter. Orphans may fill whole ranges; what comes next is then found beyond them."""
-    seen = _along(ranged(events, store), ["tipo_evento"], "ant_", forward=False)
+    seen = _along(ranged(events, store, parts), ["tipo_evento"], "ant_", forward=False)
     kept = store(seen.filter(_why(F.col("ant_tipo_evento")).isNull()).select(*LINE, "tipo_evento", "parte"), "sin-huerfanas")
     return paired(_along(kept, list(AHEAD), "sig_", forward=True))
