@@ -24,9 +24,9 @@ def _lines(text: Column) -> Column:
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 (hash of the key), doc_id, th (hash of the text) and pos of every line whose key has min_chars code points."""
-    # Text is hashed and split below the generator, so neither is done, nor text carried, once a line.
+    # Text is hashed and split below the generator, so neither is done, nor text carried, once a line. Outer: else Spark would split once more to see that there are lines.
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), _lines(F.col("text")).alias("lines"))
-    rows = split.select("doc_id", "th", F.posexplode("lines").alias("pos", "line"))
+    rows = split.select("doc_id", "th", F.posexplode_outer("lines").alias("pos", "line"))
     rows = rows.withColumn("key", ascii_lower(F.trim(F.col("line"), F.lit(WS_CHARS)))).filter(F.length("key") >= min_chars)
     return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "th", "pos")
 
