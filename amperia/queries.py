@@ -28,26 +28,31 @@ def events(t: outages.Tables) -> DataFrame:
     return pairing.pending(t["staging_eventos"], "timestamp_evento")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Stores what more than one output of a batch is made from; the rest stays a plan."""
+    return stored(df, name) if name in ("pares", "red_nueva", "hechos") else df
+
+
 def with_outages(t: outages.Tables) -> outages.Tables:
     """The tables after a batch of outages, as written: facts, and the network members that it added."""
-    batch = outages.reconcile_outages(t, store=stored)
+    batch = outages.reconcile_outages(t, store=kept)
     return t | {
         "fact_interrupciones": batch["hechos"].withColumn("excluido_med", F.lit(False)),
         "dim_red_electrica": t["dim_red_electrica"].unionByName(batch["red_nueva"], allowMissingColumns=True),
+        "_procesados": batch["procesados"].select("id_evento"),
         "err_telemetria": batch["errores"].withColumns({"fecha_deteccion": F.lit("2024-02-01").cast("timestamp"), "resuelto": F.lit(False)}),
     }
 
 
 def with_readings(t: outages.Tables) -> outages.Tables:
-    batch = telemetry.reconcile_telemetry(t, store=stored)
+    batch = telemetry.reconcile_telemetry(t)
     return t | {"fact_telemetria": batch["hechos"], "err_telemetria": batch["errores"].withColumns({"fecha_deteccion": F.lit("2024-02-01").cast("timestamp"), "resuelto": F.lit(False)})}
 
 
 def second_run(t: outages.Tables) -> DataFrame:
     """What the same batch would add when run again over the tables as the first left them: the counts, all 0."""
-    first = outages.reconcile_outages(t, store=stored)
     after = with_outages(t)
-    after["staging_eventos"] = stored(update(t["staging_eventos"], first["procesados"].select("id_evento"), "id_evento", {"procesado": F.lit(True)}), "staging_eventos")
+    after["staging_eventos"] = stored(update(t["staging_eventos"], after["_procesados"], "id_evento", {"procesado": F.lit(True)}), "staging_eventos")
     again = outages.reconcile_outages(after)
     return again["hechos"].agg(F.count("*").alias("hechos_nuevos")).crossJoin(again["errores"].agg(F.count("*").alias("errores_nuevos")))
 
@@ -55,7 +60,7 @@ def second_run(t: outages.Tables) -> DataFrame:
 def second_telemetry_run(t: outages.Tables) -> DataFrame:
     """Readings still pending after one and after two batches, and what the second adds."""
     first = telemetry.reconcile_telemetry(t, store=stored)
-    after = with_readings(t)
+    after = t | {"fact_telemetria": first["hechos"], "err_telemetria": first["errores"]}
     after["staging_telemetria"] = stored(update(t["staging_telemetria"], first["procesados"].select("id_staging"), "id_staging", {"procesado": F.lit(True)}), "staging_telemetria")
     again = telemetry.reconcile_telemetry(after)
     pending = pairing.pending(after["staging_telemetria"], "timestamp_lectura")
@@ -66,7 +71,7 @@ def second_telemetry_run(t: outages.Tables) -> DataFrame:
 
 def ledger(t: outages.Tables) -> DataFrame:
     """The ledger after one outage and one telemetry batch, without what the clock says."""
-    batches = [(1, outages.reconcile_outages(t, store=stored)["contadores"]), (2, telemetry.reconcile_telemetry(t, store=stored)["contadores"])]
+    batches = [(1, outages.reconcile_outages(t)["contadores"]), (2, telemetry.reconcile_telemetry(t)["contadores"])]
     rows = [b.select(F.lit(k).alias("id_lote"), "total_eventos", "total_hechos", "total_huerfanos", "total_transitorios", F.lit("COMPLETADO").alias("estado")) for k, b in batches]
     return views.monitoreo_elt({"ctrl_lotes_procesamiento": rows[0].unionByName(rows[1])})
 
@@ -148,16 +153,16 @@ def queries() -> dict[str, Query]:
         "scd_all_matches": _over(lambda t: interval_join(readings(t), t["dim_red_electrica"].drop("id_medidor"), on, "timestamp_lectura").select("id_staging", "sk_red_electrica")),
         "scd_asof_customers": _over(lambda t: asof_global(long(t), t["dim_clientes_inventario"], "ts_outage", ["sk_clientes"], last_day(t["dim_fecha"])).select("id_outage", "sk_clientes")),
         "unresolved_network_fallback": _over(lambda t: outages.network_fallback(t, long(t).select("id_medidor", "ts_outage")).select("sk_red_electrica", "id_medidor", "codigo_medidor", "fecha_inicio", "sk_geografia_urbana")),
-        "fact_interrupciones": _over(lambda t: outages.reconcile_outages(t, store=stored)["hechos"]),
+        "fact_interrupciones": _over(lambda t: outages.reconcile_outages(t, store=kept)["hechos"]),
         "outage_errors": _over(lambda t: outages.reconcile_outages(t)["errores"].select("id_evento_origen", "id_medidor", "tipo_evento", "tipo_error", "motivo_error")),
         "outage_processed": _over(lambda t: outages.reconcile_outages(t)["procesados"].select("id_evento")),
-        "outage_counters": _over(lambda t: outages.reconcile_outages(t, store=stored)["contadores"]),
+        "outage_counters": _over(lambda t: outages.reconcile_outages(t)["contadores"]),
         "second_run_facts": _over(second_run),
         "telemetry_inactive": _over(lambda t: telemetry.inactive_readings(t, readings(t)).select("id_staging", "id_medidor", "timestamp_lectura")),
         "telemetry_voltage": _over(lambda t: telemetry.voltage_warnings(active(t)).select("id_staging", "voltaje", "motivo_error")),
         "telemetry_negative": _over(lambda t: telemetry.negative_consumption(active(t)).select("id_staging", "consumo_wh")),
         "fact_telemetria": _over(lambda t: telemetry.reconcile_telemetry(t)["hechos"]),
-        "telemetry_counters": _over(lambda t: telemetry.reconcile_telemetry(t, store=stored)["contadores"]),
+        "telemetry_counters": _over(lambda t: telemetry.reconcile_telemetry(t)["contadores"]),
         "second_run_readings": _over(second_telemetry_run),
         "saidi_diario": _over(lambda t: views.saidi_diario(with_outages(t))),
         "saidi_diario_all_versions": _over(lambda t: views.saidi_diario(with_outages(t), **V)),
