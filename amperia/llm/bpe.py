@@ -4,7 +4,7 @@ Encoding is one streaming transducer from characters to ids. Text is read in blo
 
 Decoding is a state machine fed with tokens: text leaves as soon as it is certain. With a byte decoder that is when the bytes end a character; without a decoder, as in the default file, tokens are joined by a space, and byte symbols and suffixes stay as they are, as in the library's result.
 
-Letters and numbers are those of Unicode 16: Python 3.13's tables and NEW_LETTERS, NEW_NUMBERS. For every code point ids are equal to the library's. Sequences of combining marks that the library's tables do not know may be ordered differently; sequences of more marks than a block holds are read whole.
+Letters and numbers are those of Unicode 16: Python 3.13's tables and NEW_LETTERS, NEW_NUMBERS. For every code point ids are equal to the library's. Combining marks that the library's tables give no class (NO_CLASS) stay where they are and nothing is composed across them, as there. Sequences of more marks than a block holds are read whole.
 
 A null text is empty: no tokens, empty text. Rows that repeat are encoded each; a null doc_id stays. An empty table gives an empty result. Other columns are not read.
 """
@@ -43,6 +43,13 @@ NEW_LETTERS = (
     (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
 )
 NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# Combining marks to which the library's composition gives no class, so that nothing is moved or joined across them; U+11930, which it joins to nothing.
+NO_CLASS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+UNMOVED = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NO_CLASS) + "])")
 #: First and last capital, and the first one's small letter.
 NEW_LOWER = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
 TO_LOWER = {a + k: chr(low + k) for a, b, low in NEW_LOWER for k in range(b - a + 1)}
@@ -249,7 +256,8 @@ class Codec:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
+            text = "".join(unicodedata.normalize("NFC", x) for x in UNMOVED.split(text)) if UNMOVED.search(text) else unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")  # letter by letter: no final sigma
             text = text.translate(TO_LOWER) if NEW_CAPITAL.search(text) else text
         return text.lower()
 

@@ -35,8 +35,6 @@ def test_odd_texts_as_the_library(library, own):
     texts = ["", " ", *WORDS, *("".join(r.choice(WORDS) + r.choice(["", " ", "  "]) for _ in range(r.randint(1, 40))) for _ in range(400))]
     texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(128, 0x2000), r.randrange(0x3000, 0xD800), r.randrange(0x1F300, 0x1F700)])) for _ in range(60)) for _ in range(300)]
     for t in texts:
-        # Marks are in the next tests.
-        t = "".join(c for c in t if not unicodedata.combining(c) or "\u0300" <= c <= "\u036f")
         want = library.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == want, t
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
@@ -78,6 +76,20 @@ def test_every_code_point_as_the_library(library, own):
         assert own.encode(t) == library.encode(t, add_special_tokens=False).ids, hex(points[at])
 
 
+def test_sequences_of_marks_as_the_library(library, own):
+    """Every mark beside marks of each class, in both orders, and random sequences of marks of all kinds."""
+    marks = [chr(k) for k in range(sys.maxunicode + 1) if unicodedata.combining(chr(k))]
+    by_class = list({unicodedata.combining(m): m for m in reversed(marks)}.values())
+    texts = [f"a{m}{n} e{n}{m} {m}{n}" for m in marks for n in by_class]
+    parts = (unicodedata.decomposition(chr(k)).split() for k in range(sys.maxunicode + 1))
+    texts += ["".join(chr(int(x, 16)) for x in p) for p in parts if len(p) == 2 and p[0][0] != "<"]
+    r = random.Random(6)
+    texts += ["".join(r.choice(["a", "E", "ệ", "한", "ᄒ", "ᅡ", "ά"]) + "".join(r.choices(marks, k=r.randint(0, 5))) for _ in range(6)) for _ in range(20_000)]
+    for at in range(0, len(texts), 64):
+        t = " ".join(texts[at : at + 64])
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids, ascii(texts[at])
+
+
 def test_composition_never_reaches_over_what_starts_anew():
     """Every second part of a composition is a character at which no block begins."""
     for k in range(sys.maxunicode + 1):
