@@ -256,7 +256,8 @@ class Codec:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = "".join(unicodedata.normalize("NFC", x) for x in UNMOVED.split(text)) if UNMOVED.search(text) else unicodedata.normalize("NFC", text)
+            if not unicodedata.is_normalized("NFC", text):  # what is normal with all classes is so without some
+                text = "".join(unicodedata.normalize("NFC", x) for x in UNMOVED.split(text))
             text = text.replace("Σ", "σ")  # letter by letter: no final sigma
             text = text.translate(TO_LOWER) if NEW_CAPITAL.search(text) else text
         return text.lower()
