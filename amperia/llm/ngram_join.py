@@ -139,11 +139,11 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """token, leader and doc_id for every document that shares a token with a smaller one; leader: the smallest. Each partition is read as a sorted stream."""
+def runs_of_tokens(rows: DataFrame) -> DataFrame:
+    """token, leader and doc_id for every document that shares a token with a smaller one of its partition; leader: the smallest there. A partition's first and last token also give the row of the leader itself. Rows are range-partitioned by token and document, so that a token of very many documents is spread over partitions; each is read as a sorted stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, 0
+        last, leader, turned = None, 0, False
         for b in batches:
             token, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(token):
@@ -151,15 +151,26 @@ def meetings(rows: DataFrame) -> DataFrame:
             new = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
             start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             lead = np.where(start < 0, leader, doc[np.maximum(start, 0)])
-            last, leader = token[-1], int(lead[-1])
             keep = lead != doc
+            keep[0] |= last is None
+            turned |= bool(new[1:].any() or (last is not None and new[0]))
+            last, leader = token[-1], int(lead[-1])
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(lead[keep]), pa.array(doc[keep])], ["token", "leader", "doc_id"])
+        if turned:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (last, leader, leader)], ["token", "leader", "doc_id"])
 
-    dealt = rows.repartition("token").sortWithinPartitions("token", "doc_id")
+    dealt = rows.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
     return dealt.mapInArrow(run, "token long, leader long, doc_id long")
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """token, leader and doc_id for every document that shares a token with a smaller one; leader: the smallest. Leaders of tokens that go on over partitions are taken from the rows at the edges, which are broadcast: two a partition at most."""
+    met = written(runs_of_tokens(written(rows, "tokens")), "meetings")
+    edges = met.filter("leader = doc_id").groupBy("token").agg(F.min("leader").alias("smallest"))
+    return met.join(F.broadcast(edges), "token", "left").select("token", F.coalesce("smallest", "leader").alias("leader"), "doc_id").filter("leader <> doc_id")
+
+
 def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
@@ -273,7 +284,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     named = written(signed.drop("sketch").join(classes, sets, "left"), "classes")
     copies = named.filter("doc_id <> rep or rep is null or doc_id is null").select("doc_id").distinct()
     single = docs.filter("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
-    met = written(meetings(tokens(single)), "meetings")
+    met = meetings(tokens(single))
 
     # First each document with one leader, then what is still apart though it shares a part.
     first = met.groupBy("doc_id", "leader").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))

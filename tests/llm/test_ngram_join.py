@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from amperia.llm.ngram_join import bit_sketch, hamming, ngram_join, one_of_each, op2_ngram_join, shingle_sets
+from amperia.llm.ngram_join import bit_sketch, hamming, meetings, ngram_join, one_of_each, op2_ngram_join, runs_of_tokens, shingle_sets
 
 from .conftest import prose
 
@@ -125,3 +126,26 @@ def test_rows_without_an_id_have_no_component(table):
     text = "the same words stand in each of these three rows"
     got = op2_ngram_join(table([(1, text), (None, text), (2, text), (None, "other words stand in this row of mine")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("2", "1"), ("None", "None"), ("None", "None")]
+
+
+def test_a_token_of_a_third_of_all_rows_is_spread_over_partitions_and_keeps_one_leader(spark):
+    r = random.Random(5)
+    rows = [(7, d) for d in r.sample(range(10**6), 4000)] + [(r.randrange(3000), r.randrange(10**6)) for _ in range(8000)]
+    rows += rows[:200]  # rows that repeat
+    dealt = spark.createDataFrame(rows, "token long, doc_id long").repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert runs_of_tokens(dealt).filter("token = 7").select(F.spark_partition_id()).distinct().count() > 1
+        found = {tuple(x) for x in meetings(dealt).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    least = {}
+    for t, d in rows:
+        least[t] = min(d, least.get(t, d))
+    assert found == {(t, least[t], d) for t, d in rows if d != least[t]}
+
+
+def test_no_tokens_no_meetings(spark):
+    assert meetings(spark.createDataFrame([], "token long, doc_id long")).count() == 0
+    assert meetings(spark.createDataFrame([(1, 1), (1, 1), (2, 3)], "token long, doc_id long")).count() == 0
