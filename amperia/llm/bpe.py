@@ -53,7 +53,9 @@ UNMOVED = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NO_CLASS) +
 #: First and last capital, and the first one's small letter.
 NEW_LOWER = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
 TO_LOWER = {a + k: chr(low + k) for a, b, low in NEW_LOWER for k in range(b - a + 1)}
-NEW_CAPITAL = re.compile("[" + "".join(map(chr, TO_LOWER)) + "]")
+NEW_CAPITALS = "".join(map(chr, TO_LOWER))
+#: White space for str.split(), but not here.
+ODD = "\x1c\x1d\x1e\x1f"
 
 
 def byte_symbols() -> list[str]:
@@ -88,52 +90,63 @@ class Transducer:
     """Symbols in, token ids out."""
 
     def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int], suffix: str) -> None:
-        self.vocab, self.rank = vocab, {m: k for k, m in enumerate(merges)}
+        self.vocab = vocab
         length = {t: len(t.removesuffix(suffix)) if suffix else len(t) for t in chain(*merges)}
         self.length = lambda t: max(1, len(t.removesuffix(suffix)) if suffix else len(t))
         self.never = len(merges)
         self.lookahead = lookahead(merges, length)
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        """All merges of a bounded buffer, lowest rank first, leftmost first."""
+        #: Ranks by left and right id; by rank the id that is made; by id the symbols that a token covers.
+        nothing: dict[int, int] = {}
+        self.rank = [nothing] * (max(vocab.values(), default=-1) + 1)
+        for k, (x, y) in enumerate(merges):
+            if self.rank[vocab[x]] is nothing:
+                self.rank[vocab[x]] = {}
+            self.rank[vocab[x]][vocab[y]] = k
+        self.made = [vocab[x + y] for x, y in merges]
+        self.covers = [1] * len(self.rank)
+        for t, i in vocab.items():
+            self.covers[i] = self.length(t)
+
+    def merged(self, symbols: list[int]) -> list[int]:
+        """All merges of a bounded buffer of ids, lowest rank first, leftmost first."""
         if len(symbols) > SHORT:
             return self._merged_by_heap(symbols)
-        s, rank, never = list(symbols), self.rank, self.never
-        ranks = [rank.get(p, never) for p in pairwise(s)]
+        s, rank, made, never = list(symbols), self.rank, self.made, self.never
+        ranks = [rank[x].get(y, never) for x, y in pairwise(s)]
         while ranks and (r := min(ranks)) != never:
             i = ranks.index(r)
-            s[i] += s.pop(i + 1)
-            del ranks[i]
+            s[i] = t = made[r]
+            del s[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get((s[i], s[i + 1]), never)
+                ranks[i] = rank[t].get(s[i + 1], never)
             if i:
-                ranks[i - 1] = rank.get((s[i - 1], s[i]), never)
+                ranks[i - 1] = rank[s[i - 1]].get(t, never)
         return s
 
-    def _merged_by_heap(self, symbols: list[str]) -> list[str]:
+    def _merged_by_heap(self, symbols: list[int]) -> list[int]:
         """The same in n log n steps."""
-        s: list[str | None] = list(symbols)
-        rank, n = self.rank, len(s)
+        s: list[int | None] = list(symbols)
+        rank, made, n = self.rank, self.made, len(s)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, p in enumerate(pairwise(s)) if (r := rank.get(p)) is not None]
+        heap = [(r, i) for i, (x, y) in enumerate(pairwise(s)) if (r := rank[x].get(y)) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
-            if s[i] is None or (j := right[i]) >= n or rank.get((s[i], s[j])) != r:
+            if s[i] is None or (j := right[i]) >= n or rank[s[i]].get(s[j]) != r:
                 continue  # what stood here has been merged meanwhile
-            s[i] += s[j]
+            s[i] = t = made[r]
             s[j] = None
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if (r := rank.get((s[i], s[k]))) is not None:
+                if (r := rank[t].get(s[k])) is not None:
                     heapq.heappush(heap, (r, i))
-            if (h := left[i]) >= 0 and (r := rank.get((s[h], s[i]))) is not None:
+            if (h := left[i]) >= 0 and (r := rank[s[h]].get(t)) is not None:
                 heapq.heappush(heap, (r, h))
         return [x for x in s if x is not None]
 
     def run(self, symbols: Iterable[str]) -> Iterator[int]:
-        symbols, buffer = iter(symbols), []
+        symbols, buffer = map(self.vocab.__getitem__, symbols), []
         full = None if self.lookahead is None else self.lookahead + STRIDE
         while True:
             buffer += symbols if full is None else islice(symbols, full - len(buffer))
@@ -141,13 +154,12 @@ class Transducer:
                 break
             out = 0
             for t in self.merged(buffer):
-                if out + self.length(t) + self.lookahead > len(buffer):
+                if out + self.covers[t] + self.lookahead > len(buffer):
                     break
-                out += self.length(t)
-                yield self.vocab[t]
+                out += self.covers[t]
+                yield t
             del buffer[:out]
-        for t in self.merged(buffer):
-            yield self.vocab[t]
+        yield from self.merged(buffer)
 
 
 class Decoder:
@@ -193,8 +205,8 @@ class Remembered:
         self.young, self.old = {}, {}
 
 
-def classes() -> tuple[str, str]:
-    """Letters and numbers as character classes, from Python's Unicode tables and what they lack."""
+def classes() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of letters and of numbers, from Python's Unicode tables and what they lack."""
     out = {"L": [], "N": []}
     for k in range(sys.maxunicode + 1):
         kind = out.get(unicodedata.category(chr(k))[0])
@@ -204,7 +216,16 @@ def classes() -> tuple[str, str]:
             kind[-1][1] = k
         else:
             kind.append([k, k])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in (*out[c], *new)) for c, new in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)))
+    return [(a, b) for a, b in (*out["L"], *NEW_LETTERS)], [(a, b) for a, b in (*out["N"], *NEW_NUMBERS)]
+
+
+def in_class(ranges: list[tuple[int, int]], last: int = sys.maxunicode) -> str:
+    """Ranges, as far as they begin up to a code point, inside a character class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges if a <= last)
+
+
+def split_to_pieces(letters: str, numbers: str) -> re.Pattern:
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}{SPACE}]+")
 
 
 def starts_anew(c: str) -> bool:
@@ -227,12 +248,14 @@ class Codec:
         self.machine = Transducer([tuple(m) for m in model["merges"]], model["vocab"], self.suffix)
         self.symbols = dict(enumerate(byte_symbols()))
         self.splits = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
-        letters, numbers = classes()
+        ranges = classes()
+        letters, numbers = map(in_class, ranges)
         self.space = re.compile(f"[{SPACE}]+")
-        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}{SPACE}]+")
+        self.pieces = split_to_pieces(letters, numbers)
+        #: The same for text within 16 bits: Python tries ranges beyond these one after another, for each character that is in none.
+        self.near_pieces, self.far = split_to_pieces(*(in_class(x, 0xFFFF) for x in ranges)), re.compile("[\U00010000-\U0010ffff]")
         self.letters, self.signs = re.compile(f"[{letters}]*"), re.compile(f"[^{letters}{numbers}{SPACE}]*")
         self.number = re.compile(f"[{numbers}]")
-        self.odd = re.compile(r"[\x1c-\x1f]")  # white space for str.split(), but not here
         self.seen, self.known = Remembered(), Remembered()
         #: By id: as decimal number and as token.
         self.decimal = [str(i) for i in range(max(self.token) + 1)]
@@ -244,12 +267,16 @@ class Codec:
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece that is there as a whole."""
         raw = self.bytes_of(piece)
-        return tuple(self.machine.run(chain(raw[:-1], (raw[-1] + self.suffix,))))
+        symbols = [*raw[:-1], raw[-1] + self.suffix]
+        if len(symbols) <= SHORT:
+            return tuple(self.machine.merged(list(map(self.machine.vocab.__getitem__, symbols))))
+        return tuple(self.machine.run(symbols))
 
     def chunk(self, low: str) -> tuple[int, ...]:
         """Ids of normal text without white space that is there as a whole."""
         known, out = self.known, []
-        for p in self.pieces.findall(low):
+        pieces = self.near_pieces if low.isascii() or not self.far.search(low) else self.pieces
+        for p in pieces.findall(low):
             ids = known.young.get(p)
             out.append(known.keep(p, self.piece) if ids is None else ids)
         return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
@@ -259,7 +286,7 @@ class Codec:
             if not unicodedata.is_normalized("NFC", text):  # what is normal with all classes is so without some
                 text = "".join(unicodedata.normalize("NFC", x) for x in UNMOVED.split(text))
             text = text.replace("Σ", "σ")  # letter by letter: no final sigma
-            text = text.translate(TO_LOWER) if NEW_CAPITAL.search(text) else text
+            text = text.translate(TO_LOWER) if any(map(text.__contains__, NEW_CAPITALS)) else text
         return text.lower()
 
     def blocks(self, text: str) -> Iterator[str]:
@@ -280,7 +307,7 @@ class Codec:
     def plain(self, text: str) -> Iterator[tuple[int, ...]]:
         """Ids of text without added tokens, a few at a time."""
         if len(text) <= BLOCK:
-            yield from self.whole(self.normal(text))
+            yield self.whole(self.normal(text))
             return
         rest = ""  # what may go on in the next block
         stream = (self.normal(b) for b in self.blocks(text))
@@ -290,22 +317,21 @@ class Codec:
             if last < 0:
                 last = max((m.start() for m in self.space.finditer(rest)), default=-1)
             if last >= 0:
-                yield from self.whole(rest[:last])
+                yield self.whole(rest[:last])
                 rest = rest[last + 1 :]
             if len(rest) > BLOCK:
                 rest = yield from self.unbroken(rest, stream)
-        yield from self.whole(rest)
+        yield self.whole(rest)
 
-    def whole(self, low: str) -> Iterator[tuple[int, ...]]:
-        """Ids of normal text at whose ends pieces end."""
+    def whole(self, low: str) -> tuple[int, ...]:
+        """Ids of normal text, about a block at most, at whose ends pieces end."""
         seen = self.seen
-        get = seen.young.get
-        for c in self.space.split(low) if self.odd.search(low) else low.split():
-            ids = get(c)
-            if ids is None:
-                ids = seen.keep(c, self.chunk) if c else ()
-                get = seen.young.get
-            yield ids
+        chunks = self.space.split(low) if any(map(low.__contains__, ODD)) else low.split()
+        out = list(map(seen.young.get, chunks))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            c = chunks[k]
+            out[k] = (seen.young.get(c) or seen.keep(c, self.chunk)) if c else ()
+        return tuple(chain.from_iterable(out))
 
     def unbroken(self, text: str, stream: Iterator[str]) -> Iterator[tuple[int, ...]]:
         """Ids of the pieces of normal text that goes on in the stream without white space; returns what follows them, from the first white space on."""
